@@ -19,9 +19,9 @@ DEFAULT_DIM = 1024
 
 
 def _hex_bytes(digest: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.lit(2 * n - 1), F.lit(2))
-    return F.transform(
-        starts, lambda i: F.conv(F.substring(digest, i, F.lit(2)), 16, 10).cast("double") / F.lit(255.0)
+    # One expression per byte: unlike a lambda over positions, they share one digest per row.
+    return F.array(
+        *[F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / F.lit(255.0) for i in range(n)]
     )
 
 

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from faultweave.functions.text import non_empty, or_empty
 from faultweave.functions.vectors import Embedder, as_double
 from faultweave.operators.topk import ranked_array
-from faultweave.session import materialise
+from faultweave.session import materialise, small_side
 
 TOP_K = 5
 CELL_BYTES = 32 << 20
 TILE_VALUES = 4 << 20
 MAX_BROADCAST_BLOCKS = 100_000
+MAX_TASKS = 100_000
 
 _CELL = ["block", "hist_cell", "query_cell"]
 _HIT = "query_id string, id string, distance double"
@@ -43,21 +44,24 @@ def matching_store_rows(inc: DataFrame, hist: DataFrame) -> DataFrame:
     by_script = hist.groupBy("script_name").agg(F.count("*").alias("_script_n"))
     by_both = hist.groupBy("job_name", "script_name").agg(F.count("*").alias("_both_n"))
     total = hist.agg(F.count("*")).scalar()
-    keys = inc.select(
-        "request_id", non_empty(F.col("job_name")).alias("job_name"), non_empty(F.col("script_name")).alias("script_name")
-    )
+    asked = inc.select("request_id", or_empty(F.col("job_name")).alias("job_name"), or_empty(F.col("script_name")).alias("script_name"))
+    job_given, script_given = F.col("job_name") != "", F.col("script_name") != ""
 
-    def n(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0).cast("long"))
+    def n(name: str, given: Column) -> Column:
+        return F.when(given, F.coalesce(F.col(name), F.lit(0))).otherwise(0).cast("long")
 
-    matched = n("_job_n") + n("_script_n") - n("_both_n")
-    neither = F.col("job_name").isNull() & F.col("script_name").isNull()
-    return (
-        keys.join(by_job, "job_name", "left")
+    matched = n("_job_n", job_given) + n("_script_n", script_given) - n("_both_n", job_given & script_given)
+    pairs = (
+        asked.select("job_name", "script_name")
+        .distinct()
+        .join(by_job, "job_name", "left")
         .join(by_script, "script_name", "left")
         .join(by_both, ["job_name", "script_name"], "left")
-        .select("request_id", F.when(neither, total).otherwise(matched).alias("candidates"))
+        .select(
+            "job_name", "script_name", F.when(job_given | script_given, matched).otherwise(total).alias("candidates")
+        )
     )
+    return asked.join(materialise(pairs, "pairs"), ["job_name", "script_name"]).select("request_id", "candidates")
 
 
 def match_union(hist: DataFrame, jobs: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -75,14 +79,13 @@ def match_union(hist: DataFrame, jobs: DataFrame, scripts: DataFrame) -> DataFra
 
 
 def with_query_id(inc: DataFrame, vector: str | None = None) -> DataFrame:
-    """Add the identity of the question an incident asks: job, script and text (or vector)."""
-    script = non_empty(F.col("script_name"))
-    if vector:
-        about = F.col(vector).alias("about")
-    else:
-        about = query_text().alias("about")
-    question = F.struct(F.col("job_name").alias("job"), script.alias("script"), about)
-    return inc.withColumn("query_id", F.sha2(F.to_json(question), 256))
+    """Add the identity of the question an incident asks: job, script and text (or vector).
+
+    Two 64-bit hashes side by side, so that billions of questions stay apart.
+    """
+    question = [or_empty(F.col("job_name")), or_empty(F.col("script_name")), F.col(vector) if vector else query_text()]
+    halves = [F.hex(F.xxhash64(F.lit(seed), *question)) for seed in (1, 2)]
+    return inc.withColumn("query_id", F.concat_ws("-", *halves))
 
 
 def query_text(description: str = "description", log: str = "tws_log") -> Column:
@@ -109,8 +112,8 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.explode(F.array_compact(places)))
 
 
-def _grid(inc: DataFrame, hist: DataFrame, rows_per_cell: int) -> DataFrame:
-    """Cells per block; only blocks that have rows on both sides."""
+def _grid(inc: DataFrame, hist: DataFrame, rows_per_cell: int) -> tuple[DataFrame, int]:
+    """Cells per block, for blocks that have rows on both sides, and the number of all cells."""
     stored = _blocks(hist.select("job_name", "script_name")).groupBy("block").agg(F.count("*").alias("n"))
     asked = (
         _blocks(inc.select("job_name", "script_name", "query_id"))
@@ -124,10 +127,14 @@ def _grid(inc: DataFrame, hist: DataFrame, rows_per_cell: int) -> DataFrame:
     sizes = stored.alias("s").join(asked.alias("a"), "block").select(
         "block", cells("s").alias("hist_cells"), cells("a").alias("query_cells")
     )
-    sizes = materialise(sizes)
-    if sizes.count() <= MAX_BROADCAST_BLOCKS:
-        return F.broadcast(sizes)
-    return sizes
+    sizes = materialise(sizes, "grid")
+    total = F.sum(F.col("hist_cells").cast("long") * F.col("query_cells"))
+    blocks, all_cells = sizes.agg(F.count("*"), total).first()
+    return small_side(sizes, MAX_BROADCAST_BLOCKS, blocks), all_cells or 0
+
+
+def _of_width(table: pa.Table, dim: int) -> pa.Table:
+    return table.filter(pc.equal(pc.list_value_length(table.column("embedding")), dim))
 
 
 def _vectors(table: pa.Table, dim: int) -> np.ndarray:
@@ -139,7 +146,9 @@ def _cell_search(k: int, dim: int, digits: int):
     """Function for one cell: at most ``k`` (query, stored row, distance) per query."""
 
     def search(queries: pa.Table, stored: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.string()), "id": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
+        empty = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("distance", pa.float64())]).empty_table()
+        # Checked here and not by a Spark filter, which would make every vector twice.
+        queries, stored = _of_width(queries, dim), _of_width(stored, dim)
         if queries.num_rows == 0 or stored.num_rows == 0:
             return empty
         by_script = queries.column("block")[0].as_py().startswith("script:")
@@ -225,18 +234,20 @@ def nearest_by_query(
     if dim < 1:
         return inc.sparkSession.createDataFrame([], _HIT + ", rank int")
     rows_per_cell = rows_per_cell or max(1, CELL_BYTES // (8 * dim))
-    grid = _grid(inc, hist, rows_per_cell)
+    grid, cells = _grid(inc, hist, rows_per_cell)
+    # A cell is heavy on the processor however few bytes it has, so the number of tasks
+    # follows the cells, not the bytes.
+    tasks = min(max(cells, 1), MAX_TASKS)
 
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         cell = F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int").alias(own)
         copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
         placed = _blocks(df).join(grid, "block")
-        return placed.select(*_CELL[:1], key, "job_name", "embedding", cell, copies)
+        placed = placed.select("block", key, "job_name", "embedding", cell, copies)
+        return placed.repartition(tasks, *_CELL)
 
-    asked = distinct_queries(inc, embed, vector).where(F.size("embedding") == dim)
-    stored = hist.select("id", "job_name", "script_name", as_double(F.col("embedding")).alias("embedding")).where(
-        F.size("embedding") == dim
-    )
+    asked = distinct_queries(inc, embed, vector)
+    stored = hist.select("id", "job_name", "script_name", as_double(F.col("embedding")).alias("embedding"))
     left = spread(asked, "query_id", "query_cell", "hist_cell").groupBy(*_CELL)
     right = spread(stored, "id", "hist_cell", "query_cell").groupBy(*_CELL)
     hits = left.cogroup(right).applyInArrow(_cell_search(k, dim, digits), _HIT)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultweave.functions.text import non_empty, script_request, script_target
+from faultweave.functions.text import non_empty, or_empty, script_request, script_target
+from faultweave.session import materialise
 
 
 def node_for_job(inc: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -22,34 +23,44 @@ def script_lookup(wanted: DataFrame, scripts: DataFrame) -> DataFrame:
     ``.py`` of the requested name as ``.sh``, and answers "not found" by a text, so its
     record is always there. Script names are unique, as file names are.
     """
-    requests = wanted.select("job_name", F.col("script_name").alias("_own")).distinct()
-    own = F.col("_own")
-    request = script_request(own, F.col("job_name"))
-    requests = requests.withColumns(
-        {
-            "request": request,
-            "target": script_target(own, F.col("job_name")),
-            "retry": F.when(F.endswith(request, F.lit(".py")), F.replace(request, F.lit(".py"), F.lit(".sh"))),
-        }
-    )
-    first = scripts.select(
-        F.col("name").alias("target"), F.col("content").alias("node_content"), F.col("permissions").alias("permissions")
-    )
-    second = scripts.select(F.col("name").alias("retry"), F.col("content").alias("_retry_content"))
-    missing = F.concat(F.lit("No script named "), F.col("request"), F.lit(" on the node."))
-    return (
-        requests.join(first, "target", "left")
-        .join(second, "retry", "left")
-        .select(
-            "job_name",
-            F.col("_own").alias("script_name"),
-            F.col("request").alias("config_script"),
-            F.coalesce("node_content", "_retry_content", missing).alias("config_content"),
-            "node_content",
-            "permissions",
-            F.col("node_content").isNotNull().alias("on_node"),
+    own, job = F.col("_own"), F.col("job_name")
+    requests = wanted.select(job, or_empty(F.col("script_name")).alias("_own")).distinct()
+    request = script_request(own, job)
+    retry = F.when(F.endswith(request, F.lit(".py")), F.replace(request, F.lit(".py"), F.lit(".sh")))
+    # Both names are looked up by one inner join, in which the few requests can be the
+    # broadcast side and the script texts need not be shuffled.
+    names = requests.select(
+        "job_name",
+        "_own",
+        F.explode(
+            F.array(
+                F.struct(F.lit(True).alias("first"), script_target(own, job).alias("name")),
+                F.struct(F.lit(False).alias("first"), retry.alias("name")),
+            )
+        ).alias("_try"),
+    ).select("job_name", "_own", "_try.*")
+    by_name = scripts.select("name", "content", "permissions")
+    hits = (
+        materialise(names.where(F.col("name").isNotNull()), "script-names")
+        .join(by_name, "name")
+        .groupBy("job_name", "_own")
+        .agg(
+            F.max(F.when(F.col("first"), F.col("content"))).alias("node_content"),
+            F.max(F.when(F.col("first"), F.col("permissions"))).alias("permissions"),
+            F.max(F.when(~F.col("first"), F.col("content"))).alias("_retry_content"),
         )
     )
+    missing = F.concat(F.lit("No script named "), request, F.lit(" on the node."))
+    found = requests.join(hits, ["job_name", "_own"], "left").select(
+        "job_name",
+        non_empty(own).alias("script_name"),
+        request.alias("config_script"),
+        F.coalesce("node_content", "_retry_content", missing).alias("config_content"),
+        "node_content",
+        "permissions",
+        F.col("node_content").isNotNull().alias("on_node"),
+    )
+    return materialise(found, "scripts")
 
 
 def repo_ref(

@@ -102,7 +102,7 @@ def ticket_matches(
     one pass is enough for more than a hundred thousand names.
     """
     spark = tickets.sparkSession
-    names = materialise(jobs.select(F.lower("job_name").alias("name")).where("name <> ''").distinct())
+    names = materialise(jobs.select(F.lower("job_name").alias("name")).where("name <> ''").distinct(), "names")
     size = names.agg(F.sum(F.length("name")).alias("chars")).first().chars or 0
     if size == 0:
         return spark.createDataFrame([], "name string, seq long, total long, rank int")
@@ -121,7 +121,7 @@ def ticket_matches(
         if not shared.value:
             continue
         parts.append(texts.mapInArrow(_partial_matches(shared, n), _PARTIAL))
-    return first_n_in_order(reduce(DataFrame.unionAll, parts), n, weight="n")
+    return materialise(first_n_in_order(reduce(DataFrame.unionAll, parts), n, weight="n"), "ticket-matches")
 
 
 TICKET_FIELDS = ("key", "ticket_key", "summary", "fix_details", "root_cause")

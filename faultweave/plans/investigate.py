@@ -45,10 +45,11 @@ def prepare(incidents: DataFrame, mode: str = "compat") -> DataFrame:
 def gather(incidents: DataFrame, known: Knowledge, k: int = TOP_K, n: int = FIRST_N, mode: str = "compat") -> DataFrame:
     """One row per incident with everything that was found about it.
 
-    The prepared incidents feed four branches, so they are written once.
+    The prepared incidents feed four branches, so they are written once; so are the
+    narrow hits, for Spark to know their size before it joins the store's texts to them.
     """
-    asked = materialise(prepare(incidents, mode))
-    hits = nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim)
+    asked = materialise(prepare(incidents, mode), "asked")
+    hits = materialise(nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim), "hits")
     history = history_arrays(hits, known.store)
     tickets = ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets)
     scripts = script_lookup(asked, known.scripts)

@@ -79,7 +79,7 @@ def _flat_export(df: DataFrame) -> DataFrame:
         F.md5("INCIDENT_DETAILS").alias("details"),
         "RESOLUTION",
         "ROOT_CAUSE",
-        "FAILURE_TYPE",
+        F.coalesce("FAILURE_TYPE", F.lit("")).alias("FAILURE_TYPE"),
         "RESOLVED_BY",
         "RESOLVED_DATE",
         "MTTD",
@@ -207,11 +207,11 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the documents first, then all of them twice under another resolver."""
     path = scratch_path(spark, "store")
     store.recreate(spark, path)
-    rows = v.store(spark, sf_dir)
-    third = rows.where(F.pmod(F.substring("id", 4, 20).cast("long"), F.lit(3)) == 0)
-    store.append_new(spark, path, third.withColumn("resolved_by", F.lit("first")))
+    docs = v.store_documents(spark, sf_dir)
+    third = docs.where(F.pmod(F.substring("id", 4, 20).cast("long"), F.lit(3)) == 0)
+    store.append_new(spark, path, third.withColumn("resolved_by", F.lit("first")), vectors.md5_embedding)
     for _ in range(2):
-        store.append_new(spark, path, rows.withColumn("resolved_by", F.lit("second")))
+        store.append_new(spark, path, docs.withColumn("resolved_by", F.lit("second")), vectors.md5_embedding)
     return _flat_store(store.read_store(spark, path))
 
 
@@ -247,7 +247,7 @@ def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "store")
     rows = v.store(spark, sf_dir)
     rows.where("failure_type = 'oom'").write.parquet(path)
-    added = store.append_new(spark, path, rows)
+    added = store.append_new(spark, path, v.store_documents(spark, sf_dir), vectors.md5_embedding)
     return store.sync_report(spark, rows.count(), added)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultweave.functions.vectors import md5_embedding
 from faultweave.plans.investigate import Knowledge
 from faultweave.sources.exports import drop_blank_ids, resolve_headers
+from faultweave.sources.store import store_documents as documents_of
 from faultweave.sources.store import store_rows
 
 # (log, description) of the incidents made from events; {job} stands for the job name.
@@ -128,6 +129,11 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export as store rows without vectors."""
+    return documents_of(drop_blank_ids(resolve_headers(export(spark, sf_dir))))
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export as a store with eight-value vectors."""
     return store_rows(drop_blank_ids(resolve_headers(export(spark, sf_dir))), md5_embedding)

@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how long lineages are cut."""
+"""Where intermediate tables go, how long lineages are cut, and what may be broadcast."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -36,7 +37,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows once to the shared folder and go on from the written copy.
+
+    A Parquet copy outlives lost executors, lets each reader take only its columns, and
+    has a known size by which Spark chooses joins.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
+    """Mark a materialised table for broadcast if it has at most ``max_rows`` rows."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows <= max_rows else df

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import file_label
-from faultweave.session import materialise
+from faultweave.session import materialise, small_side
+
+MAX_BROADCAST_SPLITS = 200_000
 
 
 def read_logs(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
@@ -29,9 +31,11 @@ def read_logs(spark: SparkSession, path: str, by_folder: bool = False) -> DataFr
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("line"),
     )
-    lines = materialise(lines)
+    lines = materialise(lines, "log-lines")
     splits = lines.groupBy("log_name", "file", "start").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     earlier = W.partitionBy("log_name").orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    offsets = materialise(splits.select("file", "start", "first", before.alias("before")), "log-splits")
     number = F.col("row") - F.col("first") + F.col("before") + 1
-    return lines.join(offsets, ["log_name", "file", "start"]).select("log_name", number.alias("line_no"), "line")
+    numbered = lines.join(small_side(offsets, MAX_BROADCAST_SPLITS), ["file", "start"])
+    return numbered.select("log_name", number.alias("line_no"), "line")

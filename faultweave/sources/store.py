@@ -11,8 +11,8 @@ from faultweave.schemas import STORE, STORE_ATTRIBUTES
 from faultweave.sources.exports import drop_blank_ids
 
 
-def store_rows(docs: DataFrame, embed: Embedder) -> DataFrame:
-    """Incidents as store rows: id, embedding, document and seven attributes.
+def store_documents(docs: DataFrame) -> DataFrame:
+    """Incidents as store rows without their vectors: id, document and seven attributes.
 
     The id is the ticket_id; where that column is absent it is the row's place ``seq``,
     counted from 0.
@@ -38,8 +38,12 @@ def store_rows(docs: DataFrame, embed: Embedder) -> DataFrame:
         text(c, "unknown" if c == "failure_type" else "").alias(c) for c in STORE_ATTRIBUTES
     ]
     kept = [F.col("seq")] if "seq" in have else []
-    rows = docs.select(row_id.alias("id"), document.alias("document"), *attributes, *kept)
-    return rows.withColumn("embedding", embed(F.col("document"))).select(*STORE.fieldNames(), *kept)
+    return docs.select(row_id.alias("id"), document.alias("document"), *attributes, *kept)
+
+
+def store_rows(docs: DataFrame, embed: Embedder) -> DataFrame:
+    """Incidents as full store rows."""
+    return store_documents(docs).withColumn("embedding", embed(F.col("document"))).select(*STORE.fieldNames())
 
 
 def recreate(spark: SparkSession, path: str) -> None:
@@ -72,9 +76,13 @@ def first_per_id(docs: DataFrame) -> DataFrame:
     return docs.groupBy("id").agg(first).select("id", "_first.*")
 
 
-def append_new(spark: SparkSession, path: str, docs: DataFrame, repeats: str = "error") -> int:
+def append_new(
+    spark: SparkSession, path: str, docs: DataFrame, embed: Embedder | None = None, repeats: str = "error"
+) -> int:
     """Add the rows whose id the store does not have, and return how many those were.
 
+    ``docs`` come from :func:`store_documents`, and only the new ones are embedded; without
+    ``embed`` they carry their vectors.
     A stored id keeps its row. Repeats of an id inside ``docs`` are an error, or with
     ``repeats="first"`` the row with the smallest ``seq`` is taken. A second run over
     the same rows adds nothing, so a lost run may be repeated.
@@ -83,10 +91,11 @@ def append_new(spark: SparkSession, path: str, docs: DataFrame, repeats: str = "
         docs = first_per_id(docs)
     elif docs.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("an id occurs twice in one batch")
-    columns = STORE.fieldNames()
     before = store_count(read_store(spark, path))
-    new = not_yet_stored(docs.select(*columns), read_store(spark, path))
-    new.write.mode("append").parquet(path)
+    new = not_yet_stored(docs, read_store(spark, path))
+    if embed:
+        new = new.withColumn("embedding", embed(F.col("document")))
+    new.select(*STORE.fieldNames()).write.mode("append").parquet(path)
     return store_count(read_store(spark, path)) - before
 
 
@@ -102,7 +111,7 @@ def sync_range(
     ``resolved_at`` holds ISO dates as text, so text order is date order.
     """
     chosen = drop_blank_ids(incidents.where(F.col("resolved_at").between(start, end)))
-    added = append_new(spark, path, store_rows(chosen, embed))
+    added = append_new(spark, path, store_documents(chosen), embed)
     return sync_report(spark, chosen.count(), added)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultweave.functions.vectors import Embedder
 from faultweave.sources.exports import drop_blank_ids, resolve_headers
-from faultweave.sources.store import append_new, store_rows
+from faultweave.sources.store import append_new, store_documents
 
 
 def store_stream(
@@ -20,8 +20,8 @@ def store_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        docs = store_rows(drop_blank_ids(resolve_headers(batch)), embed)
-        append_new(batch.sparkSession, path, docs, repeats="first")
+        docs = store_documents(drop_blank_ids(resolve_headers(batch)))
+        append_new(batch.sparkSession, path, docs, embed, repeats="first")
 
     writer = feed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
