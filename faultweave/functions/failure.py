@@ -74,11 +74,16 @@ def classify_failure(
     df: DataFrame, log: str = "tws_log", description: str = "description", out: str = "failure_type"
 ) -> DataFrame:
     """Add the failure label. The lower-cased text is one projected column, made once per row."""
-    text = F.lower(F.concat(or_empty(F.col(log)), F.lit(" "), or_empty(F.col(description))))
+    text = F.lower(search_text(F.col(log), F.col(description)))
     return df.withColumn("_text", text).withColumn(out, failure_label(F.col("_text"))).drop("_text")
 
 
-def job_name_in(log: Column, description: Column, mode: str = "compat") -> Column:
+def search_text(log: Column, description: Column) -> Column:
+    """The text that labels and names are looked for in."""
+    return F.concat(or_empty(log), F.lit(" "), or_empty(description))
+
+
+def job_name_in(text: Column, mode: str = "compat") -> Column:
     """The job a text speaks of, or null.
 
     ``compat`` gives the whole match after its last colon (so ``Job X`` stays ``Job X``),
@@ -86,7 +91,6 @@ def job_name_in(log: Column, description: Column, mode: str = "compat") -> Colum
     """
     if mode not in ("compat", "name"):
         raise ValueError(f"unknown mode {mode!r}")
-    text = F.concat(or_empty(log), F.lit(" "), or_empty(description))
     hits = []
     for pattern, group in JOB_PATTERNS:
         if mode == "name":
@@ -96,8 +100,18 @@ def job_name_in(log: Column, description: Column, mode: str = "compat") -> Colum
     return F.coalesce(*hits)
 
 
-def resolve_job_name(job_name: Column, log: Column, description: Column, mode: str = "compat") -> Column:
-    return F.coalesce(non_empty(job_name), job_name_in(log, description, mode), F.lit("UNKNOWN"))
+def resolve_job_name(
+    df: DataFrame,
+    job_name: str = "job_name",
+    log: str = "tws_log",
+    description: str = "description",
+    mode: str = "compat",
+    out: str | None = None,
+) -> DataFrame:
+    """Fill blank job names from the texts, and with ``UNKNOWN`` where these name none."""
+    named = F.coalesce(non_empty(F.col(job_name)), job_name_in(F.col("_text"), mode), F.lit("UNKNOWN"))
+    texts = df.withColumn("_text", search_text(F.col(log), F.col(description)))
+    return texts.withColumn(out or job_name, named).drop("_text")
 
 
 def ticket_keys(text: Column) -> Column:

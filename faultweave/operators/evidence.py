@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import non_empty, or_empty, script_request, truncate
-from faultweave.operators.history import RESULT_FIELDS
 from faultweave.operators.scripts import node_ref, repo_ref
-from faultweave.operators.tickets import TICKET_FIELDS
 from faultweave.operators.trace import base_name
 
 # How much of each text goes into a diagnosis text, and how many entries.
@@ -18,13 +16,24 @@ OUTCOME_CHARS = 160
 CONTEXT_ENTRIES = 3
 NOTHING = "None found"
 
-_HISTORY = (
-    "array<struct<rank:int,"
-    + ",".join(f"{c}:{'double' if c == 'similarity_score' else 'string'}" for c in RESULT_FIELDS)
-    + ">>"
+# What evidence and a diagnosis text read of each past incident and each ticket.
+EVIDENCE_FIELDS: tuple[dict[str, int | None], ...] = ({"ticket_id": None}, {"key": None, "ticket_key": None})
+CONTEXT_FIELDS: tuple[dict[str, int | None], ...] = (
+    {"ticket_id": None, "description": SUMMARY_CHARS, "resolution": OUTCOME_CHARS},
+    {"key": None, "ticket_key": None, "summary": SUMMARY_CHARS, "fix_details": None, "root_cause": OUTCOME_CHARS},
 )
-_TICKETS = "array<struct<rank:int,seq:bigint," + ",".join(f"{c}:string" for c in TICKET_FIELDS) + ">>"
 
+# The keys of the evidence record, and the stages of an investigation.
+EVIDENCE_KEYS = (
+    "historical_tickets",
+    "jira_tickets",
+    "edge_node_available",
+    "bitbucket_config",
+    "historical_ticket_ids",
+    "jira_ticket_keys",
+    "edge_node_ref",
+    "bitbucket_ref",
+)
 STAGES = (
     "historical_search",
     "bitbucket_context",
@@ -43,6 +52,8 @@ def assemble(inc: DataFrame, history: DataFrame, scripts: DataFrame, tickets: Da
     right side, so a hot job only grows the left side, which Spark can split.
     """
     own = F.coalesce(F.col("script_name"), F.lit(""))
+    no_history = F.array().cast(history.schema["history"].dataType)
+    no_tickets = F.array().cast(tickets.schema["tickets"].dataType)
     found_scripts = scripts.withColumn("_script", own).drop("script_name")
     return (
         inc.withColumn("_script", own)
@@ -53,8 +64,8 @@ def assemble(inc: DataFrame, history: DataFrame, scripts: DataFrame, tickets: Da
         .drop("_script", "name")
         .withColumns(
             {
-                "history": F.coalesce("history", F.array().cast(_HISTORY)),
-                "tickets": F.coalesce("tickets", F.array().cast(_TICKETS)),
+                "history": F.coalesce("history", no_history),
+                "tickets": F.coalesce("tickets", no_tickets),
                 "ticket_total": F.coalesce("ticket_total", F.lit(0).cast("long")),
             }
         )
@@ -136,8 +147,8 @@ def diagnosis_context(found: DataFrame, out: str = "context") -> DataFrame:
     return found.withColumn(out, F.concat_ws("\n\n", *sections))
 
 
-def stage_outcomes(found: DataFrame, analysis: str | None = None) -> DataFrame:
-    """Six rows per incident: request_id, stage, status, metric, value."""
+def stage_records(analysis: str | None = None) -> Column:
+    """The six stages of one incident as an array of stage, status, metric, value."""
     text = F.col(analysis) if analysis else F.lit(None).cast("string")
     analysed = non_empty(text).isNotNull()
 
@@ -158,7 +169,12 @@ def stage_outcomes(found: DataFrame, analysis: str | None = None) -> DataFrame:
         row(STAGES[4], "status", F.when(analysed, "completed").otherwise("unavailable"), analysed),
         row(STAGES[5], "", F.lit("")),
     ]
-    return found.select("request_id", F.explode(F.array(*rows)).alias("s")).select("request_id", "s.*")
+    return F.array(*rows)
+
+
+def stage_outcomes(found: DataFrame, analysis: str | None = None) -> DataFrame:
+    """Six rows per incident: request_id, stage, status, metric, value."""
+    return found.select("request_id", F.explode(stage_records(analysis)).alias("s")).select("request_id", "s.*")
 
 
 def stage_summary(outcomes: DataFrame) -> DataFrame:

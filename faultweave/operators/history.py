@@ -303,7 +303,13 @@ def history_search(
     return asked.select("request_id", "query_id").join(scored, "query_id").drop("query_id")
 
 
-def history_arrays(hits: DataFrame, hist: DataFrame) -> DataFrame:
-    """One row per question: query_id and the ranked array of past incidents."""
-    full = with_attributes(hits, hist)
-    return full.groupBy("query_id").agg(ranked_array("rank", *RESULT_FIELDS).alias("history"))
+def history_arrays(hits: DataFrame, hist: DataFrame, fields: dict[str, int | None] | None = None) -> DataFrame:
+    """One row per question: query_id and the ranked array of past incidents.
+
+    ``fields`` names the attributes to carry, each with the number of characters that
+    will be read (None for all). Long texts are cut before they are copied per question.
+    """
+    chosen = fields or dict.fromkeys(RESULT_FIELDS)
+    cut = [F.substring(c, 1, n).alias(c) if n else F.col(c) for c, n in chosen.items()]
+    found = with_attributes(hits, hist).select("query_id", "rank", *cut)
+    return found.groupBy("query_id").agg(ranked_array("rank", *chosen).alias("history"))

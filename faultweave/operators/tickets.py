@@ -127,14 +127,22 @@ def ticket_matches(
 TICKET_FIELDS = ("key", "ticket_key", "summary", "fix_details", "root_cause")
 
 
-def ticket_arrays(matches: DataFrame, tickets: DataFrame) -> DataFrame:
-    """One row per job name: the ranked array of tickets and the full match count."""
-    present = [
-        F.col(c) if c in tickets.columns else F.lit(None).cast("string").alias(c) for c in TICKET_FIELDS
-    ]
-    chosen = matches.join(tickets.select(F.col("seq").cast("long").alias("seq"), *present), "seq")
+def ticket_arrays(
+    matches: DataFrame, tickets: DataFrame, fields: dict[str, int | None] | None = None
+) -> DataFrame:
+    """One row per job name: the ranked array of tickets and the full match count.
+
+    ``fields`` names the ticket columns to carry, each with the number of characters that
+    will be read (None for all).
+    """
+    wanted = fields or dict.fromkeys(TICKET_FIELDS)
+    carried = []
+    for c, n in wanted.items():
+        value = F.col(c) if c in tickets.columns else F.lit(None).cast("string")
+        carried.append((F.substring(value, 1, n) if n else value).alias(c))
+    chosen = matches.join(tickets.select(F.col("seq").cast("long").alias("seq"), *carried), "seq")
     return chosen.groupBy("name").agg(
-        ranked_array("rank", "seq", *TICKET_FIELDS).alias("tickets"), F.max("total").alias("ticket_total")
+        ranked_array("rank", "seq", *wanted).alias("tickets"), F.max("total").alias("ticket_total")
     )
 
 

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from faultweave.functions.failure import classify_failure, resolve_job_name
 from faultweave.functions.text import normalise_input
 from faultweave.functions.vectors import Embedder
-from faultweave.operators.evidence import assemble, diagnosis_context, evidence
+from faultweave.operators.evidence import (
+    CONTEXT_FIELDS,
+    EVIDENCE_FIELDS,
+    EVIDENCE_KEYS,
+    assemble,
+    diagnosis_context,
+    evidence,
+    stage_records,
+)
 from faultweave.operators.history import TOP_K, history_arrays, nearest_by_query, with_query_id
 from faultweave.operators.recommend import recommend
 from faultweave.operators.scripts import node_for_job, script_lookup
@@ -37,21 +45,30 @@ class Knowledge:
 
 def prepare(incidents: DataFrame, mode: str = "compat") -> DataFrame:
     """Trimmed input with failure_type, a job name that is never blank, and query_id."""
-    clean = classify_failure(normalise_input(incidents))
-    job = resolve_job_name(F.col("job_name"), F.col("tws_log"), F.col("description"), mode)
-    return with_query_id(clean.withColumn("job_name", job))
-
-
-def gather(incidents: DataFrame, known: Knowledge, k: int = TOP_K, n: int = FIRST_N, mode: str = "compat") -> DataFrame:
+    clean = classify_failure(normalise_input(incidents)).withColumn("given_job_name", F.col("job_name"))
+    return with_query_id(resolve_job_name(clean, mode=mode))
+
+
+def gather(
+    incidents: DataFrame,
+    known: Knowledge,
+    k: int = TOP_K,
+    n: int = FIRST_N,
+    mode: str = "compat",
+    fields: tuple[dict[str, int | None], ...] | None = None,
+) -> DataFrame:
     """One row per incident with everything that was found about it.
 
+    ``fields`` limits what is carried of past incidents and of tickets; by default all.
+
     The prepared incidents feed four branches, so they are written once; so are the
     narrow hits, for Spark to know their size before it joins the store's texts to them.
     """
     asked = materialise(prepare(incidents, mode), "asked")
     hits = materialise(nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim), "hits")
-    history = history_arrays(hits, known.store)
-    tickets = ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets)
+    of_past, of_tickets = fields or (None, None)
+    history = history_arrays(hits, known.store, of_past)
+    tickets = ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets, of_tickets)
     scripts = script_lookup(asked, known.scripts)
     found = assemble(asked, history, scripts, tickets)
     return evidence(node_for_job(found, known.nodes), known.repo)
@@ -59,7 +76,7 @@ def gather(incidents: DataFrame, known: Knowledge, k: int = TOP_K, n: int = FIRS
 
 def investigate(incidents: DataFrame, known: Knowledge, **options) -> DataFrame:
     """One row per incident: label, recommendation and evidence."""
-    return recommend(gather(incidents, known, **options)).select(
+    return recommend(gather(incidents, known, fields=EVIDENCE_FIELDS, **options)).select(
         "request_id",
         "ticket_id",
         "job_name",
@@ -81,6 +98,29 @@ def investigate(incidents: DataFrame, known: Knowledge, **options) -> DataFrame:
     )
 
 
+def responses(incidents: DataFrame, known: Knowledge, analysis: str | None = None, **options) -> DataFrame:
+    """One nested record per incident, in the form a caller of the service gets.
+
+    The job name is the one that was handed in. ``analysis`` names an incident column with
+    a diagnosis made elsewhere, if there is one.
+    """
+    found = recommend(gather(incidents, known, fields=EVIDENCE_FIELDS, **options))
+    return found.select(
+        "request_id",
+        "ticket_id",
+        F.col("given_job_name").alias("job_name"),
+        "failure_type",
+        "root_cause",
+        F.col("actions").alias("recommended_actions"),
+        "confidence",
+        F.struct(*EVIDENCE_KEYS).alias("evidence"),
+        "escalation_needed",
+        (F.col(analysis) if analysis else F.lit(None).cast("string")).alias("log_analysis"),
+        stage_records(analysis).alias("agent_outputs"),
+    )
+
+
 def contexts(incidents: DataFrame, known: Knowledge, **options) -> DataFrame:
     """One diagnosis text per incident."""
-    return diagnosis_context(gather(incidents, known, **options)).select("request_id", "context")
+    found = gather(incidents, known, fields=CONTEXT_FIELDS, **options)
+    return diagnosis_context(found).select("request_id", "context")

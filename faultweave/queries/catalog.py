@@ -229,7 +229,7 @@ def recreate_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = store.read_store(spark, path).agg(F.count("*").alias("rows_before")).first().rows_before
     store.recreate(spark, path)
     return store.read_store(spark, path).agg(
-        F.lit(before).alias("rows_before"), F.count("*").alias("rows_after")
+        F.lit(before).cast("long").alias("rows_before"), F.count("*").alias("rows_after")
     )
 
 
@@ -368,12 +368,12 @@ def classify_failure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_job_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, description = F.col("tws_log"), F.col("description")
-    return v.incidents(spark, sf_dir).select(
+    text_of = failure.search_text(F.col("tws_log"), F.col("description"))
+    return failure.resolve_job_name(v.incidents(spark, sf_dir), out="resolved").select(
         "request_id",
-        _str(failure.job_name_in(log, description)).alias("compat"),
-        _str(failure.job_name_in(log, description, "name")).alias("name"),
-        failure.resolve_job_name(F.col("job_name"), log, description).alias("resolved"),
+        _str(failure.job_name_in(text_of)).alias("compat"),
+        _str(failure.job_name_in(text_of, "name")).alias("name"),
+        "resolved",
     )
 
 
@@ -541,12 +541,14 @@ def node_for_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return investigate.gather(v.incidents(spark, sf_dir), v.knowledge(spark, sf_dir))
+    known = v.knowledge(spark, sf_dir)
+    return investigate.gather(v.incidents(spark, sf_dir), known, fields=evidence.EVIDENCE_FIELDS)
 
 
 @query
 def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).select(
+    found = investigate.gather(v.incidents(spark, sf_dir), v.knowledge(spark, sf_dir))
+    return found.select(
         "request_id",
         F.size("history").alias("past"),
         F.size("tickets").alias("tickets"),
@@ -979,6 +981,22 @@ def investigate_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_investigation(investigate.investigate(v.incidents(spark, sf_dir), v.knowledge(spark, sf_dir)))
 
 
+@query
+def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = investigate.responses(v.incidents(spark, sf_dir), v.knowledge(spark, sf_dir), analysis="command")
+    return rows.select(
+        "request_id",
+        "job_name",
+        "confidence",
+        F.col("evidence.historical_tickets").alias("past"),
+        F.array_join("evidence.jira_ticket_keys", ",").alias("keys"),
+        _str("log_analysis").alias("log_analysis"),
+        F.array_join(F.transform("agent_outputs", lambda s: F.concat_ws(":", s["stage"], s["status"])), " ").alias(
+            "stages"
+        ),
+    )
+
+
 @query
 def investigate_incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same incidents as a file stream, in micro-batches."""

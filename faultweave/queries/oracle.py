@@ -593,6 +593,13 @@ _BODIES: dict[str, str] = {
         FROM (SELECT customer_id, CAST(1000 AS DOUBLE) / 11000 + c_acctbal * (CAST(1 AS DOUBLE) / 11000) AS s
           FROM customers) c""",
     "investigate_incidents": _INVESTIGATION,
+    "response_records": """
+        SELECT j.request_id, i.job_name, confidence, CAST(past AS INTEGER) AS past, keys,
+          coalesce(nullif(command, ''), '-') AS log_analysis,
+          'historical_search:completed bitbucket_context:completed edge_node_script:completed '
+            || 'jira_intelligence:completed log_analysis:' || CASE WHEN command <> '' THEN 'completed' ELSE 'skipped' END
+            || ' resolution_synthesis:completed' AS stages
+        FROM judged j JOIN inc i ON i.request_id = j.request_id""",
     "investigate_incident_stream": _INVESTIGATION,
     "store_feed_stream": _flat_store("CASE WHEN failure_type = 'oom' THEN 'held' ELSE resolved_by END"),
 }

@@ -52,24 +52,29 @@ def plain(value):
     return repr(value)
 
 
-def normal(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def normal(columns: list[tuple[str, str]], rows) -> tuple[list[tuple[str, str]], list[tuple]]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
 def spark_side(spark: SparkSession, fn, sf_dir: str):
     df = fn(spark, sf_dir)
-    return normal(df.columns, [tuple(r) for r in df.collect()])
+    columns = [(name, SQL_TYPES.get(kind, kind)) for name, kind in df.dtypes]
+    return normal(columns, [tuple(r) for r in df.collect()])
 
 
 def sql_side(con: duckdb.DuckDBPyConnection, sql: str):
     cursor = con.execute(sql)
-    return normal([d[0] for d in cursor.description], cursor.fetchall())
+    return normal([(d[0], str(d[1])) for d in cursor.description], cursor.fetchall())
 
 
 def difference(ours, theirs) -> str:
     if ours[0] != theirs[0]:
-        return f"columns {ours[0]} against {theirs[0]}"
+        left, right = set(ours[0]), set(theirs[0])
+        return f"columns {sorted(left - right)} against {sorted(right - left)}"
     if len(ours[1]) != len(theirs[1]):
         return f"{len(ours[1])} rows against {len(theirs[1])}; {_first(ours, theirs)}"
     return "" if ours[1] == theirs[1] else _first(ours, theirs)
