@@ -23,6 +23,7 @@ from faultweave.session import materialise, small_side
 TOP_K = 5
 CELL_BYTES = 32 << 20
 TILE_VALUES = 4 << 20
+MIN_PAIRS, MAX_PAIRS = 1 << 24, 1 << 30
 MAX_BROADCAST_BLOCKS = 100_000
 MAX_TASKS = 100_000
 
@@ -112,25 +113,45 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.explode(F.array_compact(places)))
 
 
-def _grid(inc: DataFrame, hist: DataFrame, rows_per_cell: int) -> tuple[DataFrame, int]:
-    """Cells per block, for blocks that have rows on both sides, and the number of all cells."""
-    stored = _blocks(hist.select("job_name", "script_name")).groupBy("block").agg(F.count("*").alias("n"))
+def _grid(
+    inc: DataFrame, hist: DataFrame, rows_per_cell: int, pairs_per_cell: int | None = None
+) -> tuple[DataFrame, int]:
+    """Cells per block, for blocks that have rows on both sides, and the number of all cells.
+
+    A cell holds at most about ``rows_per_cell`` rows of each side, which bounds its memory,
+    and ``pairs_per_cell`` comparisons. The latter follow from all comparisons: enough cells
+    to keep every core busy, but no smaller than is worth a task and no longer than is fit
+    to be repeated when an executor is lost.
+    """
+    stored = _blocks(hist.select("job_name", "script_name")).groupBy("block").agg(F.count("*").alias("stored"))
     asked = (
         _blocks(inc.select("job_name", "script_name", "query_id"))
         .groupBy("block")
-        .agg(F.approx_count_distinct("query_id").alias("n"))
+        .agg(F.approx_count_distinct("query_id").alias("asked"))
     )
-
-    def cells(side: str) -> Column:
-        return F.greatest(F.ceil(F.col(f"{side}.n") / F.lit(rows_per_cell)), F.lit(1)).cast("int")
-
-    sizes = stored.alias("s").join(asked.alias("a"), "block").select(
-        "block", cells("s").alias("hist_cells"), cells("a").alias("query_cells")
+    sizes = materialise(stored.join(asked, "block"), "blocks")
+    pairs = F.col("stored").cast("double") * F.col("asked")
+    blocks, all_pairs = sizes.agg(F.count("*"), F.coalesce(F.sum(pairs), F.lit(0.0))).first()
+    if pairs_per_cell is None:
+        cores = inc.sparkSession.sparkContext.defaultParallelism
+        pairs_per_cell = min(max(int(all_pairs / (4 * cores)), MIN_PAIRS), MAX_PAIRS)
+
+    # Rows are copied once per cell of the other side. For a number of cells the copies are
+    # fewest when both sides are cut in proportion to their rows.
+    wanted = pairs / F.lit(float(pairs_per_cell))
+    hist_cells = F.greatest(
+        F.ceil(F.col("stored") / F.lit(rows_per_cell)),
+        F.ceil(F.sqrt(wanted * F.col("stored") / F.greatest(F.col("asked"), F.lit(1)))),
+        F.lit(1),
     )
-    sizes = materialise(sizes, "grid")
-    total = F.sum(F.col("hist_cells").cast("long") * F.col("query_cells"))
-    blocks, all_cells = sizes.agg(F.count("*"), total).first()
-    return small_side(sizes, MAX_BROADCAST_BLOCKS, blocks), all_cells or 0
+    query_cells = F.greatest(
+        F.ceil(F.col("asked") / F.lit(rows_per_cell)), F.ceil(wanted / F.col("hist_cells")), F.lit(1)
+    )
+    grid = sizes.withColumn("hist_cells", hist_cells.cast("int")).select(
+        "block", "hist_cells", query_cells.cast("int").alias("query_cells")
+    )
+    cells = grid.agg(F.sum(F.col("hist_cells").cast("long") * F.col("query_cells"))).first()[0]
+    return small_side(grid, MAX_BROADCAST_BLOCKS, blocks), cells or 0
 
 
 def _of_width(table: pa.Table, dim: int) -> pa.Table:
@@ -142,6 +163,12 @@ def _vectors(table: pa.Table, dim: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _kth_smallest(values: np.ndarray, k: int) -> np.ndarray:
+    if values.shape[1] <= k:
+        return np.full(len(values), np.inf)
+    return np.partition(values, k - 1, axis=1)[:, k - 1]
+
+
 def _cell_search(k: int, dim: int, digits: int):
     """Function for one cell: at most ``k`` (query, stored row, distance) per query."""
 
@@ -159,8 +186,9 @@ def _cell_search(k: int, dim: int, digits: int):
         seen: dict[tuple, int] = {}
         keep = np.zeros(len(points), dtype=bool)
         for i, (job, point) in enumerate(zip(jobs, points)):
-            copies = seen.get((job, point.tobytes()), 0)
-            seen[(job, point.tobytes())] = copies + 1
+            same = (job, point.tobytes())
+            copies = seen.get(same, 0)
+            seen[same] = copies + 1
             keep[i] = copies < k
         points = points[keep]
         ids = np.array(stored.column("id").to_pylist(), dtype=object)[keep]
@@ -170,24 +198,33 @@ def _cell_search(k: int, dim: int, digits: int):
         asked = _vectors(queries, dim)
         names = queries.column("query_id").to_pylist()
 
-        norms = (points * points).sum(axis=1)
+        # The product form |a|^2 + |b|^2 - 2ab is only a filter. It is taken around the
+        # center, where it is most precise, and its limit comes from a sample of the points.
+        center = points.mean(axis=0)
+        near = points - center
+        norms = (near * near).sum(axis=1)
+        stride = max(1, int(len(points) / np.sqrt(16.0 * k * len(points))))
         out_rows, out_ids, out_distances = [], [], []
         step = max(1, TILE_VALUES // len(points))
         for start in range(0, len(asked), step):
             tile = asked[start : start + step]
-            tile_norms = (tile * tile).sum(axis=1)
-            rough = tile_norms[:, None] + norms[None, :] - 2.0 * (tile @ points.T)
+            shifted = tile - center
+            tile_norms = (shifted * shifted).sum(axis=1)
+            rough = shifted @ near.T
+            rough *= -2.0
+            rough += norms
             if by_script:
                 # Rows of the query's own job are compared in the job block.
                 rough[asked_jobs[start : start + step][:, None] == point_jobs[None, :]] = np.inf
-            # The product form is only a filter: whatever rounding could move into the
-            # first k is measured again by differences.
-            slack = 10.0**-digits + 1e-14 * dim * (tile_norms + norms.max())
-            if len(points) > k:
-                limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
-            else:
-                limit = np.full(len(tile), np.inf)
-            rows, cols = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+            limit = _kth_smallest(rough[:, ::stride], k)
+            unknown = ~np.isfinite(limit)
+            if unknown.any():
+                limit[unknown] = _kth_smallest(rough[unknown], k)
+            # Whatever rounding could move into the first k is measured again by differences.
+            limit += 10.0**-digits + 1e-14 * dim * (tile_norms + norms.max())
+            rows, cols = np.nonzero(rough <= limit[:, None])
+            open_end = np.isinf(rough[rows, cols])
+            rows, cols = rows[~open_end], cols[~open_end]
             exact = np.empty(len(rows))
             part = max(1, TILE_VALUES // dim)
             for i in range(0, len(rows), part):
@@ -222,6 +259,7 @@ def nearest_by_query(
     dim: int | None = None,
     digits: int = 9,
     rows_per_cell: int | None = None,
+    pairs_per_cell: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest stored rows per question: query_id, id, distance, rank.
 
@@ -234,7 +272,7 @@ def nearest_by_query(
     if dim < 1:
         return inc.sparkSession.createDataFrame([], _HIT + ", rank int")
     rows_per_cell = rows_per_cell or max(1, CELL_BYTES // (8 * dim))
-    grid, cells = _grid(inc, hist, rows_per_cell)
+    grid, cells = _grid(inc, hist, rows_per_cell, pairs_per_cell)
     # A cell is heavy on the processor however few bytes it has, so the number of tasks
     # follows the cells, not the bytes.
     tasks = min(max(cells, 1), MAX_TASKS)
@@ -295,10 +333,11 @@ def history_search(
     dim: int | None = None,
     digits: int = 9,
     rows_per_cell: int | None = None,
+    pairs_per_cell: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest stored rows per incident: request_id, rank, id, distance, similarity_score."""
     asked = with_query_id(inc, None if embed else vector)
-    hits = nearest_by_query(asked, hist, k, embed, vector, dim, digits, rows_per_cell)
+    hits = nearest_by_query(asked, hist, k, embed, vector, dim, digits, rows_per_cell, pairs_per_cell)
     scored = hits.withColumn("similarity_score", F.lit(1.0) - F.col("distance"))
     return asked.select("request_id", "query_id").join(scored, "query_id").drop("query_id")
 

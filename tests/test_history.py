@@ -27,7 +27,7 @@ def make(seed, n_store, n_asked, dim=6, hot=0.5, copies=0.4):
     def script():
         return [None, "", "a.py", "b.py"][rng.integers(4)]
 
-    stored = [(f"id{i:03d}", job(), script() or "", vector()) for i in range(n_store)]
+    stored = [(f"id{i:05d}", job(), script() or "", vector()) for i in range(n_store)]
     asked = [(i, job(), script(), vector()) for i in range(n_asked)]
     return stored, asked
 
@@ -50,10 +50,16 @@ def search(spark, stored, asked, k, **options):
     return sorted((r.request_id, r["rank"], r.id, round(r.distance, 9)) for r in hits)
 
 
-@pytest.mark.parametrize("seed, rows_per_cell", [(1, 1000), (2, 7), (3, 1), (4, 23)])
-def test_equals_brute_force(spark, seed, rows_per_cell):
+@pytest.mark.parametrize("seed, rows, pairs", [(1, 1000, None), (2, 7, None), (3, 1, None), (4, 23, 100), (5, 1000, 1)])
+def test_equals_brute_force(spark, seed, rows, pairs):
     stored, asked = make(seed, 90, 40)
-    assert search(spark, stored, asked, 5, rows_per_cell=rows_per_cell) == brute(stored, asked, 5)
+    assert search(spark, stored, asked, 5, rows_per_cell=rows, pairs_per_cell=pairs) == brute(stored, asked, 5)
+
+
+@pytest.mark.parametrize("copies", [0.0, 0.95])
+def test_sampled_limit_in_a_large_block(spark, copies):
+    stored, asked = make(7, 1500, 30, hot=1.0, copies=copies)
+    assert search(spark, stored, asked, 3) == brute(stored, asked, 3)
 
 
 def test_large_values_do_not_blur_the_order(spark):
