@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from faultweave.functions.vectors import md5_embedding
 from faultweave.plans.investigate import Knowledge
@@ -34,8 +35,15 @@ REPO = {"workspace": "ops", "repo": "batch-jobs", "path": "jobs", "branch": "mai
 EMBEDDING_DIM = 8
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is looked up once, since a query reads some tables often."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
