@@ -3,7 +3,8 @@
 An incident may match every stored row of its job, so pairs are never made as rows.
 Each job (and each script) is a block; a block is cut into a grid of cells of bounded
 size, a cell compares its incidents with its stored rows by one matrix product and gives
-back at most ``k`` rows per incident. Equal questions are asked only once.
+back at most ``k`` rows per incident. Equal questions are asked only once, and of equal
+stored vectors only the ``k`` with the smallest ids are compared.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from faultweave.functions.text import non_empty, or_empty
 from faultweave.functions.vectors import Embedder, as_double
-from faultweave.operators.topk import ranked_array
+from faultweave.operators.topk import ranked_array, top_k
 from faultweave.session import materialise, small_side
 
 TOP_K = 5
@@ -113,8 +114,20 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.explode(F.array_compact(places)))
 
 
+def distinct_vectors(hist: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Of stored rows with the same job, script and vector the ``k`` with the smallest ids.
+
+    The others can never be among the first ``k``. Copies are cut before the shuffle, and
+    a vector that very many rows share is split by salt.
+    """
+    vector = F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), F.col("embedding"))) for seed in (1, 2)])
+    keyed = hist.withColumn("_vector", vector)
+    first = top_k(keyed, ["job_name", "script_name", "_vector"], [F.col("id")], k, spread=["id"], rank="_copy")
+    return first.drop("_vector", "_copy")
+
+
 def _grid(
-    inc: DataFrame, hist: DataFrame, rows_per_cell: int, pairs_per_cell: int | None = None
+    asked: DataFrame, stored: DataFrame, rows_per_cell: int, pairs_per_cell: int | None = None
 ) -> tuple[DataFrame, int]:
     """Cells per block, for blocks that have rows on both sides, and the number of all cells.
 
@@ -123,17 +136,16 @@ def _grid(
     to keep every core busy, but no smaller than is worth a task and no longer than is fit
     to be repeated when an executor is lost.
     """
-    stored = _blocks(hist.select("job_name", "script_name")).groupBy("block").agg(F.count("*").alias("stored"))
-    asked = (
-        _blocks(inc.select("job_name", "script_name", "query_id"))
-        .groupBy("block")
-        .agg(F.approx_count_distinct("query_id").alias("asked"))
-    )
-    sizes = materialise(stored.join(asked, "block"), "blocks")
+    spark = asked.sparkSession
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return _blocks(df.select("job_name", "script_name")).groupBy("block").agg(F.count("*").alias(name))
+
+    sizes = materialise(rows(stored, "stored").join(rows(asked, "asked"), "block"), "blocks")
     pairs = F.col("stored").cast("double") * F.col("asked")
     blocks, all_pairs = sizes.agg(F.count("*"), F.coalesce(F.sum(pairs), F.lit(0.0))).first()
     if pairs_per_cell is None:
-        cores = inc.sparkSession.sparkContext.defaultParallelism
+        cores = spark.sparkContext.defaultParallelism
         pairs_per_cell = min(max(int(all_pairs / (4 * cores)), MIN_PAIRS), MAX_PAIRS)
 
     # Rows are copied once per cell of the other side. For a number of cells the copies are
@@ -179,21 +191,11 @@ def _cell_search(k: int, dim: int, digits: int):
         if queries.num_rows == 0 or stored.num_rows == 0:
             return empty
         by_script = queries.column("block")[0].as_py().startswith("script:")
-        # Stored rows in id order; of equal vectors of one job only the first k can be needed.
         stored = stored.sort_by("id")
         points = _vectors(stored, dim)
-        jobs = stored.column("job_name").to_pylist()
-        seen: dict[tuple, int] = {}
-        keep = np.zeros(len(points), dtype=bool)
-        for i, (job, point) in enumerate(zip(jobs, points)):
-            same = (job, point.tobytes())
-            copies = seen.get(same, 0)
-            seen[same] = copies + 1
-            keep[i] = copies < k
-        points = points[keep]
-        ids = np.array(stored.column("id").to_pylist(), dtype=object)[keep]
+        ids = np.array(stored.column("id").to_pylist(), dtype=object)
         codes: dict[str | None, int] = {}
-        point_jobs = np.array([codes.setdefault(j, len(codes)) for j, ok in zip(jobs, keep) if ok])
+        point_jobs = np.array([codes.setdefault(j, len(codes)) for j in stored.column("job_name").to_pylist()])
         asked_jobs = np.array([codes.get(j, -1) for j in queries.column("job_name").to_pylist()])
         asked = _vectors(queries, dim)
         names = queries.column("query_id").to_pylist()
@@ -272,7 +274,11 @@ def nearest_by_query(
     if dim < 1:
         return inc.sparkSession.createDataFrame([], _HIT + ", rank int")
     rows_per_cell = rows_per_cell or max(1, CELL_BYTES // (8 * dim))
-    grid, cells = _grid(inc, hist, rows_per_cell, pairs_per_cell)
+    asked = materialise(distinct_queries(inc, embed, vector), "questions")
+    stored = hist.select("id", "job_name", "script_name", as_double(F.col("embedding")).alias("embedding"))
+    # A small batch of questions needs few of the stored rows, so those are picked first.
+    stored = materialise(distinct_vectors(match_union(stored, asked, asked), k), "vectors")
+    grid, cells = _grid(asked, stored, rows_per_cell, pairs_per_cell)
     # A cell is heavy on the processor however few bytes it has, so the number of tasks
     # follows the cells, not the bytes.
     tasks = min(max(cells, 1), MAX_TASKS)
@@ -284,8 +290,6 @@ def nearest_by_query(
         placed = placed.select("block", key, "job_name", "embedding", cell, copies)
         return placed.repartition(tasks, *_CELL)
 
-    asked = distinct_queries(inc, embed, vector)
-    stored = hist.select("id", "job_name", "script_name", as_double(F.col("embedding")).alias("embedding"))
     left = spread(asked, "query_id", "query_cell", "hist_cell").groupBy(*_CELL)
     right = spread(stored, "id", "hist_cell", "query_cell").groupBy(*_CELL)
     hits = left.cogroup(right).applyInArrow(_cell_search(k, dim, digits), _HIT)
