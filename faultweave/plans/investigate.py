@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,28 @@ def gather(
 
     ``fields`` limits what is carried of past incidents and of tickets; by default all.
 
-    The prepared incidents feed four branches, so they are written once; so are the
-    narrow hits, for Spark to know their size before it joins the store's texts to them.
+    The prepared incidents feed all branches, so they are written once; so are the narrow
+    hits, for Spark to know their size before it joins the store's texts to them. The three
+    searches do not need each other and run at the same time.
     """
     asked = materialise(prepare(incidents, mode), "asked")
-    hits = materialise(nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim), "hits")
     of_past, of_tickets = fields or (None, None)
-    history = history_arrays(hits, known.store, of_past)
-    tickets = ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets, of_tickets)
-    scripts = script_lookup(asked, known.scripts)
+
+    def search_history() -> DataFrame:
+        hits = materialise(nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim), "hits")
+        return history_arrays(hits, known.store, of_past)
+
+    def search_tickets() -> DataFrame:
+        return ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets, of_tickets)
+
+    def search_scripts() -> DataFrame:
+        return script_lookup(asked, known.scripts)
+
+    spark = incidents.sparkSession
+    with ThreadPoolExecutor(3) as pool:
+        searches = (search_history, search_tickets, search_scripts)
+        branches = [pool.submit(inheritable_thread_target(spark)(search)) for search in searches]
+        history, tickets, scripts = [b.result() for b in branches]
     found = assemble(asked, history, scripts, tickets)
     return evidence(node_for_job(found, known.nodes), known.repo)
 
