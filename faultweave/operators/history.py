@@ -117,12 +117,13 @@ def _blocks(df: DataFrame) -> DataFrame:
 def distinct_vectors(hist: DataFrame, k: int = TOP_K) -> DataFrame:
     """Of stored rows with the same job, script and vector the ``k`` with the smallest ids.
 
-    The others can never be among the first ``k``. Copies are cut before the shuffle, and
-    a vector that very many rows share is split by salt.
+    The others can never be among the first ``k``. Copies are cut to ``k`` per task before
+    the shuffle, so a vector that very many rows share stays small.
     """
     vector = F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), F.col("embedding"))) for seed in (1, 2)])
     keyed = hist.withColumn("_vector", vector)
-    first = top_k(keyed, ["job_name", "script_name", "_vector"], [F.col("id")], k, spread=["id"], rank="_copy")
+    group = ["job_name", "script_name", "_vector"]
+    first = top_k(keyed, group, [F.col("id")], k, spread=["id"], rank="_copy", salts=1)
     return first.drop("_vector", "_copy")
 
 

@@ -24,10 +24,15 @@ def top_k(
 
     Each key is first cut to ``k`` rows per salt (the salt is a hash of the ``spread``
     columns, so a retried task gives the same rows), then to ``k`` rows overall. Spark
-    turns both filters into a group limit that also runs before the shuffle.
+    turns both filters into a group limit that also runs before the shuffle, so a task
+    hands on at most ``k`` rows of a key. With ``salts=1`` there is one step only: enough
+    where ``k`` rows from every task still fit one task.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if salts == 1:
+        numbered = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        return numbered.where(F.col(rank) <= k)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     per_salt = W.partitionBy(*keys, "_salt").orderBy(*order)
     per_key = W.partitionBy(*keys).orderBy(*order)

@@ -25,7 +25,7 @@ from faultweave.operators.history import TOP_K, history_arrays, nearest_by_query
 from faultweave.operators.recommend import recommend
 from faultweave.operators.scripts import node_for_job, script_lookup
 from faultweave.operators.tickets import FIRST_N, ticket_arrays, ticket_matches
-from faultweave.session import materialise
+from faultweave.session import in_this_context, materialise
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def gather(
     spark = incidents.sparkSession
     with ThreadPoolExecutor(3) as pool:
         searches = (search_history, search_tickets, search_scripts)
-        branches = [pool.submit(inheritable_thread_target(spark)(search)) for search in searches]
+        branches = [pool.submit(inheritable_thread_target(spark)(in_this_context(s))) for s in searches]
         history, tickets, scripts = [b.result() for b in branches]
     found = assemble(asked, history, scripts, tickets)
     return evidence(node_for_job(found, known.nodes), known.repo)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this cluster, as named by ``spark.checkpoint.dir``.
@@ -45,10 +50,38 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropping_tables(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that were materialised inside, at the end.
+
+    For work whose results have been written by then, such as a micro-batch; a stream
+    would otherwise fill the shared folder.
+    """
+    written: list[str] = []
+    token = _written.set(written)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in written:
+            path = hadoop.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_this_context(work: Callable) -> Callable:
+    """``work`` for another thread, noting its tables where this thread does."""
+    context = copy_context()
+    return lambda: context.run(work)
+
+
 def small_side(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
     """Mark a materialised table for broadcast if it has at most ``max_rows`` rows."""
     rows = df.count() if rows is None else rows

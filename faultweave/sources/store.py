@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultweave.functions.text import document_text
 from faultweave.functions.vectors import Embedder
 from faultweave.schemas import STORE, STORE_ATTRIBUTES
+from faultweave.session import materialise
 from faultweave.sources.exports import drop_blank_ids
 
 
@@ -55,13 +56,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE).parquet(path)
 
 
-def not_yet_stored(docs: DataFrame, store: DataFrame) -> DataFrame:
+def not_yet_stored(docs: DataFrame, store: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Rows whose id is new.
 
-    The store's ids are first reduced to those in ``docs``; for a small batch Spark does
-    that by broadcast, so a large store is scanned for its ids but not shuffled.
+    The store's ids are first reduced to those in ``docs``. With ``ids``, a written table of
+    the batch's ids, Spark knows their size and for a small batch scans the store's ids
+    without shuffling them.
     """
-    known = store.select("id").join(docs.select("id"), "id", "left_semi")
+    ids = docs.select("id") if ids is None else ids
+    known = store.select("id").join(ids, "id", "left_semi")
     return docs.join(known, "id", "left_anti")
 
 
@@ -87,12 +90,13 @@ def append_new(
     ``repeats="first"`` the row with the smallest ``seq`` is taken. A second run over
     the same rows adds nothing, so a lost run may be repeated.
     """
+    ids = materialise(docs.select("id"), "ids")
     if repeats == "first":
         docs = first_per_id(docs)
-    elif docs.groupBy("id").count().where("count > 1").limit(1).count():
+    elif ids.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("an id occurs twice in one batch")
     before = store_count(read_store(spark, path))
-    new = not_yet_stored(docs, read_store(spark, path))
+    new = not_yet_stored(docs, read_store(spark, path), ids)
     if embed:
         new = new.withColumn("embedding", embed(F.col("document")))
     new.select(*STORE.fieldNames()).write.mode("append").parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from faultweave.functions.failure import classify_failure
 from faultweave.functions.text import normalise_input
 from faultweave.plans.investigate import Knowledge, investigate
+from faultweave.session import dropping_tables
 
 
 def label_stream(incidents: DataFrame) -> DataFrame:
@@ -32,7 +33,9 @@ def investigate_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        investigate(batch, known(), **options).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with dropping_tables(batch.sparkSession):
+            results = investigate(batch, known(), **options)
+            results.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = incidents.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:

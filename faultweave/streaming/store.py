@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from faultweave.functions.vectors import Embedder
+from faultweave.session import dropping_tables
 from faultweave.sources.exports import drop_blank_ids, resolve_headers
 from faultweave.sources.store import append_new, store_documents
 
@@ -21,7 +22,8 @@ def store_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         docs = store_documents(drop_blank_ids(resolve_headers(batch)))
-        append_new(batch.sparkSession, path, docs, embed, repeats="first")
+        with dropping_tables(batch.sparkSession):
+            append_new(batch.sparkSession, path, docs, embed, repeats="first")
 
     writer = feed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:

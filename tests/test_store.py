@@ -1,11 +1,13 @@
 """Exports, the store, and streams into it."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from faultweave.functions.vectors import md5_embedding
 from faultweave.schemas import STORE
-from faultweave.session import scratch_path
+from faultweave.session import dropping_tables, materialise, scratch_path
 from faultweave.sources import exports, store
 from faultweave.streaming.store import store_stream
 
@@ -98,6 +100,20 @@ def test_feed_stream_survives_a_replay(spark):
     assert ids(spark, path) == [("a", "first"), ("b", "z")]
 
 
+def test_stream_batches_drop_their_tables(spark):
+    path, made = scratch_path(spark, "store"), []
+    store.recreate(spark, path)
+    rows = store.store_documents(docs(spark, [("a", "1", "", 0)]))
+    with dropping_tables(spark):
+        store.append_new(spark, path, rows, md5_embedding)
+        kept = materialise(rows, "kept")
+        made.append(kept.inputFiles()[0].removeprefix("file://"))
+        assert Path(made[0]).exists()
+    assert not Path(made[0]).exists()
+    assert ids(spark, path) == [("a", "1")]
+    assert Path(materialise(rows).inputFiles()[0].removeprefix("file://")).exists()
+
+
 def test_union_matches_by_name(spark):
     a = spark.createDataFrame([("1", "x")], "a string, b string")
     b = spark.createDataFrame([("y", "2")], "b string, a string")
