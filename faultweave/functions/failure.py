@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultweave.functions.text import non_empty, or_empty, strip
 
 # Keywords per label, tried in this order on the lower-cased log and
-# description. A label of None means that the keywords of STALLED decide.
+# description. After a hit in NOT_STARTED the keywords of STALLED decide between two labels.
 NOT_STARTED = ("not submitted", "not trigger", "hold state")
 STALLED = ("predecessor", "hold state", "awsbhv026e")
 KEYWORDS = (
@@ -50,8 +50,10 @@ KEYWORDS = (
 _BLANK = r"[:\t\n\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 JOB_PATTERNS = ((f"job{_BLANK}([A-Z_]+)", 1), (f"Job{_BLANK}([A-Z_]+)", 1), ("DBS_[A-Z_]+", 0))
 
-# Fixed value: the form of a tracker key. (?U) makes word edges and digits Unicode-aware.
-TICKET_KEY = r"(?U)\b[A-Z]{2,10}-\d+\b"
+# Fixed value: the form of a tracker key, 2 to 10 capitals, a dash and digits, as a whole word.
+# Letters, numbers of any script and the underscore belong to words.
+_WORD = r"[\p{L}\p{N}_]"
+TICKET_KEY = rf"(?<!{_WORD})[A-Z]{{2,10}}-\p{{Nd}}+(?!{_WORD})"
 
 # Words looked for in a scheduler status, in this order.
 JOB_STATES = ("COMPLETE", "HOLD", "ABEND", "RUNNING")

@@ -46,7 +46,8 @@ def matching_store_rows(inc: DataFrame, hist: DataFrame) -> DataFrame:
     by_script = hist.groupBy("script_name").agg(F.count("*").alias("_script_n"))
     by_both = hist.groupBy("job_name", "script_name").agg(F.count("*").alias("_both_n"))
     total = hist.agg(F.count("*")).scalar()
-    asked = inc.select("request_id", or_empty(F.col("job_name")).alias("job_name"), or_empty(F.col("script_name")).alias("script_name"))
+    names = [or_empty(F.col(c)).alias(c) for c in ("job_name", "script_name")]
+    asked = inc.select("request_id", *names)
     job_given, script_given = F.col("job_name") != "", F.col("script_name") != ""
 
     def n(name: str, given: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from faultweave.functions import failure
-from faultweave.functions.text import FORM_BLANKS, TEXT_BLANKS
+from faultweave.functions.text import TEXT_BLANKS
 from faultweave.queries import views as v
 from faultweave.queries.catalog import AS_OF, CALC_DATE, SYNC_FROM, SYNC_TO
 

@@ -98,11 +98,13 @@ def main() -> int:
         try:
             ours = spark_side(spark, fn, sf_dir)
             took = time.time() - started
+            started = time.time()
             wrong = difference(ours, sql_side(con, sql[name])) if name in sql else "no SQL"
+            sql_took = time.time() - started
         except Exception as e:  # noqa: BLE001 - report every query
-            took, ours, wrong = time.time() - started, ([], []), f"{type(e).__name__}: {str(e)[:600]}"
+            took, ours, wrong, sql_took = time.time() - started, ([], []), f"{type(e).__name__}: {str(e)[:600]}", 0.0
         failed += bool(wrong)
-        print(f"{'FAIL' if wrong else 'ok  '} {name:32s} {len(ours[1]):8d} rows {took:6.2f} s  {wrong[:1200]}", flush=True)
+        print(f"{'FAIL' if wrong else 'ok  '} {name:32s} {len(ours[1]):8d} rows {took:6.2f} s, SQL {sql_took:6.2f} s  {wrong[:1200]}", flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 

@@ -53,10 +53,11 @@ def test_risk_totals_equal_the_plain_join(spark):
 
 
 def test_upsert(spark):
-    old = spark.createDataFrame([(1, "d", 0.1, "low"), (2, "d", 0.2, "low")], "customer_id long, calc_date string, score double, risk_band string")
+    schema = "customer_id long, calc_date string, score double, risk_band string"
+    old = spark.createDataFrame([(1, "d", 0.1, "low"), (2, "d", 0.2, "low")], schema)
     new = spark.createDataFrame(
         [(2, "d", 0.4, "medium", 1), (2, "d", None, None, 2), (3, "d", 0.9, "high", 0)],
-        "customer_id long, calc_date string, score double, risk_band string, seq long",
+        schema + ", seq long",
     )
     got = sorted(map(tuple, credit.upsert_scores(old, new).collect()))
     assert got == [(1, "d", 0.1, "low"), (2, "d", None, None), (3, "d", 0.9, "high")]
@@ -192,7 +193,12 @@ def test_traces(spark):
     got = {r.run_id: (r.resolved_path, r.script_name) for r in trace.last_call_path(calls).collect()}
     assert got == {"r": ("c/d.py", "d.py"), "s": (None, None)}
     events = spark.createDataFrame(
-        [("r", 1, "on_chat_model_end", "a"), ("r", 2, "on_chat_model_end", ""), ("r", 3, "on_tool_end", "t"), ("s", 1, "on_tool_start", None)],
+        [
+            ("r", 1, "on_chat_model_end", "a"),
+            ("r", 2, "on_chat_model_end", ""),
+            ("r", 3, "on_tool_end", "t"),
+            ("s", 1, "on_tool_start", None),
+        ],
         "run_id string, seq long, kind string, content string",
     )
     assert {r.run_id: r.final_content for r in trace.last_model_text(events).collect()} == {"r": "a", "s": ""}
@@ -211,7 +217,8 @@ def known(spark):
     past = spark.createDataFrame(
         [(f"P{i}", "DBS_LOAD", "load.py", f"s{i}", "d" * 200, "r" * 200, "oom") for i in range(7)]
         + [("Q", "DBS_OTHER", "load.py", "s", "d", "r", "oom")],
-        "ticket_id string, job_name string, script_name string, summary string, incident_details string, resolution string, failure_type string",
+        "ticket_id string, job_name string, script_name string, summary string, incident_details string, "
+        "resolution string, failure_type string",
     )
     tickets = spark.createDataFrame(
         [(0, "K-0", "dbs_load down", "fix " * 60, "rc " * 80), (1, "K-1", "DBS_LOAD again", None, "rc " * 80)],
@@ -229,7 +236,7 @@ def known(spark):
 
 
 def incidents(spark):
-    return spark.createDataFrame(INCIDENTS, "request_id string, ticket_id string, job_name string, description string, tws_log string, script_name string, command string")
+    return spark.createDataFrame(INCIDENTS, INCIDENT)
 
 
 def test_investigation(spark, known):

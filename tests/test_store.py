@@ -21,7 +21,8 @@ def ids(spark, path):
 
 
 def test_headers_in_upper_and_lower_case(spark):
-    raw = spark.createDataFrame([("1", "low", "UP", "D", None)], "ticket_id string, job_name string, JOB_NAME string, DESCRIPTION string, RESOLVED_DATE string")
+    columns = ("ticket_id", "job_name", "JOB_NAME", "DESCRIPTION", "RESOLVED_DATE")
+    raw = spark.createDataFrame([("1", "low", "UP", "D", None)], ", ".join(f"{c} string" for c in columns))
     row = exports.resolve_headers(raw).first()
     assert (row.ticket_id, row.job_name, row.summary, row.incident_details, row.description) == ("1", "low", "D", "D", "D")
     assert (row.failure_type, row.resolved_at, row.command) == ("unknown", "", "")
