@@ -75,7 +75,10 @@ def gather(
         return history_arrays(hits, known.store, of_past)
 
     def search_tickets() -> DataFrame:
-        return ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets, of_tickets)
+        found = ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets, of_tickets)
+        # One row per job name: written out, it is seen to be small, and the incidents need
+        # not be shuffled by a job name that many of them share.
+        return materialise(found, "tickets")
 
     def search_scripts() -> DataFrame:
         return script_lookup(asked, known.scripts)
