@@ -106,11 +106,19 @@ def distinct_queries(inc: DataFrame, embed: Embedder | None = None, vector: str
     return once
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """Each row under its job and, if it has one, under its script."""
+EVERYTHING = "everything"
+
+
+def _has_neither() -> Column:
+    return (or_empty(F.col("job_name")) == "") & (or_empty(F.col("script_name")) == "")
+
+
+def _blocks(df: DataFrame, everything: Column) -> DataFrame:
+    """Each row under its job and under its script, and where asked for under the block of all rows."""
     places = F.array(
         F.when(F.col("job_name") != "", F.concat(F.lit("job:"), "job_name")),
         F.when(F.col("script_name") != "", F.concat(F.lit("script:"), "script_name")),
+        F.when(everything, F.lit(EVERYTHING)),
     )
     return df.withColumn("block", F.explode(F.array_compact(places)))
 
@@ -141,7 +149,7 @@ def _grid(
     spark = asked.sparkSession
 
     def rows(df: DataFrame, name: str) -> DataFrame:
-        return _blocks(df.select("job_name", "script_name")).groupBy("block").agg(F.count("*").alias(name))
+        return df.groupBy("block").agg(F.count("*").alias(name))
 
     sizes = materialise(rows(stored, "stored").join(rows(asked, "asked"), "block"), "blocks")
     pairs = F.col("stored").cast("double") * F.col("asked")
@@ -198,7 +206,7 @@ def _cell_search(k: int, dim: int, digits: int):
         ids = np.array(stored.column("id").to_pylist(), dtype=object)
         codes: dict[str | None, int] = {}
         point_jobs = np.array([codes.setdefault(j, len(codes)) for j in stored.column("job_name").to_pylist()])
-        asked_jobs = np.array([codes.get(j, -1) for j in queries.column("job_name").to_pylist()])
+        asked_jobs = np.array([codes.get(j, -1) if j else -1 for j in queries.column("job_name").to_pylist()])
         asked = _vectors(queries, dim)
         names = queries.column("query_id").to_pylist()
 
@@ -267,8 +275,9 @@ def nearest_by_query(
 ) -> DataFrame:
     """The ``k`` nearest stored rows per question: query_id, id, distance, rank.
 
-    ``inc`` needs ``query_id`` (see :func:`with_query_id`). Vectors of another width than
-    the store's find nothing. Without ``dim`` the first stored row gives the width.
+    ``inc`` needs ``query_id`` (see :func:`with_query_id`). A question without job and
+    script is compared with the whole store. Vectors of another width than the store's find
+    nothing. Without ``dim`` the first stored row gives the width.
     """
     if dim is None:
         row = hist.select(F.size("embedding").alias("n")).head()
@@ -278,8 +287,12 @@ def nearest_by_query(
     rows_per_cell = rows_per_cell or max(1, CELL_BYTES // (8 * dim))
     asked = materialise(distinct_queries(inc, embed, vector), "questions")
     stored = hist.select("id", "job_name", "script_name", as_double(F.col("embedding")).alias("embedding"))
-    # A small batch of questions needs few of the stored rows, so those are picked first.
-    stored = materialise(distinct_vectors(match_union(stored, asked, asked), k), "vectors")
+    unfiltered = asked.where(_has_neither()).limit(1).count() > 0
+    if not unfiltered:
+        # A small batch of questions needs few of the stored rows, so those are picked first.
+        stored = match_union(stored, asked, asked)
+    stored = materialise(distinct_vectors(stored, k), "vectors")
+    asked, stored = _blocks(asked, _has_neither()), _blocks(stored, F.lit(unfiltered))
     grid, cells = _grid(asked, stored, rows_per_cell, pairs_per_cell)
     # A cell is heavy on the processor however few bytes it has, so the number of tasks
     # follows the cells, not the bytes.
@@ -288,7 +301,7 @@ def nearest_by_query(
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         cell = F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int").alias(own)
         copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
-        placed = _blocks(df).join(grid, "block")
+        placed = df.join(grid, "block")
         placed = placed.select("block", key, "job_name", "embedding", cell, copies)
         return placed.repartition(tasks, *_CELL)
 

@@ -421,7 +421,10 @@ _BODIES: dict[str, str] = {
           FROM asked_vec a JOIN past_vec p ON p.job_name = a.job_name
           UNION ALL
           SELECT a.request_id, p.id, {_l2("a.embedding", "p.embedding", 64)} AS distance
-          FROM asked_vec a JOIN past_vec p ON p.script_name = a.script_name AND p.job_name <> a.job_name) c) r
+          FROM asked_vec a JOIN past_vec p ON p.script_name = a.script_name AND p.job_name <> a.job_name
+          UNION ALL
+          SELECT a.request_id, p.id, {_l2("a.embedding", "p.embedding", 64)} AS distance
+          FROM asked_vec a CROSS JOIN past_vec p WHERE a.job_name = '' AND a.script_name IS NULL) c) r
         WHERE rank <= 5""",
     "history_search_texts": """
         SELECT request_id, CAST(rank AS INTEGER) AS rank, id, round(1 - distance, 6) AS similarity_score

@@ -22,7 +22,7 @@ def make(seed, n_store, n_asked, dim=6, hot=0.5, copies=0.4):
         return [float(x) for x in rng.normal(size=dim)]
 
     def job():
-        return "HOT" if rng.random() < hot else f"J{rng.integers(4)}"
+        return "HOT" if rng.random() < hot else ["J0", "J1", "J2", ""][rng.integers(4)]
 
     def script():
         return [None, "", "a.py", "b.py"][rng.integers(4)]
@@ -37,7 +37,8 @@ def brute(stored, asked, k, digits=9):
     for request, job, script, v in asked:
         near = []
         for id_, j, s, w in stored:
-            if len(w) == len(v) and (j == job or (script and s == script)):
+            chosen = (job and j == job) or (script and s == script) or not (job or script)
+            if len(w) == len(v) and chosen:
                 near.append((round(float(((np.array(v) - np.array(w)) ** 2).sum()), digits), id_))
         out += [(request, rank, id_, d) for rank, (d, id_) in enumerate(sorted(near)[:k], 1)]
     return out
@@ -79,6 +80,12 @@ def test_nothing_stored(spark):
     assert search(spark, [("a", "K", "", [0.0])], [(1, "J", None, [0.0])], 5) == []
 
 
+def test_questions_without_job_and_script_see_the_whole_store(spark):
+    stored, _ = make(8, 60, 0)
+    asked = [(1, "", None, [0.0] * 6), (2, None, "", [1.0] * 6), (3, "", "a.py", [0.0] * 6), (4, "J0", None, [0.0] * 6)]
+    assert search(spark, stored, asked, 5, rows_per_cell=13) == brute(stored, asked, 5)
+
+
 def test_equal_questions_are_asked_once(spark):
     asked = spark.createDataFrame(
         [(i, "J", None, "d", "same log") for i in range(50)] + [(50, "J", "", "d", "same log"), (51, "J", "s", "d", "same log")],
