@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,8 @@ def _matcher(names: list[str]) -> Callable[[str], set[str]]:
     for name in names:
         machine.add_word(name, name)
     machine.make_automaton()
-    return lambda text: {name for _, name in machine.iter(text)}
+    hit = itemgetter(1)
+    return lambda text: set(map(hit, machine.iter(text)))
 
 
 def _partial_matches(shared, n: int):

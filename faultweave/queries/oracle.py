@@ -78,7 +78,7 @@ VIEWS: dict[str, str] = {
         FROM inc""",
     "asked_vec": """
         SELECT request_id, job_name, script_name, embedding
-        FROM inc JOIN embeddings ON vec_id = request_id % 500""",
+        FROM inc JOIN embeddings ON vec_id = request_id % (SELECT count(*) FROM embeddings)""",
     "past_vec": """
         SELECT vec_id, 'H-' || vec_id AS id, job AS job_name, 'S' || (vec_id % 20) || '.py' AS script_name, embedding
         FROM embeddings JOIN job_names ON label % 5 = job_no""",
@@ -311,7 +311,7 @@ _BODIES: dict[str, str] = {
           CASE WHEN item_id % 2 = 0 THEN '755' ELSE '644' END AS permissions FROM benchmark""",
     "read_partition": _PARTITION.format(date=CALC_DATE) + " AND currency = '2-HIGH'",
     "read_partition_day": _PARTITION.format(date=CALC_DATE),
-    "append_new": _flat_store("CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END"),
+    "append_new": _flat_store("CASE WHEN failure_type = 'oom' THEN 'first' ELSE 'second' END"),
     "not_yet_stored": "SELECT id, failure_type FROM store_docs WHERE failure_type = 'oom'",
     "recreate_store": "SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM store_docs",
     "sync_range": f"""

@@ -85,9 +85,10 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with a given 64-value vector each."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    number = vectors.agg(F.count("*")).scalar()
     return (
         incidents(spark, sf_dir)
-        .select("request_id", "job_name", "script_name", (F.col("request_id") % 500).alias("vec_id"))
+        .select("request_id", "job_name", "script_name", (F.col("request_id") % number).alias("vec_id"))
         .join(vectors, "vec_id")
     )
 
