@@ -23,15 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     cluster a machine-local folder would be unreadable from other executors.
     """
     sc = spark.sparkContext
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    base = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir()
-        if not base:
-            if not sc.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-            base = tempfile.mkdtemp(prefix="run-")
-            sc.setCheckpointDir(base)
-    elif not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
+        base = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
