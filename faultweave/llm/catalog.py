@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultweave.llm import credentials, mixing, packing, quality, sharding, simhash, substring, surrogates, vectors
+from faultweave.llm import credentials, mixing, oracle, packing, quality, sharding, simhash, substring, surrogates, vectors
 from faultweave.llm.common import table
 from faultweave.llm.html import page_text
 
@@ -89,4 +89,4 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = dict(oracle.ORACLE)

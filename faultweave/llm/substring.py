@@ -120,5 +120,6 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
     starts = F.concat(F.col(cuts)["start"], F.array(F.length(text)))
     kept = F.array_join(F.zip_with(ends, starts, lambda e, s: F.substr(text, e + 1, s - e)), "")
     cleaned = F.when(F.col(cuts).isNull(), text).otherwise(kept)
-    new = {"text": cleaned, "n_chars": F.length(cleaned).cast("long")}
+    lost = F.aggregate(F.col(cuts), F.lit(0), lambda total, c: total + c["end"] - c["start"])
+    new = {"text": cleaned, "n_chars": (F.length(text) - F.coalesce(lost, F.lit(0))).cast("long")}
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
