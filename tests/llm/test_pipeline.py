@@ -1,10 +1,15 @@
 import re
 from collections import defaultdict
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from faultweave.llm.catalog import VOCABULARY
 from faultweave.llm.common import table
 from faultweave.llm.quality import measure
-from tests.llm.cases import CLASHES, documents
+from faultweave.session import materialise
+from tests.llm.cases import CLASHES, DOCUMENTS, LONG, PROSE, documents
 from tests.llm.test_simhash import brute_components, brute_print
 
 
@@ -13,20 +18,20 @@ def test_stages_over_the_whole_table(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     before = {r.doc_id: r for r in docs.collect()}
 
-    cleaned = stages["quality rules"](spark, docs, sf_dir)
+    cleaned = materialise(stages["quality rules"](spark, docs, sf_dir))
     assert cleaned.columns == docs.columns
     good = {r.doc_id: r for r in cleaned.collect()}
     verdicts = {i: measure([r.text.encode()])[0] for i, r in before.items()}
     assert {i: r.text for i, r in good.items()} == {i: v[-1].decode() for i, v in verdicts.items() if v[6]}
 
-    one = stages["simhash"](spark, cleaned, sf_dir)
+    one = materialise(stages["simhash"](spark, cleaned, sf_dir))
     kept = {r.doc_id: r for r in one.collect()}
     ids = sorted(good)
     label = brute_components([brute_print(good[i].text) for i in ids])
     assert sorted(kept) == sorted({ids[c] for c in label})
     assert all(kept[i] == good[i] for i in kept)
 
-    private = stages["pii"](spark, one, sf_dir)
+    private = materialise(stages["pii"](spark, one, sf_dir))
     assert private.columns == docs.columns
     hidden = {r.doc_id: r for r in private.collect()}
     assert sorted(hidden) == sorted(kept)
@@ -35,7 +40,7 @@ def test_stages_over_the_whole_table(spark, sf_dir):
         for mail in re.findall(r"[\w.]+@[\w.]+\w", kept[i].text):
             assert mail not in row.text
 
-    mixed = stages["mixing"](spark, private, sf_dir)
+    mixed = materialise(stages["mixing"](spark, private, sf_dir))
     assert mixed.columns == docs.columns
     assert {r.doc_id: r for r in mixed.collect()} == hidden
 
@@ -50,9 +55,13 @@ def test_stages_over_the_whole_table(spark, sf_dir):
 
 
 def test_edge_cases(spark):
-    for rows in ([], None):
-        docs = documents(spark) if rows is None else documents(spark, rows)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    good = [PROSE, PROSE.replace("alpha", "alfa"), LONG]
+    texts = {good[c] for c in brute_components([brute_print(t) for t in good])}
+    pieces = [len(tokenizer.encode(t, add_special_tokens=False).ids) // 4096 + 1 for t in texts]
+    for rows, expected in (([], 0), (DOCUMENTS, sum(pieces))):
+        docs = documents(spark, rows)
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, "")
+            docs = materialise(stage(spark, docs, ""))
             assert set(CLASHES) <= set(docs.columns)
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == (0 if rows == [] else 30)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == expected
