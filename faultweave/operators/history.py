@@ -3,33 +3,37 @@
 An incident may match every stored row of its job, so pairs are never made as rows.
 Each job (and each script) is a block; a block is cut into a grid of cells of bounded
 size, a cell compares its incidents with its stored rows by one matrix product and gives
-back at most ``k`` rows per incident. Equal questions are asked only once, and of equal
-stored vectors only the ``k`` with the smallest ids are compared.
+back at most ``k`` rows per incident. The number of tasks follows the work, and a task
+takes many small cells at a time. Equal questions are asked only once, and of equal stored
+vectors only the ``k`` with the smallest ids are compared.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultweave.functions.text import non_empty, or_empty
-from faultweave.functions.vectors import Embedder, as_double
+from faultweave.functions.vectors import Embedder, as_double, single_dimension
 from faultweave.operators.topk import ranked_array, top_k
-from faultweave.session import materialise, small_side
+from faultweave.session import materialise
 
 TOP_K = 5
-CELL_BYTES = 32 << 20
+CELL_BYTES = 64 << 20
 TILE_VALUES = 4 << 20
-MIN_PAIRS, MAX_PAIRS = 1 << 24, 1 << 30
-MAX_BROADCAST_BLOCKS = 100_000
+MIN_PAIRS, MAX_PAIRS = 1 << 24, 1 << 32
+CELLS_PER_TASK = 1000
 MAX_TASKS = 100_000
 
 _CELL = ["block", "hist_cell", "query_cell"]
 _HIT = "query_id string, id string, distance double"
+_NO_HITS = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("distance", pa.float64())]).empty_table()
 
 
 def metadata_predicate(job: Column, script: Column, stored_job: Column, stored_script: Column) -> Column:
@@ -95,9 +99,15 @@ def query_text(description: str = "description", log: str = "tws_log") -> Column
     return F.concat(or_empty(F.col(description)), F.lit(" "), or_empty(F.col(log)))
 
 
+def _floating(df: DataFrame, vector: str) -> Column:
+    """The vector as it is if it holds floats, which take half the room of doubles."""
+    element = df.schema[vector].dataType.elementType
+    return F.col(vector) if element == T.FloatType() else as_double(F.col(vector))
+
+
 def distinct_queries(inc: DataFrame, embed: Embedder | None = None, vector: str = "embedding") -> DataFrame:
     """One row per question: query_id, job_name, script_name, embedding."""
-    carried = query_text().alias("_text") if embed else as_double(F.col(vector)).alias("embedding")
+    carried = query_text().alias("_text") if embed else _floating(inc, vector).alias("embedding")
     once = inc.select(
         "query_id", "job_name", non_empty(F.col("script_name")).alias("script_name"), carried
     ).dropDuplicates(["query_id"])
@@ -139,7 +149,7 @@ def distinct_vectors(hist: DataFrame, k: int = TOP_K) -> DataFrame:
 def _grid(
     asked: DataFrame, stored: DataFrame, rows_per_cell: int, pairs_per_cell: int | None = None
 ) -> tuple[DataFrame, int]:
-    """Cells per block, for blocks that have rows on both sides, and the number of all cells.
+    """Cells per block, for blocks that have rows on both sides, and the number of tasks.
 
     A cell holds at most about ``rows_per_cell`` rows of each side, which bounds its memory,
     and ``pairs_per_cell`` comparisons. The latter follow from all comparisons: enough cells
@@ -153,7 +163,7 @@ def _grid(
 
     sizes = materialise(rows(stored, "stored").join(rows(asked, "asked"), "block"), "blocks")
     pairs = F.col("stored").cast("double") * F.col("asked")
-    blocks, all_pairs = sizes.agg(F.count("*"), F.coalesce(F.sum(pairs), F.lit(0.0))).first()
+    all_pairs = sizes.agg(F.coalesce(F.sum(pairs), F.lit(0.0))).first()[0]
     if pairs_per_cell is None:
         cores = spark.sparkContext.defaultParallelism
         pairs_per_cell = min(max(int(all_pairs / (4 * cores)), MIN_PAIRS), MAX_PAIRS)
@@ -169,20 +179,56 @@ def _grid(
     query_cells = F.greatest(
         F.ceil(F.col("asked") / F.lit(rows_per_cell)), F.ceil(wanted / F.col("hist_cells")), F.lit(1)
     )
-    grid = sizes.withColumn("hist_cells", hist_cells.cast("int")).select(
-        "block", "hist_cells", query_cells.cast("int").alias("query_cells")
-    )
-    cells = grid.agg(F.sum(F.col("hist_cells").cast("long") * F.col("query_cells"))).first()[0]
-    return small_side(grid, MAX_BROADCAST_BLOCKS, blocks), cells or 0
-
-
-def _of_width(table: pa.Table, dim: int) -> pa.Table:
-    return table.filter(pc.equal(pc.list_value_length(table.column("embedding")), dim))
+    grid = sizes.withColumn("hist_cells", hist_cells.cast("int")).withColumn("query_cells", query_cells.cast("int"))
+    copied = F.col("stored") * F.col("query_cells") + F.col("asked") * F.col("hist_cells")
+    cells, rows_copied = grid.agg(F.sum(F.col("hist_cells").cast("long") * F.col("query_cells")), F.sum(copied)).first()
+    # A task is worth its comparisons, the rows it holds, and the cells it goes through.
+    # Twice as many tasks, since cells fall on them by hash.
+    work = max(all_pairs / pairs_per_cell, (rows_copied or 0) / (2 * rows_per_cell), (cells or 0) / CELLS_PER_TASK)
+    tasks = min(2 * math.ceil(work), cells or 0, MAX_TASKS)
+    return grid.select("block", "hist_cells", "query_cells"), max(tasks, 1)
 
 
 def _vectors(table: pa.Table, dim: int) -> np.ndarray:
     column = table.column("embedding").combine_chunks()
-    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def _usable(table: pa.Table, dim: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows whose vector has ``dim`` finite values, and the vectors."""
+    table = table.filter(pc.equal(pc.list_value_length(table.column("embedding")), dim))
+    vectors = _vectors(table, dim)
+    finite = np.isfinite(vectors).all(axis=1)
+    if finite.all():
+        return table, vectors
+    return table.filter(pa.array(finite)), vectors[finite]
+
+
+def _cells(table: pa.Table) -> dict[tuple, pa.Table]:
+    """The rows of each cell of a task."""
+    if not table.num_rows:
+        return {}
+    table = table.sort_by([(c, "ascending") for c in _CELL]).combine_chunks()
+    block = table.column("block").combine_chunks().dictionary_encode()
+    keys = np.stack([block.indices.to_numpy(), *[table.column(c).to_numpy() for c in _CELL[1:]]], axis=1)
+    bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+    names = block.dictionary.to_pylist()
+    return {
+        (names[keys[start][0]], *keys[start][1:].tolist()): table.slice(start, end - start)
+        for start, end in zip(bounds, bounds[1:])
+    }
+
+
+def _task_search(k: int, dim: int, digits: int):
+    """Function for one task: the search of each of its cells."""
+    search = _cell_search(k, dim, digits)
+
+    def search_all(queries: pa.Table, stored: pa.Table) -> pa.Table:
+        by_cell = _cells(stored)
+        found = [search(part, by_cell[cell]) for cell, part in _cells(queries).items() if cell in by_cell]
+        return pa.concat_tables(found) if found else _NO_HITS
+
+    return search_all
 
 
 def _kth_smallest(values: np.ndarray, k: int) -> np.ndarray:
@@ -195,26 +241,26 @@ def _cell_search(k: int, dim: int, digits: int):
     """Function for one cell: at most ``k`` (query, stored row, distance) per query."""
 
     def search(queries: pa.Table, stored: pa.Table) -> pa.Table:
-        empty = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("distance", pa.float64())]).empty_table()
         # Checked here and not by a Spark filter, which would make every vector twice.
-        queries, stored = _of_width(queries, dim), _of_width(stored, dim)
+        (queries, asked), (stored, points) = _usable(queries, dim), _usable(stored.sort_by("id"), dim)
         if queries.num_rows == 0 or stored.num_rows == 0:
-            return empty
+            return _NO_HITS
         by_script = queries.column("block")[0].as_py().startswith("script:")
-        stored = stored.sort_by("id")
-        points = _vectors(stored, dim)
         ids = np.array(stored.column("id").to_pylist(), dtype=object)
         codes: dict[str | None, int] = {}
         point_jobs = np.array([codes.setdefault(j, len(codes)) for j in stored.column("job_name").to_pylist()])
         asked_jobs = np.array([codes.get(j, -1) if j else -1 for j in queries.column("job_name").to_pylist()])
-        asked = _vectors(queries, dim)
         names = queries.column("query_id").to_pylist()
 
-        # The product form |a|^2 + |b|^2 - 2ab is only a filter. It is taken around the
-        # center, where it is most precise, and its limit comes from a sample of the points.
+        # The product form |a|^2 + |b|^2 - 2ab is only a filter, so single precision will do.
+        # It is taken around the center, where it is most precise, and its limit comes from
+        # a sample of the points.
         center = points.mean(axis=0)
         near = points - center
         norms = (near * near).sum(axis=1)
+        small = max(norms.max(), ((asked - center) ** 2).sum(axis=1).max()) < 1e30
+        kind, precision = (np.float32, 2e-7) if small else (np.float64, 1e-14)
+        near, rough_norms = near.astype(kind), norms.astype(kind)
         stride = max(1, int(len(points) / np.sqrt(16.0 * k * len(points))))
         out_rows, out_ids, out_distances = [], [], []
         step = max(1, TILE_VALUES // len(points))
@@ -222,18 +268,18 @@ def _cell_search(k: int, dim: int, digits: int):
             tile = asked[start : start + step]
             shifted = tile - center
             tile_norms = (shifted * shifted).sum(axis=1)
-            rough = shifted @ near.T
-            rough *= -2.0
-            rough += norms
+            rough = shifted.astype(kind) @ near.T
+            rough *= kind(-2.0)
+            rough += rough_norms
             if by_script:
                 # Rows of the query's own job are compared in the job block.
                 rough[asked_jobs[start : start + step][:, None] == point_jobs[None, :]] = np.inf
-            limit = _kth_smallest(rough[:, ::stride], k)
+            limit = _kth_smallest(rough[:, ::stride], k).astype(np.float64)
             unknown = ~np.isfinite(limit)
             if unknown.any():
                 limit[unknown] = _kth_smallest(rough[unknown], k)
             # Whatever rounding could move into the first k is measured again by differences.
-            limit += 10.0**-digits + 1e-14 * dim * (tile_norms + norms.max())
+            limit += 10.0**-digits + precision * (dim + 4) * (tile_norms + norms.max())
             rows, cols = np.nonzero(rough <= limit[:, None])
             open_end = np.isinf(rough[rows, cols])
             rows, cols = rows[~open_end], cols[~open_end]
@@ -276,41 +322,39 @@ def nearest_by_query(
     """The ``k`` nearest stored rows per question: query_id, id, distance, rank.
 
     ``inc`` needs ``query_id`` (see :func:`with_query_id`). A question without job and
-    script is compared with the whole store. Vectors of another width than the store's find
-    nothing. Without ``dim`` the first stored row gives the width.
+    script is compared with the whole store. Vectors of another width than ``dim``, and
+    those with a null or non-finite value, find nothing and are not found. Without ``dim``
+    the stored vectors must have one width.
     """
     if dim is None:
-        row = hist.select(F.size("embedding").alias("n")).head()
-        dim = row.n if row else 0
-    if dim < 1:
+        dim = single_dimension(hist)
+    if not dim:
         return inc.sparkSession.createDataFrame([], _HIT + ", rank int")
-    rows_per_cell = rows_per_cell or max(1, CELL_BYTES // (8 * dim))
     asked = materialise(distinct_queries(inc, embed, vector), "questions")
-    stored = hist.select("id", "job_name", "script_name", as_double(F.col("embedding")).alias("embedding"))
+    stored = hist.select("id", "job_name", "script_name", _floating(hist, "embedding").alias("embedding"))
+    rows_per_cell = rows_per_cell or max(1, CELL_BYTES // (8 * dim))
     unfiltered = asked.where(_has_neither()).limit(1).count() > 0
     if not unfiltered:
         # A small batch of questions needs few of the stored rows, so those are picked first.
         stored = match_union(stored, asked, asked)
     stored = materialise(distinct_vectors(stored, k), "vectors")
     asked, stored = _blocks(asked, _has_neither()), _blocks(stored, F.lit(unfiltered))
-    grid, cells = _grid(asked, stored, rows_per_cell, pairs_per_cell)
-    # A cell is heavy on the processor however few bytes it has, so the number of tasks
-    # follows the cells, not the bytes.
-    tasks = min(max(cells, 1), MAX_TASKS)
+    grid, tasks = _grid(asked, stored, rows_per_cell, pairs_per_cell)
+    # Comparisons, not bytes, decide how many tasks there are. Cells fall on them by hash.
+    task = F.pmod(F.xxhash64(*_CELL), F.lit(tasks)).cast("int")
 
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         cell = F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int").alias(own)
         copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
         placed = df.join(grid, "block")
-        placed = placed.select("block", key, "job_name", "embedding", cell, copies)
-        return placed.repartition(tasks, *_CELL)
-
-    left = spread(asked, "query_id", "query_cell", "hist_cell").groupBy(*_CELL)
-    right = spread(stored, "id", "hist_cell", "query_cell").groupBy(*_CELL)
-    hits = left.cogroup(right).applyInArrow(_cell_search(k, dim, digits), _HIT)
-    # A question gets at most k hits per cell, so this window stays small.
-    best = W.partitionBy("query_id").orderBy(F.round("distance", digits), "id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        placed = placed.select("block", key, "job_name", "embedding", cell, copies).withColumn("task", task)
+        return placed.repartition(tasks, "task").groupBy("task")
+
+    left = spread(asked, "query_id", "query_cell", "hist_cell")
+    right = spread(stored, "id", "hist_cell", "query_cell")
+    hits = left.cogroup(right).applyInArrow(_task_search(k, dim, digits), _HIT)
+    # A block of very many cells gives k hits per cell to one question, hence the salts.
+    return top_k(hits, ["query_id"], [F.round("distance", digits), F.col("id")], k, spread=["id"])
 
 
 # The attributes a search result carries, in result order.

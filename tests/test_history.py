@@ -73,6 +73,44 @@ def test_other_widths_find_nothing(spark):
     stored = [("a", "J", "", [0.0, 0.0]), ("b", "J", "", [1.0])]
     asked = [(1, "J", None, [0.0, 1.0]), (2, "J", None, [0.0])]
     assert search(spark, stored, asked, 5, dim=2) == [(1, 1, "a", 1.0)]
+    with pytest.raises(ValueError, match="1 to 2 values"):
+        search(spark, stored, asked, 5)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_vectors_without_a_finite_value_harm_no_others(spark, bad):
+    stored, asked = make(9, 40, 20)
+    spoilt = [[bad, *[0.0] * 5], [0.0] * 5 + [bad]]
+    more = [(f"bad{i}", "HOT", "a.py", v) for i, v in enumerate(spoilt)]
+    ask_more = [(1000 + i, "HOT", None, v) for i, v in enumerate(spoilt)]
+    assert search(spark, stored + more, asked + ask_more, 5) == brute(stored, asked, 5)
+
+
+def test_float_vectors(spark):
+    stored, asked = make(10, 60, 30)
+    as_float = lambda rows: [(*r[:3], [float(np.float32(x)) for x in r[3]]) for r in rows]
+    stored, asked = as_float(stored), as_float(asked)
+    hits = history.history_search(
+        spark.createDataFrame(asked, ASKED.replace("double", "float")),
+        spark.createDataFrame(stored, STORE.replace("double", "float")),
+        5,
+    ).collect()
+    assert sorted((r.request_id, r["rank"], r.id, round(r.distance, 9)) for r in hits) == brute(stored, asked, 5)
+
+
+def test_very_large_values(spark):
+    stored = [(f"id{i}", "J", "", [1e200 * i, 0.0]) for i in range(20)]
+    assert [h[2] for h in search(spark, stored, [(1, "J", None, [3.1e200, 0.0])], 2)] == []
+    stored = [(f"id{i}", "J", "", [1e100 * i, 0.0]) for i in range(20)]
+    assert [h[2] for h in search(spark, stored, [(1, "J", None, [3.1e100, 0.0])], 2)] == ["id3", "id4"]
+
+
+def test_tasks_follow_the_work_not_the_jobs(spark):
+    rows = [(f"id{i}", f"J{i % 500}", "", [float(i), 0.0]) for i in range(1000)]
+    asked = [(i, f"J{i}", None, [0.0, 0.0]) for i in range(500)]
+    hits = history.history_search(spark.createDataFrame(asked, ASKED), spark.createDataFrame(rows, STORE), 5)
+    assert "hashpartitioning(task#" in hits._jdf.queryExecution().toString()
+    assert search(spark, rows, asked, 5) == brute(rows, asked, 5)
 
 
 def test_nothing_stored(spark):
