@@ -20,7 +20,8 @@ def log_tail_lines(log_lines: DataFrame, n: int = TAIL_LINES) -> DataFrame:
 def log_tail(log_lines: DataFrame, n: int = TAIL_LINES, manifest: DataFrame | None = None) -> DataFrame:
     """One row per log: content of the last ``n`` lines, total_lines, returned_lines.
 
-    At most ``n`` lines per log are gathered. Logs named in ``manifest`` that have no
+    At most ``n`` lines per log are gathered. Every line ends in a line feed, as lines of a
+    log do; a last line without one gets it. Logs named in ``manifest`` that have no
     lines (Spark's readers skip empty files) come out with empty content.
     """
     line = F.struct("line_no", "line")
@@ -34,7 +35,9 @@ def log_tail(log_lines: DataFrame, n: int = TAIL_LINES, manifest: DataFrame | No
         )
         .select(
             "log_name",
-            F.array_join(F.transform("_lines", lambda x: F.coalesce(x["line"], F.lit(""))), "\n").alias("content"),
+            F.array_join(F.transform("_lines", lambda x: F.concat(F.coalesce(x["line"], F.lit("")), F.lit("\n"))), "").alias(
+                "content"
+            ),
             "total_lines",
             "returned_lines",
         )

@@ -16,12 +16,13 @@ def node_for_job(inc: DataFrame, nodes: DataFrame) -> DataFrame:
     return inc.withColumn("node", first.scalar())
 
 
-def script_lookup(wanted: DataFrame, scripts: DataFrame) -> DataFrame:
+def script_lookup(wanted: DataFrame, scripts: DataFrame, chars: int | None = None) -> DataFrame:
     """The script of each distinct (job_name, script_name) in ``wanted``.
 
     The node finds a script by its target name only. The repository asks again with every
     ``.py`` of the requested name as ``.sh``, and answers "not found" by a text, so its
-    record is always there. Script names are unique, as file names are.
+    record is always there. Script names are unique, as file names are. With ``chars`` only
+    so many characters of a text are carried.
     """
     own, job = F.col("_own"), F.col("job_name")
     requests = wanted.select(job, or_empty(F.col("script_name")).alias("_own")).distinct()
@@ -39,7 +40,8 @@ def script_lookup(wanted: DataFrame, scripts: DataFrame) -> DataFrame:
             )
         ).alias("_try"),
     ).select("job_name", "_own", "_try.*")
-    by_name = scripts.select("name", "content", "permissions")
+    content = F.col("content") if chars is None else F.substring("content", 1, chars)
+    by_name = scripts.select("name", content.alias("content"), "permissions")
     hits = (
         materialise(names.where(F.col("name").isNotNull()), "script-names")
         .join(by_name, "name")

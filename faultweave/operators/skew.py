@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultweave.session import materialise
+
 SALTS = 10
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows per key and the key's share of all rows.
 
-    The total is a scalar subquery, so the keys stay spread over the cluster.
+    The total is a scalar subquery over the counts, so the keys stay spread over the cluster
+    and the rows are read once.
     """
-    total = df.agg(F.count("*")).scalar()
-    return (
-        df.groupBy(key).agg(F.count("*").alias("n")).withColumn("share", F.col("n").cast("double") / total)
-    )
+    counts = materialise(df.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
+    return counts.withColumn("share", F.col("n").cast("double") / counts.agg(F.sum("n")).scalar())
 
 
 def largest_share(df: DataFrame, key: str) -> DataFrame:

@@ -1,32 +1,30 @@
 """Tracker tickets that name a job.
 
 A ticket matches when the lower-cased job name occurs anywhere in its summary, its
-description or its joined labels. Every ticket text is read once by a multi-pattern
-matcher over the distinct job names; each task gives back its own counts and its first
-few tickets per name, so nothing grows with the number of matches.
+description or its joined labels. Ticket texts are read by a multi-pattern matcher over the
+distinct job names, which gives (name, ticket) rows; Spark counts them and takes the first.
 """
 
 from __future__ import annotations
 
-import heapq
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import or_empty
 from faultweave.operators.topk import ranked_array, top_k
-from faultweave.session import materialise
+from faultweave.session import materialise, path_exists
 
 FIRST_N = 3
 NAME_CHARS_PER_PASS = 4 << 20
 
-_PARTIAL = "name string, seq long, n long"
-
 
 def _matcher(names: list[str]) -> Callable[[str], set[str]]:
     import ahocorasick
@@ -39,32 +37,33 @@ def _matcher(names: list[str]) -> Callable[[str], set[str]]:
     return lambda text: set(map(hit, machine.iter(text)))
 
 
-def _partial_matches(shared, n: int):
-    """Per task: the matches of each name, and its ``n`` first tickets."""
+def _worker_matcher(token: str, shared) -> Callable[[str], set[str]]:
+    """The matcher of this pass, built once per Python worker.
+
+    It is kept in a module of the worker's own, since functions that travel with a job get
+    new globals with every task.
+    """
+    place = sys.modules.setdefault("_ticket_matcher", types.ModuleType("_ticket_matcher"))
+    if getattr(place, "token", None) != token:
+        place.token, place.find = token, _matcher(shared.value)
+    return place.find
+
+
+def _name_rows(shared, token: str):
+    """(name, seq) of every name that a ticket holds, once per ticket."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _matcher(shared.value)
-        counts: dict[str, int] = {}
-        first: dict[str, list[int]] = {}
+        find = _worker_matcher(token, shared)
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for seq, *texts in zip(*columns):
-                for name in set().union(*(find(t) for t in texts)):
-                    counts[name] = counts.get(name, 0) + 1
-                    kept = first.setdefault(name, [])
-                    if len(kept) < n:
-                        heapq.heappush(kept, -seq)
-                    else:
-                        heapq.heappushpop(kept, -seq)
-        rows = [(name, -s, counts[name] if i == 0 else 0) for name, kept in first.items() for i, s in enumerate(kept)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()),
-            ],
-            names=["name", "seq", "n"],
-        )
+            names: list[str] = []
+            tickets: list[int] = []
+            for seq, *texts in zip(*(column.to_pylist() for column in batch.columns)):
+                held = set().union(*map(find, texts))
+                names.extend(held)
+                tickets.extend([seq] * len(held))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(tickets, pa.int64())], names=["name", "seq"]
+            )
 
     return scan
 
@@ -73,25 +72,14 @@ def label_text(labels: Column) -> Column:
     return F.array_join(F.coalesce(labels, F.array().cast("array<string>")), " ")
 
 
-def first_n_in_order(
-    matches: DataFrame, n: int = FIRST_N, key: str = "name", order: str = "seq", weight: str | None = None
-) -> DataFrame:
+def first_n_in_order(matches: DataFrame, n: int = FIRST_N, key: str = "name", order: str = "seq") -> DataFrame:
     """The first ``n`` rows per key with the full count of its rows in ``total``.
 
-    With ``weight`` the rows are already cut to a few per task and carry the counts they
-    stand for, so one window does both. Otherwise the counts come from a partial
-    aggregation and the rows from a salted top-k, and no key is gathered in one place.
+    The counts come from a partial aggregation and the rows from a salted top-k, so no key
+    is gathered in one place.
     """
-    if weight is None:
-        totals = matches.groupBy(key).agg(F.count("*").alias("total"))
-        return top_k(matches, [key], [F.col(order)], n, spread=[order]).join(totals, key)
-    whole = W.partitionBy(key)
-    return (
-        matches.withColumn("total", F.sum(weight).over(whole))
-        .withColumn("rank", F.row_number().over(whole.orderBy(order)))
-        .where(F.col("rank") <= n)
-        .drop(weight)
-    )
+    totals = matches.groupBy(key).agg(F.count("*").alias("total"))
+    return top_k(matches, [key], [F.col(order)], n, spread=[order]).join(totals, key)
 
 
 def ticket_matches(
@@ -100,14 +88,15 @@ def ticket_matches(
     """The first ``n`` tickets per lower-cased job name: name, seq, rank, total.
 
     ``tickets`` has seq (the file order), summary, description and labels (an array, or
-    text that is already joined). Job names go to the workers in passes of bounded size;
-    one pass is enough for more than a hundred thousand names.
+    text that is already joined). Job names go to the workers in passes of bounded size,
+    each of which reads the ticket texts once; one pass is enough for more than a hundred
+    thousand names. The driver holds the names of one pass at a time.
     """
     spark = tickets.sparkSession
     names = materialise(jobs.select(F.lower("job_name").alias("name")).where("name <> ''").distinct(), "names")
     size = names.agg(F.sum(F.length("name")).alias("chars")).first().chars or 0
     if size == 0:
-        return spark.createDataFrame([], "name string, seq long, total long, rank int")
+        return spark.createDataFrame([], "name string, seq long, rank int, total long")
     passes = -(-size // name_chars_per_pass)
     joined = label_text(F.col("labels")) if dict(tickets.dtypes)["labels"].startswith("array") else F.col("labels")
     texts = tickets.select(
@@ -120,10 +109,39 @@ def ticket_matches(
     for p in range(passes):
         chunk = names.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p)
         shared = spark.sparkContext.broadcast([r.name for r in chunk.collect()])
-        if not shared.value:
-            continue
-        parts.append(texts.mapInArrow(_partial_matches(shared, n), _PARTIAL))
-    return materialise(first_n_in_order(reduce(DataFrame.unionAll, parts), n, weight="n"), "ticket-matches")
+        if shared.value:
+            rows = texts.mapInArrow(_name_rows(shared, uuid.uuid4().hex), "name string, seq long")
+            parts.append(materialise(rows, "ticket-names"))
+        shared.destroy()
+    return materialise(first_n_in_order(reduce(DataFrame.unionAll, parts), n), "ticket-matches")
+
+
+def kept_ticket_matches(
+    asked: DataFrame, tickets: DataFrame, path: str, owner: int, n: int = FIRST_N
+) -> DataFrame:
+    """:func:`ticket_matches` that remembers its answers at ``path``, also for names without a match.
+
+    Tickets are read for names that no other owner has asked for. An owner, such as a
+    micro-batch, rewrites its own folder, so it may be repeated. The answers hold as long as
+    the tickets do not change; give another path for other tickets.
+    """
+    spark = asked.sparkSession
+    schema = "name string, seq long, rank int, total long"
+    names = asked.select(F.lower("job_name").alias("name")).where("name <> ''").distinct()
+    names = materialise(names, "asked-names")
+
+    def kept() -> DataFrame:
+        if not path_exists(spark, path):
+            return spark.createDataFrame([], f"{schema}, owner long")
+        return spark.read.schema(f"{schema}, owner long").parquet(path)
+
+    known = kept().where(F.col("owner") != owner).select("name").distinct()
+    new = materialise(names.join(known, "name", "left_anti"), "new-names")
+    if not new.isEmpty():
+        found = ticket_matches(new.withColumnRenamed("name", "job_name"), tickets, n)
+        rows = new.join(found, "name", "left").select("name", "seq", "rank", "total")
+        rows.write.mode("overwrite").parquet(f"{path}/owner={owner}")
+    return kept().drop("owner").where("seq IS NOT NULL").join(names, "name", "left_semi").distinct()
 
 
 TICKET_FIELDS = ("key", "ticket_key", "summary", "fix_details", "root_cause")

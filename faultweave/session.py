@@ -1,4 +1,4 @@
-"""Where intermediate tables go, how long lineages are cut, and what may be broadcast."""
+"""Where intermediate tables go and how long lineages are cut."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from contextlib import contextmanager
 from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -57,8 +56,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def dropping_tables(spark: SparkSession) -> Iterator[None]:
     """Drop the tables that were materialised inside, at the end.
 
-    For work whose results have been written by then, such as a micro-batch; a stream
-    would otherwise fill the shared folder.
+    For work whose results have been written by then: a micro-batch, or a batch run that
+    writes its result inside. Without it they stay in the shared folder.
     """
     written: list[str] = []
     token = _written.set(written)
@@ -78,7 +77,7 @@ def in_this_context(work: Callable) -> Callable:
     return lambda: context.run(work)
 
 
-def small_side(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
-    """Mark a materialised table for broadcast if it has at most ``max_rows`` rows."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= max_rows else df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -37,10 +37,12 @@ def read_incident_export(
 ) -> DataFrame:
     """Past incidents from CSV, JSON or Parquet files.
 
-    Give ``schema=None`` for a CSV or Parquet file whose headers differ from the usual
-    ones: CSV columns are then read as text under the names in the header line. Texts with
-    line breaks in CSV need ``multiline``, which stops Spark from splitting a file. A blank
-    CSV cell is read as null, which :func:`resolve_headers` turns into ''.
+    CSV columns are bound by the names in the header line, whatever their order; of the
+    schema's columns those without a header are null. Files of one folder must agree in
+    their headers, or reading fails. Give ``schema=None`` for a CSV or Parquet file whose
+    headers differ from the usual ones: CSV columns are then all text. Texts with line
+    breaks in CSV need ``multiline``, which stops Spark from splitting a file. A blank CSV
+    cell is read as null, which :func:`resolve_headers` turns into ''.
     """
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
@@ -50,10 +52,21 @@ def read_incident_export(
         return spark.read.schema(schema).json(path)
     if fmt == "csv":
         reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-        return reader.schema(schema).csv(path) if schema else reader.csv(path)
+        rows = reader.option("enforceSchema", False).csv(path)
+        return rows if schema is None else _by_name(rows, schema)
     raise ValueError(f"unknown export format {fmt!r}")
 
 
+def _by_name(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    have = set(rows.columns)
+    return rows.select(
+        *[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]
+    )
+
+
 def resolve_headers(raw: DataFrame) -> DataFrame:
     """The eleven text fields of an incident, each from the first header that is present.
 

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read_with_text_partitions(spark: SparkSession, root: str) -> DataFrame:
+    """Parquet folders whose partition values are text as written: ``001`` stays ``001``."""
+    rows = spark.read.parquet(root)
+    file = rows.select("_metadata.file_path").head()
+    if file is None:
+        return rows
+    names = set(re.findall(r"/([^/=]+)=[^/]*(?=/)", file.file_path))
+    text = [T.StructField(f.name, T.StringType()) if f.name in names else f for f in rows.schema]
+    return spark.read.schema(T.StructType(text)).parquet(root)
 
 
 def _is(name: str, value: str) -> Column:
@@ -12,7 +26,7 @@ def _is(name: str, value: str) -> Column:
 
 def read_partition(spark: SparkSession, root: str, date: str, currency: str | None = None) -> DataFrame:
     """The rows of one ``date=`` (and ``currency=``) folder; other folders are not listed for reading."""
-    rows = spark.read.parquet(root).where(_is("date", date))
+    rows = read_with_text_partitions(spark, root).where(_is("date", date))
     return rows if currency is None else rows.where(_is("currency", currency))
 
 
@@ -31,7 +45,7 @@ def archive_partition(spark: SparkSession, source: str, archive: str, date: str)
 
     A date without a folder is reported as ``missing`` and is no error.
     """
-    day = spark.read.parquet(source).where(_is("date", date))
+    day = read_with_text_partitions(spark, source).where(_is("date", date))
     files, rows = day.agg(F.countDistinct("_metadata.file_path"), F.count("*")).first()
     if files:
         (

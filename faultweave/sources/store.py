@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import document_text
 from faultweave.functions.vectors import Embedder
 from faultweave.schemas import STORE, STORE_ATTRIBUTES
-from faultweave.session import materialise
+from faultweave.session import materialise, path_exists
 from faultweave.sources.exports import drop_blank_ids
 
 
@@ -80,27 +80,51 @@ def first_per_id(docs: DataFrame) -> DataFrame:
 
 
 def append_new(
-    spark: SparkSession, path: str, docs: DataFrame, embed: Embedder | None = None, repeats: str = "error"
+    spark: SparkSession,
+    path: str,
+    docs: DataFrame,
+    embed: Embedder | None = None,
+    repeats: str = "error",
+    dim: int | None = None,
 ) -> int:
     """Add the rows whose id the store does not have, and return how many those were.
 
     ``docs`` come from :func:`store_documents`, and only the new ones are embedded; without
     ``embed`` they carry their vectors.
-    A stored id keeps its row. Repeats of an id inside ``docs`` are an error, or with
-    ``repeats="first"`` the row with the smallest ``seq`` is taken. A second run over
+    A store that does not exist is made. A stored id keeps its row. Repeats of an id inside
+    ``docs`` are an error, or with ``repeats="first"`` the row with the smallest ``seq`` is
+    taken. A missing id is an error, and so is a vector without ``dim`` values; by default
+    these are as many as the stored vectors have, or the first new one. A second run over
     the same rows adds nothing, so a lost run may be repeated.
     """
     ids = materialise(docs.select("id"), "ids")
+    if ids.where("id IS NULL").limit(1).count():
+        raise ValueError("a row has no id")
     if repeats == "first":
         docs = first_per_id(docs)
     elif ids.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("an id occurs twice in one batch")
-    before = store_count(read_store(spark, path))
-    new = not_yet_stored(docs, read_store(spark, path), ids)
+    if not path_exists(spark, path):
+        recreate(spark, path)
+    stored = read_store(spark, path)
+    new = not_yet_stored(docs, stored, ids)
     if embed:
         new = new.withColumn("embedding", embed(F.col("document")))
-    new.select(*STORE.fieldNames()).write.mode("append").parquet(path)
-    return store_count(read_store(spark, path)) - before
+    if dim is None:
+        dim = _width_of_first(stored) or _width_of_first(new)
+    if dim is None:
+        return 0
+    wrong = F.raise_error(F.concat(F.lit(f"a vector of other than {dim} values: "), "id"))
+    checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong)
+    added = Observation()
+    new = new.withColumn("embedding", checked).select(*STORE.fieldNames())
+    new.observe(added, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return added.get.get("n", 0)
+
+
+def _width_of_first(rows: DataFrame) -> int | None:
+    row = rows.select(F.size("embedding").alias("n")).head()
+    return row.n if row else None
 
 
 def store_count(store: DataFrame) -> int:
@@ -110,13 +134,16 @@ def store_count(store: DataFrame) -> int:
 def sync_range(
     spark: SparkSession, path: str, incidents: DataFrame, start: str, end: str, embed: Embedder
 ) -> DataFrame:
-    """Add the incidents resolved from ``start`` to ``end`` (both included) and report.
+    """Add the incidents resolved from the day ``start`` to the day ``end`` (both included) and report.
 
-    ``resolved_at`` holds ISO dates as text, so text order is date order.
+    ``resolved_at`` holds ISO dates as text, with or without a time, so the order of their
+    first ten characters is the order of days.
     """
-    chosen = drop_blank_ids(incidents.where(F.col("resolved_at").between(start, end)))
-    added = append_new(spark, path, store_documents(chosen), embed)
-    return sync_report(spark, chosen.count(), added)
+    day = F.substring("resolved_at", 1, 10)
+    chosen = drop_blank_ids(incidents.where(day.between(start[:10], end[:10])))
+    docs = materialise(store_documents(chosen), "chosen")
+    added = append_new(spark, path, docs, embed)
+    return sync_report(spark, docs.count(), added)
 
 
 def sync_report(spark: SparkSession, handed_in: int, added: int) -> DataFrame:

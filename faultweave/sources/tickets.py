@@ -3,25 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultweave.schemas import TICKET
+from faultweave.session import materialise
+
+_STRICT = {"mode": "FAILFAST"}
 
 
 def read_tickets(spark: SparkSession, path: str, fmt: str = "lines") -> DataFrame:
-    """Tickets with ``seq``, their order.
+    """Tickets with ``seq``, their order. Text that is not such JSON is an error.
 
-    ``lines`` reads one ticket per line in parallel; each carries its own ``seq``.
-    ``array`` reads one small file that holds a JSON array and numbers its elements.
+    ``lines`` reads one ticket per line in parallel; each must carry its own ``seq``.
+    ``array`` reads files that each hold one JSON array, a file per task, and numbers the
+    elements from 0 by file name and place.
     """
     if fmt == "lines":
-        return spark.read.schema(T.StructType([T.StructField("seq", T.LongType()), *TICKET.fields])).json(path)
+        schema = T.StructType([T.StructField("seq", T.LongType()), *TICKET.fields])
+        rows = spark.read.schema(schema).options(**_STRICT).json(path)
+        seq = F.when(F.col("seq").isNull(), F.raise_error(F.lit("a ticket has no seq"))).otherwise(F.col("seq"))
+        return rows.withColumn("seq", seq)
     if fmt == "array":
-        tickets = F.from_json("value", T.ArrayType(TICKET))
-        return (
-            spark.read.text(path, wholetext=True)
-            .select(F.posexplode(tickets).alias("seq", "t"))
-            .select(F.col("seq").cast("long").alias("seq"), "t.*")
+        parsed = F.from_json("value", T.ArrayType(TICKET), _STRICT)
+        tickets = F.when(
+            F.trim("value").startswith("[") & parsed.isNotNull(), parsed
+        ).otherwise(F.raise_error(F.lit("a ticket file holds no JSON array")))
+        files = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("_file"), tickets.alias("_tickets")
         )
+        files = materialise(files, "ticket-files")
+        # one row per file
+        earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.size("_tickets")).over(earlier), F.lit(0))
+        starts = files.select("_file", before.cast("long").alias("_before"))
+        each = files.select("_file", F.posexplode("_tickets").alias("_place", "t"))
+        return each.join(starts, "_file").select((F.col("_before") + F.col("_place")).alias("seq"), "t.*")
     raise ValueError(f"unknown ticket format {fmt!r}")

@@ -38,6 +38,12 @@ def test_export_formats(spark, tmp_path):
     path.write_text('INCIDENT_ID,Summary Text\n1,"a, ""b"""\n')
     row = exports.read_incident_export(spark, str(path), "csv", schema=None).first()
     assert tuple(row) == ("1", 'a, "b"')
+    path.write_text('JOB_NAME,INCIDENT_ID,MTTD\nDBS_A,INC-1,x\nDBS_B,,7\n')
+    rows = exports.read_incident_export(spark, str(path), "csv").collect()
+    assert [(r.INCIDENT_ID, r.JOB_NAME, r.MTTD, r.SUMMARY) for r in rows] == [
+        ("INC-1", "DBS_A", None, None),
+        (None, "DBS_B", 7, None),
+    ]
     with pytest.raises(ValueError):
         exports.read_incident_export(spark, str(path), "json", schema=None)
     with pytest.raises(ValueError):
@@ -58,6 +64,31 @@ def test_adding_twice_changes_nothing(spark):
     assert store.store_count(store.read_store(spark, path)) == 0
 
 
+def test_a_store_is_made_when_absent(spark):
+    path = scratch_path(spark, "store")
+    rows = store.store_documents(docs(spark, [("a", "1", "", 0)]))
+    assert store.append_new(spark, path, rows.limit(0), md5_embedding) == 0
+    assert store.append_new(spark, path, rows, md5_embedding) == 1
+    assert ids(spark, path) == [("a", "1")]
+
+
+def test_widths_and_ids_are_checked(spark):
+    path = scratch_path(spark, "store")
+    rows = store.store_documents(docs(spark, [("a", "1", "", 0), ("b", "2", "", 1)]))
+    assert store.append_new(spark, path, rows.where("id = 'a'"), md5_embedding) == 1
+    wide = rows.withColumn("embedding", F.array_repeat(F.lit(0.0), 9))
+    with pytest.raises(Exception, match="other than 8"):
+        store.append_new(spark, path, wide)
+    mixed = rows.withColumn("embedding", F.array_repeat(F.lit(0.0), F.when(F.col("id") == "a", 3).otherwise(4)))
+    with pytest.raises(Exception, match="other than"):
+        store.append_new(spark, scratch_path(spark, "store"), mixed)
+    with pytest.raises(Exception, match="other than 8"):
+        store.append_new(spark, path, rows.withColumn("embedding", F.lit(None).cast("array<double>")))
+    with pytest.raises(ValueError, match="no id"):
+        store.append_new(spark, path, rows.withColumn("id", F.lit(None).cast("string")), md5_embedding)
+    assert ids(spark, path) == [("a", "1")]
+
+
 def test_repeated_ids(spark):
     path = scratch_path(spark, "store")
     store.recreate(spark, path)
@@ -84,6 +115,8 @@ def test_sync_takes_both_ends(spark):
     )
     assert tuple(store.sync_range(spark, path, rows, "2024-01-01", "2024-01-31", md5_embedding).first()) == ("synced", 2, 2)
     assert tuple(store.sync_range(spark, path, rows, "2024-01-31", "2024-02-01", md5_embedding).first()) == ("synced", 2, 1)
+    timed = rows.withColumn("resolved_at", F.concat("resolved_at", F.lit(" 23:59:59")))
+    assert store.sync_range(spark, path, timed, "2024-01-31", "2024-02-01", md5_embedding).first().tickets_added == 2
     assert store.sync_range(spark, path, rows, "2030", "2031", md5_embedding).first().status == "no tickets found"
 
 

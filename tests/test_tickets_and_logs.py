@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultweave.operators import logs as log_ops
 from faultweave.operators import tickets as ticket_ops
+from faultweave.operators.scripts import script_lookup
 from faultweave.session import scratch_path
 from faultweave.sources.logs import read_logs
 from faultweave.sources.scripts import read_scripts
@@ -103,7 +104,7 @@ def test_line_numbers_across_splits(spark, log_folder, split):
 def test_tail(spark, log_folder):
     manifest = spark.createDataFrame([("empty.log",), ("crlf.log",), ("long+name 1.log",)], "log_name string")
     got = {r.log_name: r for r in log_ops.log_tail(read_logs(spark, log_folder), 2, manifest).collect()}
-    assert (got["crlf.log"].content, got["crlf.log"].total_lines, got["crlf.log"].returned_lines) == ("\nc", 4, 2)
+    assert (got["crlf.log"].content, got["crlf.log"].total_lines, got["crlf.log"].returned_lines) == ("\nc\n", 4, 2)
     assert (got["empty.log"].content, got["empty.log"].total_lines) == ("", 0)
     assert got["long+name 1.log"].total_lines == 399
     with pytest.raises(ValueError):
@@ -121,6 +122,24 @@ def test_scripts(spark, tmp_path):
     assert read_scripts(spark, str(folder)).first().permissions is None
 
 
+def test_lines_must_be_cut_as_they_were_counted(spark, log_folder):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = read_logs(spark, log_folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(Exception, match="cut otherwise"):
+        rows.collect()
+
+
+def test_only_a_part_of_a_script_is_carried(spark):
+    wanted = spark.createDataFrame([("J", None)], "job_name string, script_name string")
+    have = spark.createDataFrame([("J.py", "abcdef", "755")], "name string, content string, permissions string")
+    row = script_lookup(wanted, have, 3).first()
+    assert (row.config_content, row.node_content, row.on_node) == ("abc", "abc", True)
+
+
 def test_scratch_paths_differ(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
@@ -132,3 +151,42 @@ def test_tickets_from_lines(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(i, f"T-{i}") for i in range(5)]
     with pytest.raises(ValueError):
         read_tickets(spark, str(path), "xml")
+
+
+@pytest.mark.parametrize("text", ['{"key": "T-0"}', "[1, 2", '[{"key": "T-0"}', "null", "x"])
+def test_broken_ticket_files_are_errors(spark, tmp_path, text):
+    path = tmp_path / "t.json"
+    path.write_text(text)
+    with pytest.raises(Exception):  # noqa: B017
+        read_tickets(spark, str(path), "array").collect()
+    with pytest.raises(Exception):  # noqa: B017
+        read_tickets(spark, str(path)).select("seq", "key").collect()
+
+
+def test_arrays_of_several_files_are_numbered_in_a_row(spark, tmp_path):
+    for name, part in (("b", TICKETS[3:]), ("a", TICKETS[:3])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(part))
+    rows = read_tickets(spark, str(tmp_path), "array").select("seq", F.coalesce("key", "ticket_key")).collect()
+    assert sorted(map(tuple, rows)) == [(i, f"T-{i}") for i in range(5)]
+    (tmp_path / "c.json").write_text("[]")
+    assert read_tickets(spark, str(tmp_path), "array").count() == 5
+
+
+def test_kept_matches_spare_the_tickets(spark, tmp_path):
+    path, kept = tmp_path / "tickets.json", scratch_path(spark, "kept")
+    path.write_text(json.dumps(TICKETS))
+    tickets = read_tickets(spark, str(path), "array")
+    broken = tickets.withColumn("summary", F.raise_error(F.lit("tickets were read")).cast("string"))
+
+    def ask(names, source, owner):
+        asked = spark.createDataFrame([(n,) for n in names], "job_name string")
+        rows = ticket_ops.kept_ticket_matches(asked, source, kept, owner, 2).collect()
+        return sorted((r.name, r["rank"], r.seq, r.total) for r in rows)
+
+    assert ask(NAMES[:4], tickets, 0) == brute(NAMES[:4], 2)
+    # known names, also one without a match, need no tickets; a repeated owner finds them anew
+    assert ask(NAMES[1:4], broken, 1) == brute(NAMES[1:4], 2)
+    assert ask(NAMES, tickets, 2) == brute(NAMES, 2)
+    assert ask(NAMES[:4], tickets, 0) == brute(NAMES[:4], 2)
+    with pytest.raises(Exception, match="tickets were read"):
+        ask(["new name"], broken, 3)
