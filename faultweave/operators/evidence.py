@@ -16,11 +16,14 @@ OUTCOME_CHARS = 160
 CONTEXT_ENTRIES = 3
 NOTHING = "None found"
 
-# What evidence and a diagnosis text read of each past incident and each ticket.
-EVIDENCE_FIELDS: tuple[dict[str, int | None], ...] = ({"ticket_id": None}, {"key": None, "ticket_key": None})
-CONTEXT_FIELDS: tuple[dict[str, int | None], ...] = (
+Fields = tuple[dict[str, int | None], dict[str, int | None], int | None]
+
+# What evidence and a diagnosis text read of each past incident, each ticket and each script.
+EVIDENCE_FIELDS: Fields = ({"ticket_id": None}, {"key": None, "ticket_key": None}, 1)
+CONTEXT_FIELDS: Fields = (
     {"ticket_id": None, "description": SUMMARY_CHARS, "resolution": OUTCOME_CHARS},
     {"key": None, "ticket_key": None, "summary": SUMMARY_CHARS, "fix_details": None, "root_cause": OUTCOME_CHARS},
+    SCRIPT_CHARS + 1,
 )
 
 # The keys of the evidence record, and the stages of an investigation.

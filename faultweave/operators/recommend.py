@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import coerce_enum
@@ -10,85 +10,6 @@ from faultweave.schemas import CONFIDENCE_LEVELS, FAILURE_TYPES
 
 ESCALATION_REASON = "Confidence is low, so a person should review this incident"
 
-_WAITING = (
-    "A job this one depends on did not finish, so this run never began",
-    (
-        "Look up the state of the job it waits for",
-        "Let go of any hold on that job",
-        "Ask whether the delivering system is up",
-        "Start the blocked job again",
-        "Watch that this job then starts by itself",
-    ),
-)
-PLAYBOOK: dict[str, tuple[str, tuple[str, ...]]] = {
-    "job_not_trigger": _WAITING,
-    "upstream_dependency": _WAITING,
-    "cpu_high": (
-        "The processor is saturated, mostly by a query without an index or by far more rows than usual",
-        (
-            "Find statements that ran for over half a minute",
-            "Index the columns those statements filter on",
-            "Insert rows in batches, not one at a time",
-            "Run the work in smaller date ranges",
-            "Have the database team look at connection limits",
-        ),
-    ),
-    "long_running": (
-        "The run outlasted its time limit because it covers more work or more rows than before",
-        (
-            "Leave the run alone while there is still time in the window",
-            "See whether the work can be split",
-            "Tell the owners about the extra rows",
-            "Compare schedule and time limit with recent run times",
-        ),
-    ),
-    "oom": (
-        "An executor used up its memory, because too little was granted or one partition is much too large",
-        (
-            "Grant each executor four to eight gigabytes",
-            "Cut the input of large joins into more partitions",
-            "Write results to storage, never fetch them to the driver",
-            "Count rows per key to find a skewed one",
-            "Take broadcast hints off tables of over 200 megabytes",
-        ),
-    ),
-    "permission_error": (
-        "A script may not be executed, by its mode bits or because of foreign line ends",
-        (
-            "Make the failing script executable",
-            "Convert the script if its lines end in CRLF",
-            "Check that each deployment sets the execute bit",
-            "Check the scripts it calls in the same way",
-        ),
-    ),
-    "python_version": (
-        "The job command starts an interpreter that is too old for the script",
-        (
-            "Point the job command to python3",
-            "Check that the host has Python 3.8 or later",
-            "Check that the job loads the right virtual environment",
-            "Look in the script for syntax that old interpreters reject",
-            "Install the modules that are missing",
-        ),
-    ),
-    "unknown": (
-        "The log does not say enough to name a cause",
-        (
-            "Read the whole log on the host",
-            "Look for an abnormal end in the scheduler's event list",
-            "Send the log to the owners of the job",
-            "Hand the incident to second-level support",
-        ),
-    ),
-}
-
-
-def playbook(spark: SparkSession) -> DataFrame:
-    """The eight rows of failure_type, root_cause, actions."""
-    rows = [(name, cause, list(actions)) for name, (cause, actions) in PLAYBOOK.items()]
-    return spark.createDataFrame(rows, "failure_type string, root_cause string, actions array<string>")
-
-
 def confidence(failure_type: Column, past: Column, tickets: Column, on_node: Column) -> Column:
     """How sure a recommendation is, by what evidence was found."""
     high, moderate = F.lit("high"), F.lit("moderate")
@@ -105,13 +26,21 @@ def confidence(failure_type: Column, past: Column, tickets: Column, on_node: Col
     )
 
 
-def recommend(found: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def recommend(found: DataFrame, playbook: DataFrame) -> DataFrame:
     """Add root_cause, actions, confidence, escalation_needed and escalation_reason.
 
     ``found`` has failure_type, historical_tickets, jira_tickets and edge_node_available.
-    The playbook has one row per failure type, eight in all, so it is broadcast.
+    ``playbook`` is the user's table of failure_type, root_cause and actions (an array);
+    types without a row get nulls, of several rows of a type the smallest counts. Reduced to
+    the closed list of types it has at most eight rows, so it is broadcast.
     """
-    rules = playbook(found.sparkSession) if rules is None else rules
+    rule = F.struct("root_cause", "actions")
+    rules = (
+        playbook.where(F.col("failure_type").isin(*FAILURE_TYPES))
+        .groupBy("failure_type")
+        .agg(F.min(rule).alias("_rule"))
+        .select("failure_type", "_rule.*")
+    )
     kind = coerce_enum(F.col("failure_type"), FAILURE_TYPES, "unknown")
     sure = confidence(
         F.col("failure_type"), F.col("historical_tickets"), F.col("jira_tickets"), F.col("edge_node_available")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from faultweave.operators.evidence import (
     CONTEXT_FIELDS,
     EVIDENCE_FIELDS,
     EVIDENCE_KEYS,
+    Fields,
     assemble,
     diagnosis_context,
     evidence,
@@ -33,7 +35,7 @@ class Knowledge:
     """The tables an investigation looks things up in.
 
     ``embed`` makes the vector of a question and must be the one the store was built
-    with, giving ``dim`` values.
+    with, giving ``dim`` values. ``playbook`` has failure_type, root_cause and actions.
     """
 
     store: DataFrame
@@ -42,6 +44,7 @@ class Knowledge:
     nodes: DataFrame
     embed: Embedder
     dim: int
+    playbook: DataFrame
     repo: dict[str, str] = field(default_factory=dict)
 
 
@@ -57,31 +60,34 @@ def gather(
     k: int = TOP_K,
     n: int = FIRST_N,
     mode: str = "compat",
-    fields: tuple[dict[str, int | None], ...] | None = None,
+    fields: Fields | None = None,
+    match_tickets: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per incident with everything that was found about it.
 
-    ``fields`` limits what is carried of past incidents and of tickets; by default all.
+    ``fields`` limits what is carried of past incidents, tickets and scripts; by default all.
+    ``match_tickets`` may stand in for :func:`ticket_matches`.
 
     The prepared incidents feed all branches, so they are written once; so are the narrow
     hits, for Spark to know their size before it joins the store's texts to them. The three
     searches do not need each other and run at the same time.
     """
     asked = materialise(prepare(incidents, mode), "asked")
-    of_past, of_tickets = fields or (None, None)
+    of_past, of_tickets, script_chars = fields or (None, None, None)
 
     def search_history() -> DataFrame:
         hits = materialise(nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim), "hits")
         return history_arrays(hits, known.store, of_past)
 
     def search_tickets() -> DataFrame:
-        found = ticket_arrays(ticket_matches(asked, known.tickets, n), known.tickets, of_tickets)
+        matches = match_tickets(asked) if match_tickets else ticket_matches(asked, known.tickets, n)
+        found = ticket_arrays(matches, known.tickets, of_tickets)
         # One row per job name: written out, it is seen to be small, and the incidents need
         # not be shuffled by a job name that many of them share.
         return materialise(found, "tickets")
 
     def search_scripts() -> DataFrame:
-        return script_lookup(asked, known.scripts)
+        return script_lookup(asked, known.scripts, script_chars)
 
     spark = incidents.sparkSession
     with ThreadPoolExecutor(3) as pool:
@@ -94,7 +100,7 @@ def gather(
 
 def investigate(incidents: DataFrame, known: Knowledge, **options) -> DataFrame:
     """One row per incident: label, recommendation and evidence."""
-    return recommend(gather(incidents, known, fields=EVIDENCE_FIELDS, **options)).select(
+    return recommend(gather(incidents, known, fields=EVIDENCE_FIELDS, **options), known.playbook).select(
         "request_id",
         "ticket_id",
         "job_name",
@@ -122,7 +128,7 @@ def responses(incidents: DataFrame, known: Knowledge, analysis: str | None = Non
     The job name is the one that was handed in. ``analysis`` names an incident column with
     a diagnosis made elsewhere, if there is one.
     """
-    found = recommend(gather(incidents, known, fields=EVIDENCE_FIELDS, **options))
+    found = recommend(gather(incidents, known, fields=EVIDENCE_FIELDS, **options), known.playbook)
     return found.select(
         "request_id",
         "ticket_id",

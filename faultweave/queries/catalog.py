@@ -7,6 +7,7 @@ that ``oracle.py`` can state the same result in SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,22 @@ def read_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_export(exports.read_incident_export(spark, path, "csv", multiline=True))
 
 
+@query
+def read_export_csv_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in reverse order, and one that the schema does not have."""
+    path = scratch_path(spark, "export-csv")
+    rows = v.export(spark, sf_dir)
+    (
+        rows.select(F.lit("x").alias("NOTE"), *reversed(rows.columns))
+        .write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    return _flat_export(exports.read_incident_export(spark, path, "csv", multiline=True))
+
+
 @query
 def read_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "export-json")
@@ -119,15 +136,36 @@ def read_export_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tickets")
     v.tickets(spark, sf_dir).write.json(path)
-    return ticket_source.read_tickets(spark, path).select(
+    return _flat_tickets(ticket_source.read_tickets(spark, path))
+
+
+@query
+def read_tickets_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tickets as JSON arrays, one per language, numbered over the files."""
+    path = scratch_path(spark, "tickets")
+    rows = v.tickets(spark, sf_dir).withColumn("file", F.col("comments")[0]["body"])
+    fields = F.struct(*[c for c in rows.columns if c not in ("seq", "file")])
+    ordered = F.array_sort(F.collect_list(F.struct("seq", F.to_json(fields).alias("j"))))
+    text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda t: t["j"]), ","), F.lit("]"))
+    rows.groupBy("file").agg(text.alias("value")).write.partitionBy("file").text(path)
+    return _flat_tickets(ticket_source.read_tickets(spark, path, "array"))
+
+
+def _flat_tickets(rows: DataFrame) -> DataFrame:
+    comment = F.col("comments")[0]
+    return rows.select(
         "seq",
         _str("key").alias("key"),
         _str("ticket_key").alias("ticket_key"),
         "summary",
+        "status",
+        "priority",
         F.md5("description").alias("description"),
+        F.md5("root_cause").alias("root_cause"),
+        _str("workaround").alias("workaround"),
         _str("fix_details").alias("fix_details"),
         F.array_join("labels", " ").alias("labels"),
-        F.col("comments")[0]["author"].alias("author"),
+        F.concat_ws("|", F.size("comments"), comment["author"], comment["created"], comment["body"]).alias("comments"),
     )
 
 
@@ -204,9 +242,8 @@ def read_partition_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The out-of-memory incidents first, then all of them twice under another resolver."""
+    """Into no store the out-of-memory incidents, then all of them twice under another resolver."""
     path = scratch_path(spark, "store")
-    store.recreate(spark, path)
     docs = v.store_documents(spark, sf_dir)
     held = docs.where("failure_type = 'oom'")
     store.append_new(spark, path, held.withColumn("resolved_by", F.lit("first")), vectors.md5_embedding)
@@ -241,6 +278,16 @@ def sync_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sync_range(spark, path, incidents, SYNC_FROM, SYNC_TO, vectors.md5_embedding)
 
 
+@query
+def sync_range_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same days with a time after each."""
+    path = scratch_path(spark, "store")
+    incidents = exports.resolve_headers(v.export(spark, sf_dir))
+    timed = incidents.withColumn("resolved_at", F.concat("resolved_at", F.lit(" 14:00:00")))
+    v.store(spark, sf_dir).where("failure_type = 'oom'").write.parquet(path)
+    return store.sync_range(spark, path, timed, SYNC_FROM, SYNC_TO, vectors.md5_embedding)
+
+
 @query
 def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents handed to a store that has the oom ones."""
@@ -490,6 +537,13 @@ def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def history_search_many_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some thousand jobs of few rows each."""
+    hits = history.history_search(v.job_customers(spark, sf_dir), v.job_parts(spark, sf_dir))
+    return hits.select("request_id", "rank", "id", _num("distance").alias("distance"))
+
+
 @query
 def history_search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors made from the texts of incidents and documents."""
@@ -510,9 +564,9 @@ def ticket_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ticket_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many short names (parts, nations, document words) in whole texts."""
-    parts = v.table(spark, sf_dir, "part").select(F.split("p_name", " ")[1].alias("job_name"))
-    words = v.table(spark, sf_dir, "documents").select(F.split("text", " ")[0].alias("job_name"))
+    """Many names in whole texts: all words of parts and of documents, and nations."""
+    parts = v.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("job_name"))
+    words = v.table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("job_name"))
     nations = v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("job_name"))
     names = parts.unionByName(words).unionByName(nations)
     return ticket_ops.ticket_matches(names, v.tickets(spark, sf_dir)).select("name", "rank", "seq", "total")
@@ -571,11 +625,12 @@ def recommend_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "edge_node_available": r % 5 == 0,
         }
     )
-    return recommend.recommend(found).select(
+    return recommend.recommend(found, v.playbook(spark, sf_dir)).select(
         "request_id",
         "failure_type",
         "confidence",
-        F.size("actions").alias("actions"),
+        "root_cause",
+        F.array_join("actions", "; ").alias("actions"),
         "escalation_needed",
         F.col("escalation_reason").isNotNull().alias("has_reason"),
     )
@@ -587,7 +642,7 @@ def recommend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = failure.classify_failure(v.incidents(spark, sf_dir)).withColumns(
         {"historical_tickets": F.lit(0), "jira_tickets": F.lit(0), "edge_node_available": F.lit(False)}
     )
-    return recommend.recommend(bare).groupBy("failure_type", "confidence").agg(F.count("*").alias("n"))
+    return recommend.recommend(bare, v.playbook(spark, sf_dir)).groupBy("failure_type", "confidence").agg(F.count("*").alias("n"))
 
 
 @query
@@ -626,7 +681,14 @@ def predecessor_gate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.store(spark, sf_dir).agg(F.count("*").alias("count"))
+    """The count of a store after all rows and then some of them again were added."""
+    path = scratch_path(spark, "store")
+    docs = v.store_documents(spark, sf_dir)
+    for rows in (docs, docs.where("failure_type = 'oom'")):
+        store.append_new(spark, path, rows, vectors.md5_embedding)
+    stored = store.read_store(spark, path)
+    counted = store.store_count(stored)
+    return stored.agg(F.lit(counted).cast("long").alias("count"), F.countDistinct("id").alias("ids"))
 
 
 @query
@@ -770,10 +832,12 @@ def union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def match_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Past incidents of two jobs or of the scripts named by incidents."""
+    """Past incidents of one job or of the two scripts that some incidents name."""
     asked = v.incidents(spark, sf_dir)
-    jobs = asked.where(F.col("job_name").isin("DBS_ASIA", "DBS_EUROPE", ""))
-    return history.match_union(v.past_vectors(spark, sf_dir), jobs, asked).select("vec_id", "job_name", "script_name")
+    jobs = asked.where(F.col("job_name").isin("DBS_ASIA", ""))
+    scripts = asked.where(F.col("request_id") % 40 == 0)
+    found = history.match_union(v.past_vectors(spark, sf_dir), jobs, scripts)
+    return found.select("vec_id", "job_name", "script_name")
 
 
 # --- vectors -----------------------------------------------------------------------
@@ -963,7 +1027,8 @@ def _flat_investigation(df: DataFrame) -> DataFrame:
         "ticket_id",
         "job_name",
         "failure_type",
-        F.size("recommended_actions").alias("actions"),
+        "root_cause",
+        F.array_join("recommended_actions", "; ").alias("actions"),
         "confidence",
         "historical_tickets",
         "jira_tickets",
@@ -1010,11 +1075,10 @@ def investigate_incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
 
     def look_up() -> investigate.Knowledge:
-        return investigate.Knowledge(
-            store.read_store(spark, path), known.tickets, known.scripts, known.nodes, known.embed, known.dim, known.repo
-        )
+        return replace(known, store=store.read_store(spark, path))
 
-    investigate_stream(feed, look_up, out, state).awaitTermination()
+    kept = scratch_path(spark, "kept-tickets")
+    investigate_stream(feed, look_up, out, state, kept_tickets=kept).awaitTermination()
     return _flat_investigation(spark.read.option("basePath", out).parquet(out))
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from faultweave.functions import failure
-from faultweave.functions.text import TEXT_BLANKS
 from faultweave.queries import views as v
 from faultweave.queries.catalog import AS_OF, CALC_DATE, SYNC_FROM, SYNC_TO
 
@@ -14,23 +12,40 @@ def _list(values) -> str:
     return "[" + ",".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
 
 
-def _any(text: str, words) -> str:
-    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+def _any(text: str, words: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words.split("|")) + ")"
+
+
+# Stated here anew, so that a wrong word in the operators shows.
+_NO_START = "not submitted|not trigger|hold state"
+_STALLED = "predecessor|hold state|awsbhv026e"
+_RULES = {
+    "oom": "outofmemory|java heap|oom|executor lost|gc overhead|heap space|fetchfailedexception",
+    "permission_error": "permission denied|rc=126|rc=127|exit code 126|exit code 127|abend rc=126",
+    "python_version": "syntaxerror|invalid syntax|modulenotfounderror|importerror|syntax error|/usr/bin/python ",
+    "cpu_high": "cpu",
+    "long_running": "exceeded|long-running|breach|wallclock",
+    "upstream_dependency": "predecessor|upstream|did not complete|awsbhv026e",
+}
+_SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" + _SPACES
+_GAP = "[:\\t\\n\\x0B\\f\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_NAMES = ((f"job{_GAP}([A-Z_]+)", 1), (f"Job{_GAP}([A-Z_]+)", 1), ("DBS_[A-Z_]+", 0))
 
 
 def _label(text: str) -> str:
-    waiting = f"CASE WHEN {_any(text, failure.STALLED)} THEN 'upstream_dependency' ELSE 'job_not_trigger' END"
-    rules = " ".join(f"WHEN {_any(text, words)} THEN '{name}'" for name, words in failure.KEYWORDS)
-    return f"CASE WHEN {_any(text, failure.NOT_STARTED)} THEN {waiting} {rules} ELSE 'unknown' END"
+    waiting = f"CASE WHEN {_any(text, _STALLED)} THEN 'upstream_dependency' ELSE 'job_not_trigger' END"
+    rules = " ".join(f"WHEN {_any(text, words)} THEN '{name}'" for name, words in _RULES.items())
+    return f"CASE WHEN {_any(text, _NO_START)} THEN {waiting} {rules} ELSE 'unknown' END"
 
 
-def _trim(text: str, blanks: str = TEXT_BLANKS) -> str:
+def _trim(text: str, blanks: str = _BLANKS) -> str:
     return f"trim({text}, '{blanks}')"
 
 
 def _job_name(text: str, mode: str) -> str:
     hits = []
-    for pattern, group in failure.JOB_PATTERNS:
+    for pattern, group in _NAMES:
         if mode == "name":
             hits.append(f"nullif(regexp_extract({text}, '{pattern}', {group}), '')")
         else:
@@ -165,6 +180,18 @@ VIEWS: dict[str, str] = {
           WHEN contains(upper(status_text), 'ABEND') THEN 'ABEND'
           WHEN contains(upper(status_text), 'RUNNING') THEN 'RUNNING' ELSE 'NOTFOUND' END AS status FROM statuses""",
     "waiting_jobs": "SELECT event_id AS job_id, user_id + event_id % 40 AS predecessor FROM events",
+    "playbook": """
+        SELECT ['job_not_trigger', 'cpu_high', 'long_running', 'upstream_dependency', 'oom', 'permission_error',
+            'python_version', 'unknown'][n.n_nationkey + 1] AS failure_type, 'Runbook of ' || n.n_name AS root_cause,
+          string_agg(m.n_name, '; ' ORDER BY m.n_name) AS actions
+        FROM nation n JOIN nation m ON m.n_regionkey = n.n_regionkey WHERE n.n_nationkey < 8
+        GROUP BY n.n_nationkey, n.n_name""",
+    "job_parts": f"""
+        SELECT 'P-' || p_partkey AS id, 'J' || (p_partkey % 6007) AS job_name,
+          {_hash_vector('md5(p_name || p_partkey)', 8)} AS embedding FROM part""",
+    "job_customers": f"""
+        SELECT c_custkey AS request_id, 'J' || (c_custkey % 6007) AS job_name,
+          {_hash_vector('md5(c_name)', 8)} AS embedding FROM customer""",
     # The whole investigation, step by step.
     "questions": f"""
         SELECT job, script, question, {_hash_vector('md5(question)', 8)} AS vec
@@ -225,9 +252,8 @@ VIEWS: dict[str, str] = {
           WHEN failure_type IN ('cpu_high', 'oom', 'python_version')
             THEN CASE WHEN past > 0 THEN 'high' ELSE 'moderate' END
           WHEN failure_type = 'long_running' THEN CASE WHEN on_node THEN 'high' ELSE 'moderate' END
-          WHEN failure_type = 'permission_error' THEN 'high' ELSE 'low' END AS confidence,
-          CASE WHEN failure_type IN ('long_running', 'permission_error', 'unknown') THEN 4 ELSE 5 END AS actions
-        FROM found""",
+          WHEN failure_type = 'permission_error' THEN 'high' ELSE 'low' END AS confidence
+        FROM found LEFT JOIN playbook USING (failure_type)""",
 }
 
 
@@ -260,7 +286,7 @@ def _flat_store(resolver: str) -> str:
 
 
 _INVESTIGATION = """
-    SELECT request_id, ticket_id, job_name, failure_type, actions, confidence, CAST(past AS INTEGER) AS historical_tickets,
+    SELECT request_id, ticket_id, job_name, failure_type, root_cause, actions, confidence, CAST(past AS INTEGER) AS historical_tickets,
       CAST(tickets AS INTEGER) AS jira_tickets, ticket_total, on_node AS edge_node_available, TRUE AS bitbucket_config,
       ids AS historical_ticket_ids, keys AS jira_ticket_keys, confidence = 'low' AS escalation_needed
     FROM judged"""
@@ -294,13 +320,23 @@ _PARTITION = """
 _WORD_TEXT = "regexp_replace(body, '[\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]', 'x', 'g')"
 _TAILS = _list(("", " AB-12", "xAB-12", " see OPS-7, OPS-7.", " A-1 ABCDEFGHIJK-2", "éZZ-3 ZZ-3"))
 
+_TICKETS = """
+    SELECT {seq} AS seq, coalesce(key, '-') AS key, coalesce(ticket_key, '-') AS ticket_key, summary, 'Resolved' AS status,
+      'High' AS priority, md5(description) AS description, md5(root_cause) AS root_cause, '-' AS workaround,
+      coalesce(fix_details, '-') AS fix_details, labels, '1|' || source || '|2024|' || lang AS comments FROM tix"""
+
+_SYNC = f"""
+    SELECT CASE WHEN count(*) > 0 THEN 'synced' ELSE 'no tickets found' END AS status, count(*) AS tickets_added,
+      count(*) FILTER (WHERE failure_type <> 'oom') AS rows_added
+    FROM store_docs WHERE resolved_at BETWEEN '{SYNC_FROM}' AND '{SYNC_TO}'"""
+
 _BODIES: dict[str, str] = {
     "read_export_csv": _EXPORT,
+    "read_export_csv_reordered": _EXPORT,
     "read_export_json": _EXPORT,
     "read_export_parquet": _EXPORT,
-    "read_tickets": """
-        SELECT seq, coalesce(key, '-') AS key, coalesce(ticket_key, '-') AS ticket_key, summary,
-          md5(description) AS description, coalesce(fix_details, '-') AS fix_details, labels, source AS author FROM tix""",
+    "read_tickets": _TICKETS.format(seq="seq"),
+    "read_tickets_array": _TICKETS.format(seq="row_number() OVER (ORDER BY lang, seq) - 1"),
     "read_logs": """
         SELECT strftime(ts, '%Y-%m-%d') AS log_name,
           row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS line_no,
@@ -314,10 +350,8 @@ _BODIES: dict[str, str] = {
     "append_new": _flat_store("CASE WHEN failure_type = 'oom' THEN 'first' ELSE 'second' END"),
     "not_yet_stored": "SELECT id, failure_type FROM store_docs WHERE failure_type = 'oom'",
     "recreate_store": "SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM store_docs",
-    "sync_range": f"""
-        SELECT CASE WHEN count(*) > 0 THEN 'synced' ELSE 'no tickets found' END AS status, count(*) AS tickets_added,
-          count(*) FILTER (WHERE failure_type <> 'oom') AS rows_added
-        FROM store_docs WHERE resolved_at BETWEEN '{SYNC_FROM}' AND '{SYNC_TO}'""",
+    "sync_range": _SYNC,
+    "sync_range_times": _SYNC,
     "sync_report": """
         SELECT 'synced' AS status, count(*) AS tickets_added,
           count(*) FILTER (WHERE failure_type <> 'oom') AS rows_added FROM store_docs""",
@@ -426,6 +460,12 @@ _BODIES: dict[str, str] = {
           SELECT a.request_id, p.id, {_l2("a.embedding", "p.embedding", 64)} AS distance
           FROM asked_vec a CROSS JOIN past_vec p WHERE a.job_name = '' AND a.script_name IS NULL) c) r
         WHERE rank <= 5""",
+    "history_search_many_jobs": f"""
+        SELECT request_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM (
+          SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(distance, 9), id) AS rank FROM (
+            SELECT c.request_id, p.id, {_l2("c.embedding", "p.embedding", 8)} AS distance
+            FROM job_customers c JOIN job_parts p ON p.job_name = c.job_name) d) r
+        WHERE rank <= 5""",
     "history_search_texts": """
         SELECT request_id, CAST(rank AS INTEGER) AS rank, id, round(1 - distance, 6) AS similarity_score
         FROM asked a JOIN hits h ON h.job = a.job_name AND h.script = coalesce(a.script_name, '')
@@ -437,8 +477,8 @@ _BODIES: dict[str, str] = {
         SELECT name, CAST(rank AS INTEGER) AS rank, seq, total FROM (
           SELECT name, seq, row_number() OVER (PARTITION BY name ORDER BY seq) AS rank,
             count(*) OVER (PARTITION BY name) AS total
-          FROM (SELECT DISTINCT lower(w) AS name FROM (SELECT string_split(p_name, ' ')[2] AS w FROM part
-            UNION ALL SELECT string_split(text, ' ')[1] FROM documents UNION ALL SELECT n_name FROM nation) u
+          FROM (SELECT DISTINCT lower(w) AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part
+            UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents UNION ALL SELECT n_name FROM nation) u
             WHERE w <> '') n
           JOIN tix ON contains(lower(summary), name) OR contains(lower(description), name)
             OR contains(lower(labels), name)) p WHERE rank <= 3""",
@@ -452,9 +492,7 @@ _BODIES: dict[str, str] = {
         SELECT request_id, CAST(past AS INTEGER) AS past, CAST(tickets AS INTEGER) AS tickets, ticket_total, on_node,
           md5(config_content) AS config_content, md5(resolutions) AS resolutions FROM found""",
     "recommend_incidents": """
-        SELECT request_id, f AS failure_type, confidence,
-          CASE WHEN f IN ('long_running', 'permission_error', 'unknown') THEN 4 ELSE 5 END AS actions,
-          confidence = 'low' AS escalation_needed, confidence = 'low' AS has_reason
+        SELECT request_id, f AS failure_type, confidence, root_cause, actions, confidence = 'low' AS escalation_needed, confidence = 'low' AS has_reason
         FROM (SELECT request_id, f, CASE
             WHEN f IN ('job_not_trigger', 'upstream_dependency')
               THEN CASE WHEN request_id % 3 > 0 OR request_id % 2 > 0 THEN 'high' ELSE 'moderate' END
@@ -462,7 +500,8 @@ _BODIES: dict[str, str] = {
               THEN CASE WHEN request_id % 3 > 0 THEN 'high' ELSE 'moderate' END
             WHEN f = 'long_running' THEN CASE WHEN request_id % 5 = 0 THEN 'high' ELSE 'moderate' END
             WHEN f = 'permission_error' THEN 'high' ELSE 'low' END AS confidence
-          FROM (SELECT request_id, CASE WHEN request_id % 17 = 0 THEN 'unknown' ELSE failure_type END AS f FROM asked) a) b""",
+          FROM (SELECT request_id, CASE WHEN request_id % 17 = 0 THEN 'unknown' ELSE failure_type END AS f FROM asked) a) b
+        LEFT JOIN playbook ON playbook.failure_type = f""",
     "recommend_summary": """
         SELECT failure_type, CASE failure_type WHEN 'permission_error' THEN 'high' WHEN 'unknown' THEN 'low'
           ELSE 'moderate' END AS confidence, count(*) AS n FROM asked GROUP BY ALL""",
@@ -474,7 +513,7 @@ _BODIES: dict[str, str] = {
         FROM positions p LEFT JOIN risk_factors f ON f.instrument_id = p.instrument_id""",
     "predecessor_gate": _GATE.format(go="coalesce(status, 'NOTFOUND') NOT IN ('HOLD', 'ABEND')", code=2),
     "predecessor_gate_strict": _GATE.format(go="coalesce(status, 'NOTFOUND') = 'COMPLETE'", code=1),
-    "store_count": "SELECT count(*) AS count FROM store_docs",
+    "store_count": "SELECT count(*) AS count, count(DISTINCT id) AS ids FROM store_docs",
     "evidence_records": """
         SELECT request_id, CAST(past AS INTEGER) AS historical_tickets, CAST(tickets AS INTEGER) AS jira_tickets,
           on_node AS edge_node_available, TRUE AS bitbucket_config, ids AS historical_ticket_ids,
@@ -520,7 +559,7 @@ _BODIES: dict[str, str] = {
           SELECT source AS name, doc_id AS seq, count(*) OVER (PARTITION BY source) AS total,
             row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) d WHERE rank <= 3""",
     "log_tail": """
-        SELECT log_name, md5(string_agg(line, chr(10) ORDER BY line_no)) AS content, max(total) AS total_lines,
+        SELECT log_name, md5(string_agg(line || chr(10), '' ORDER BY line_no)) AS content, max(total) AS total_lines,
           count(*) AS returned_lines
         FROM (SELECT conv_id AS log_name, turn AS line_no, text AS line, count(*) OVER (PARTITION BY conv_id) AS total,
           row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) c
@@ -539,8 +578,8 @@ _BODIES: dict[str, str] = {
         SELECT INCIDENT_ID AS ticket_id, JOB_NAME AS job_name, FAILURE_TYPE AS failure_type FROM export""",
     "match_union": """
         SELECT vec_id, job_name, script_name FROM past_vec p
-        WHERE job_name IN (SELECT job_name FROM inc WHERE job_name IN ('DBS_ASIA', 'DBS_EUROPE'))
-          OR script_name IN (SELECT script_name FROM inc WHERE script_name <> '')""",
+        WHERE job_name IN (SELECT job_name FROM inc WHERE job_name = 'DBS_ASIA')
+          OR script_name IN (SELECT script_name FROM inc WHERE script_name <> '' AND request_id % 40 = 0)""",
     "sha_embedding": f"""
         SELECT doc_id, CAST(len(e) AS INTEGER) AS dim, round(e[1], 6) AS first, round(e[100], 6) AS last,
           {_place_sum("e")} AS places

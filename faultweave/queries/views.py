@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from faultweave.functions.vectors import md5_embedding
 from faultweave.plans.investigate import Knowledge
+from faultweave.schemas import FAILURE_TYPES
 from faultweave.sources.exports import drop_blank_ids, resolve_headers
 from faultweave.sources.store import store_documents as documents_of
 from faultweave.sources.store import store_rows
@@ -33,6 +34,7 @@ TEMPLATES = (
 FAILURES = ("oom", "cpu_high", "unknown", "long_running", "python_version", "job_not_trigger", "disk_full", "")
 REPO = {"workspace": "ops", "repo": "batch-jobs", "path": "jobs", "branch": "main"}
 EMBEDDING_DIM = 8
+MANY_JOBS = 6007
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -201,6 +203,43 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def playbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per failure type from the nations: its own name, and those of its region as actions."""
+    nation = table(spark, sf_dir, "nation")
+    regions = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("actions"))
+    return (
+        nation.where(F.col("n_nationkey") < len(FAILURE_TYPES))
+        .join(regions, "n_regionkey")
+        .select(
+            _pick(FAILURE_TYPES, F.col("n_nationkey")).alias("failure_type"),
+            F.concat(F.lit("Runbook of "), "n_name").alias("root_cause"),
+            "actions",
+        )
+    )
+
+
+def job_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as past incidents of some thousand jobs."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P-"), _text(key)).alias("id"),
+        F.concat(F.lit("J"), _text(key % MANY_JOBS)).alias("job_name"),
+        F.lit("").alias("script_name"),
+        md5_embedding(F.concat("p_name", _text(key))).alias("embedding"),
+    )
+
+
+def job_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as incidents of the same jobs."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("request_id"),
+        F.concat(F.lit("J"), _text(key % MANY_JOBS)).alias("job_name"),
+        F.lit(None).cast("string").alias("script_name"),
+        md5_embedding(F.col("c_name")).alias("embedding"),
+    )
+
+
 def knowledge(spark: SparkSession, sf_dir: str) -> Knowledge:
     return Knowledge(
         store=store(spark, sf_dir),
@@ -209,6 +248,7 @@ def knowledge(spark: SparkSession, sf_dir: str) -> Knowledge:
         nodes=nodes(spark, sf_dir),
         embed=md5_embedding,
         dim=EMBEDDING_DIM,
+        playbook=playbook(spark, sf_dir),
         repo=REPO,
     )
 

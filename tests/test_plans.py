@@ -63,6 +63,61 @@ def test_upsert(spark):
     assert got == [(1, "d", 0.1, "low"), (2, "d", None, None), (3, "d", 0.9, "high")]
 
 
+def test_repeated_updates_need_an_order(spark):
+    schema = "customer_id long, calc_date string, score double, risk_band string"
+    old = spark.createDataFrame([(1, "d", 0.1, "low")], schema)
+    new = spark.createDataFrame([(1, "d", 0.4, "medium"), (1, "d", 0.9, "high")], schema)
+    with pytest.raises(Exception, match="repeat a key"):
+        credit.upsert_scores(old, new).collect()
+
+
+def test_scores_are_written_where_none_were(spark):
+    root = scratch_path(spark, "scores")
+    schema = "customer_id long, score double, risk_band string, calc_date string"
+    for score in (0.1, 0.9):
+        rows = spark.createDataFrame([(1, score, "x", "2024-01-01"), (2, 0.5, "y", "2024-01-02")], schema)
+        credit.write_scores(spark, root, rows, "2024-01-01")
+    assert [tuple(r) for r in spark.read.schema(schema).parquet(root).collect()] == [(1, 0.9, "x", "2024-01-01")]
+
+
+def test_partition_values_stay_text(spark):
+    root, archive = scratch_path(spark, "days"), scratch_path(spark, "archive")
+    df = spark.createDataFrame([(1, "2024-01-01", "001"), (2, "2024-01-01", "1")], "v long, date string, currency string")
+    df.write.partitionBy("date", "currency").parquet(root)
+    assert [(r.v, r.currency) for r in partitions.read_partition(spark, root, "2024-01-01", "001").collect()] == [(1, "001")]
+    partitions.archive_partition(spark, root, archive, "2024-01-01")
+    assert sorted(r.currency for r in spark.read.parquet(archive).collect()) == ["001", "1"]
+
+
+def hot(spark, n=4000):
+    """Rows of which nine tenths have one key."""
+    return spark.range(n).select(F.col("id"), F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("key"))
+
+
+def test_hot_keys_in_joins(spark):
+    day = F.lit("2024-01-02").cast("date")
+    rows = hot(spark)
+    trades = rows.select(
+        F.col("id").alias("trade_id"), F.col("key").alias("account_id"), day.alias("trade_date"), F.lit(1.0).alias("amount")
+    )
+    schedule = rows.select(F.col("key").alias("account_id"), day.alias("sched_date"), F.lit("PENDING").alias("status"))
+    assert recon.reconcile(schedule.where("account_id < 2000"), trades).count() == 3600 + 200 - 1 + 1
+    positions = rows.select(
+        F.col("id").alias("position_id"),
+        F.col("key").alias("instrument_id"),
+        F.lit("p").alias("portfolio_id"),
+        F.lit("SGD").alias("currency_code"),
+        F.lit(2).cast("long").alias("notional_value"),
+    )
+    factors = spark.createDataFrame([(0, 3), (0, 4), (9, 5)], "instrument_id long, risk_weight long")
+    total = risk.risk_totals(positions, factors).first()
+    assert (total.total_notional, total.total_risk, total.position_count) == (2 * 7600, 7 * 3600 + 5, 7600)
+    jobs = rows.select(F.col("id").alias("job_id"), F.col("key").alias("predecessor"))
+    states = spark.createDataFrame([(0, "abend"), (9, "complete")], "job long, status_text string")
+    gate = settlement.predecessor_gate(jobs, states).groupBy("exit_code").count().collect()
+    assert {r.exit_code: r["count"] for r in gate} == {2: 3600, 0: 400}
+
+
 def test_due_customers(spark):
     rows = [(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 2)), (3, None)]
     due = credit.due_for_scoring(spark.createDataFrame(rows, "customer_id long, last_score_date date"), "2024-01-02")
@@ -146,17 +201,31 @@ def test_confidence(spark, kind, past, tickets, node, expected):
         [(kind, past, tickets, node)],
         "failure_type string, historical_tickets int, jira_tickets int, edge_node_available boolean",
     )
-    row = recommend.recommend(df).first()
+    row = recommend.recommend(df, rules(spark)).first()
     assert row.confidence == expected
     assert row.escalation_needed == (expected == "low")
-    assert row.root_cause and row.actions
-    assert row.failure_type == (kind if kind in FAILURE_TYPES else "unknown")
+    shown = kind if kind in FAILURE_TYPES else "unknown"
+    assert (row.failure_type, row.root_cause, row.actions) == (shown, f"cause of {shown}", [f"look at {shown}"])
+
+
+def rules(spark):
+    return spark.createDataFrame(
+        [(t, f"cause of {t}", [f"look at {t}"]) for t in FAILURE_TYPES],
+        "failure_type string, root_cause string, actions array<string>",
+    )
 
 
-def test_playbook_covers_every_type(spark):
-    assert set(recommend.PLAYBOOK) == set(FAILURE_TYPES)
-    sizes = {name: len(actions) for name, (_, actions) in recommend.PLAYBOOK.items()}
-    assert [sizes[n] for n in FAILURE_TYPES] == [5, 5, 4, 5, 5, 4, 5, 4]
+def test_playbooks_with_gaps_and_repeats(spark):
+    found = spark.createDataFrame(
+        [("oom", 0, 0, False), ("cpu_high", 0, 0, False)],
+        "failure_type string, historical_tickets int, jira_tickets int, edge_node_available boolean",
+    )
+    book = spark.createDataFrame(
+        [("oom", "b", ["2"]), ("oom", "a", ["1"]), ("else", "c", None), (None, "d", None)],
+        "failure_type string, root_cause string, actions array<string>",
+    )
+    got = {r.failure_type: (r.root_cause, r.actions) for r in recommend.recommend(found, book).collect()}
+    assert got == {"oom": ("a", ["1"]), "cpu_high": (None, None)}
 
 
 def test_script_lookup_retries_as_shell_script(spark):
@@ -232,7 +301,7 @@ def known(spark):
         "rank int, name string, host string, port int, scripts_path string",
     )
     repo = {"workspace": "w", "repo": "r", "path": "jobs", "branch": "main"}
-    return Knowledge(store_rows(past, md5_embedding), tickets, texts, nodes, md5_embedding, 8, repo)
+    return Knowledge(store_rows(past, md5_embedding), tickets, texts, nodes, md5_embedding, 8, rules(spark), repo)
 
 
 def incidents(spark):
@@ -281,6 +350,8 @@ def test_stream_equals_batch(spark, known):
     for _ in range(2):
         # Started over, the stream writes the same batches to the same folders.
         investigate_stream(feed, lambda: known, out, scratch_path(spark, "state")).awaitTermination()
+    kept = scratch_path(spark, "kept")
+    investigate_stream(feed, lambda: known, out, scratch_path(spark, "state"), kept_tickets=kept).awaitTermination()
     streamed = spark.read.option("basePath", out).parquet(out).drop("batch_id")
     expected = investigate(batch, known)
     assert sorted(map(str, streamed.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
