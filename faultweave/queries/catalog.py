@@ -564,9 +564,9 @@ def ticket_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ticket_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many names in whole texts: all words of parts and of documents, and nations."""
+    """Many names in whole texts: all words of parts and of benchmark items, and nations."""
     parts = v.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("job_name"))
-    words = v.table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("job_name"))
+    words = v.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("job_name"))
     nations = v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("job_name"))
     names = parts.unionByName(words).unionByName(nations)
     return ticket_ops.ticket_matches(names, v.tickets(spark, sf_dir)).select("name", "rank", "seq", "total")

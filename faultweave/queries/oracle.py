@@ -478,7 +478,7 @@ _BODIES: dict[str, str] = {
           SELECT name, seq, row_number() OVER (PARTITION BY name ORDER BY seq) AS rank,
             count(*) OVER (PARTITION BY name) AS total
           FROM (SELECT DISTINCT lower(w) AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part
-            UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents UNION ALL SELECT n_name FROM nation) u
+            UNION ALL SELECT unnest(string_split(text, ' ')) FROM benchmark UNION ALL SELECT n_name FROM nation) u
             WHERE w <> '') n
           JOIN tix ON contains(lower(summary), name) OR contains(lower(description), name)
             OR contains(lower(labels), name)) p WHERE rank <= 3""",

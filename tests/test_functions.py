@@ -52,6 +52,39 @@ def test_labels(spark, log, description, expected):
     assert label(spark, log, description) == expected
 
 
+# What the seven sample logs must give, on logs of our own with the same marks.
+LOGS = [
+    ("Job: DBS_SCORES starts /usr/bin/python run.py\nSyntaxError", "python_version", "DBS_SCORES"),
+    ("Job DBS_ARCHIVE ended, exit code 126: permission denied", "permission_error", "Job DBS_ARCHIVE"),
+    ("Job DBS_FLOW: AWSBHV026E stream not submitted, predecessor pending", "upstream_dependency", "Job DBS_FLOW"),
+    ("Job DBS_RECON uses CPU 97 %, limit exceeded", "cpu_high", "Job DBS_RECON"),
+    ("job DBS_EOD is in HOLD state", "upstream_dependency", "job DBS_EOD"),
+    ("job DBS_RISK: high cpu on node", "cpu_high", "job DBS_RISK"),
+    ("Job DBS_TOTALS: ExecutorLostFailure, java heap space", "oom", "Job DBS_TOTALS"),
+]
+
+
+@pytest.mark.parametrize("log, kind, job", LOGS)
+def test_sample_logs(spark, log, kind, job):
+    df = spark.createDataFrame([(log, "")], "tws_log string, description string")
+    row = failure.classify_failure(df).select("failure_type", failure.job_name_in(F.col("tws_log")).alias("job")).first()
+    assert tuple(row) == (kind, job)
+
+
+@pytest.mark.parametrize(
+    "details, summary, given, found",
+    [
+        ("permission check hit a syntax error", "script fails", "permission_error", "python_version"),
+        ("interpreter of the host is old", "wrong interpreter", "python_version", "unknown"),
+        ("the upstream feed exceeded its window", "late feed", "upstream_dependency", "long_running"),
+        ("upstream ended but the plan did not trigger the run", "no start", "upstream_dependency", "job_not_trigger"),
+    ],
+)
+def test_rules_win_over_given_labels(spark, details, summary, given, found):
+    """Cases in which past incidents carry another label than the rules give."""
+    assert label(spark, details, summary) == found != given
+
+
 def test_labels_are_a_closed_list():
     assert {name for name, _ in failure.KEYWORDS} | {"unknown", "job_not_trigger"} == set(FAILURE_TYPES)
     assert CONFIDENCE_LEVELS == ("high", "moderate", "low")
