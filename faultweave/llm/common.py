@@ -107,17 +107,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components
     in MapReduce and Beyond", each a grouped minimum and a join; every step is a written
-    table. Ends when the links are stars.
+    table, also the minima, so that Spark can split the join at a node of many links. Ends
+    when the links are stars.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = materialise(links.select(high, low).where("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), "links")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.withColumnRenamed("m", "b"))
         edges = materialise(small.where("a <> b").distinct(), "links")
