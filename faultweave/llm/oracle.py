@@ -1,5 +1,60 @@
 """DuckDB SQL for the queries that SQL can express; written out, sharing nothing with them."""
 
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(rank, kind, pattern) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 'AKIA[A-Z0-9]+'),
+  (2, 'hex', '[0-9a-f]+'),
+  (3, 'login', '(?i)(?:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id|key_?id)["'']?\x20*[:=]\x20*["'']?[a-z0-9@._-]{4,}'),
+  (4, 'opaque', '[A-Za-z0-9+/_=-]+'),
+  (5, 'endpoint', '(?i)(?:(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"''<>]+|(?:host|endpoint|server)["'']?\x20*[:=]\x20*["'']?[a-z0-9._-]+)'),
+  (6, 'scope', '\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*')
+),
+cut AS (
+  SELECT row, rank, kind, pattern, regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS gaps
+  FROM d, kinds WHERE regexp_matches(t, pattern)
+),
+parts AS (
+  SELECT row, rank, kind, pattern, generate_subscripts(found, 1) AS i, unnest(found) AS m, unnest(gaps[1:len(found)]) AS gap FROM cut
+),
+placed AS (
+  SELECT row, rank, kind, pattern, m, sum(length(gap) + length(m)) OVER (PARTITION BY row, rank ORDER BY i) AS stop FROM parts
+),
+spans AS (
+  SELECT row, rank, kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, pattern, 2)) >= 6
+    WHEN 'access' THEN length(m) >= 20 WHEN 'hex' THEN length(m) >= 24
+    WHEN 'opaque' THEN length(m) >= 20 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')
+    ELSE TRUE END
+),
+scoped AS (
+  SELECT *, sum((rank = 6)::INT) OVER w AS scope, max(CASE WHEN rank <= 2 THEN stop END) OVER w AS covered
+  FROM spans WINDOW w AS (PARTITION BY row ORDER BY start, rank ROWS UNBOUNDED PRECEDING)
+),
+judged AS (
+  SELECT *, bool_or(rank IN (0, 2)) OVER w AS secret, bool_or(rank = 1) OVER w AS access, bool_or(rank = 3) OVER w AS login,
+    bool_or(rank = 4) OVER w AS opaque, bool_or(rank = 5) OVER w AS endpoint
+  FROM scoped WHERE rank <> 6 AND (rank <> 4 OR covered IS NULL OR covered <= start)
+  WINDOW w AS (PARTITION BY row, scope ORDER BY start RANGE BETWEEN 300 PRECEDING AND 300 FOLLOWING)
+),
+kept AS (
+  SELECT *, kind || ':' || start || ':' || stop AS said FROM judged
+  WHERE rank <= 2 OR (rank = 3 AND (secret OR (opaque AND endpoint))) OR (rank = 4 AND (access OR (login AND endpoint)))
+    OR (rank = 5 AND (access OR login) AND (secret OR opaque))
+),
+told AS (
+  SELECT row, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+    count(*) FILTER (WHERE rank = 2) AS n_hex, count(*) FILTER (WHERE rank > 2) AS n_weak,
+    string_agg(said, ',' ORDER BY start, rank) FILTER (WHERE rank <= 2) AS base,
+    string_agg(said, ',' ORDER BY start, rank) AS spans
+  FROM kept GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_weak, 0) AS n_weak
+FROM d LEFT JOIN told USING (row)
+"""
+
 OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT row, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM (SELECT row, string_split(t, chr(10)) AS parts FROM d)),
@@ -65,4 +120,4 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN lowest l ON l.a = e.vec_id
 """
 
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op10_near_vectors": OP10}
+ORACLE: dict[str, str] = {"op1_secret_scan": OP1, "op2_quality_rules": OP2, "op10_near_vectors": OP10}
