@@ -75,7 +75,6 @@ def test_links_of_clusters_and_chains(spark):
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     links = simhash.ball_links(spark.createDataFrame(signed, "print long"), len(prints))
     pairs = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links.collect()]
-    assert all((a ^ b).bit_count() <= 4 for a, b in pairs) or pairs
     place = {p: i for i, p in enumerate(prints)}
     a, b = (np.array([place[p[k]] for p in pairs]) for k in (0, 1))
     assert simhash.smallest_reachable(len(prints), a, b).tolist() == brute_components(prints)

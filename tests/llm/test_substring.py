@@ -1,5 +1,3 @@
-from collections import defaultdict
-
 from faultweave.llm.catalog import op6_repeated_passages
 from faultweave.llm.common import table
 from faultweave.llm.substring import MIN_WORDS, repeated_passages, units_of, without_passages
@@ -43,7 +41,8 @@ def test_units():
     text = "One 1.5 two. Three!  Four\n\n Fünf… 😀 six? "
     assert [text[s:e] for s, e, _, _ in units_of(text)] == ["One 1.5 two.", "Three!", "Four", "Fünf… 😀 six?"]
     assert [text[s:e] for s, e, _, _ in units_of(text, "line")] == ["One 1.5 two. Three!  Four", " Fünf… 😀 six? "]
-    assert [text[s:e] for s, e, _, _ in units_of("a\nb\n \nc", "paragraph")] == []or True
+    blocks = "a\nb\n \nc"
+    assert [blocks[s:e] for s, e, _, _ in units_of(blocks, "paragraph")] == ["a\nb", "c"]
 
 
 def test_inline_passages(spark):
@@ -79,11 +78,9 @@ def test_lines_and_paragraphs(spark):
 
 def test_edge_cases(spark):
     docs = documents(spark)
-    found = dicts(repeated_passages(docs, min_words=3))
-    seen = defaultdict(int)
-    for r in found:
-        seen[r["doc_id"]] += 1
-    assert seen == {2: 1, 3: 1, None: 1} or set(seen) <= {2, 3, 7, None}
+    found = dicts(repeated_passages(docs, min_words=2))
+    # 1 is the first of the equal texts; the two rows of 3 are one document, and 7 repeats its line
+    assert sorted(str(r["doc_id"]) for r in found) == ["2", "7", "None"]
     rows = dicts(without_passages(docs, min_words=10))
     assert len(rows) == len(DOCUMENTS)
     assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in (1, 2, 4, 5)} == {1: PROSE, 2: "", 4: None, 5: ""}
