@@ -31,8 +31,8 @@ def test_groups_are_cut_before_the_shuffle(name, spark, sf_dir):
 
 
 def test_scans_read_only_what_is_used(spark, sf_dir):
-    text = plan(entry.queries()["key_skew"](spark, sf_dir))
-    assert "ReadSchema: struct<l_partkey:bigint>" in text
+    text = plan(entry.queries()["largest_share"](spark, sf_dir))
+    assert "ReadSchema: struct<l_returnflag:string>" in text
 
 
 def test_no_row_functions_local_checkpoints_or_rdds():
