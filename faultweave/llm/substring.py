@@ -2,7 +2,7 @@
 
 Texts are cut at line ends and, since passages also stand inside lines, at sentence ends
 within them. Units are normalised (lower case, white space as one blank), hashed, and
-grouped over the whole corpus. Ranks are (doc_id, key of the text, place); the occurrence
+grouped over the whole corpus. Ranks are (doc_id, hash of the text, place); the occurrence
 of the lowest rank stays, all others are repeats. Repeats in a row in one document form a
 run, and runs of at least ``min_words`` words are removed; shorter ones, such as a common
 closing line alone, stay.
@@ -13,13 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultweave.llm.common import fresh, text_key
+from faultweave.llm.common import fresh
 from faultweave.session import materialise
 
 MIN_WORDS = 25
@@ -43,26 +44,32 @@ def units_of(text: str, unit: str = "sentence") -> Iterator[tuple[int, int, int,
 
 
 def _cut(batches: Iterable[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBatch]:
-    names = ["place", "start", "end", "words", "digest"]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["place", "start", "end", "words", "again"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
     for batch in batches:
         rows: list[int] = []
         values: list[tuple] = []
+        digests: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             arrays = [pa.array(list(v), k) for v, k in zip(zip(*values), kinds)]
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             at = pa.array(rows, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *arrays], ["doc_id", "text_key", *names]
+                [batch.column(0).take(at), batch.column(1).take(at), *arrays, *map(pa.array, halves.T.copy())],
+                ["doc_id", "text_key", *names, "high", "low"],
             )
 
         for row, text in enumerate(batch.column(2)):
+            seen: set[bytes] = set()
             for place, (start, end, words, digest) in enumerate(units_of(text.as_py() or "", unit)):
                 rows.append(row)
-                values.append((place, start, end, words, digest))
+                values.append((place, start, end, words, digest in seen))
+                digests.append(digest)
+                seen.add(digest)
                 if len(rows) >= CHUNK:
                     yield flush()
-                    rows, values = [], []
+                    rows, values, digests = [], [], []
         if rows:
             yield flush()
 
@@ -72,21 +79,45 @@ def repeated_passages(
 ) -> DataFrame:
     """One row per removed run: (``doc_id``, ``text_key``, ``start``, ``end``, ``n_units``,
     ``n_words``, ``first_doc_id``), offsets in code points of the original text, end exclusive;
-    ``first_doc_id`` is the document that keeps the first unit of the run.
+    ``first_doc_id`` is a document that holds the first unit of the run before.
 
-    Null and blank texts have no units. Null ids rank last. Rows equal in id and text are
-    one document. Repeats inside a document count like those across documents.
+    ``text_key`` is the XXH64 of the text, which tells rows of one id apart. Null and blank
+    texts have no units. Null ids rank last. Rows equal in id and text are one document.
+    Repeats inside a document count like those across documents; a task sees them by itself,
+    so only the first occurrence in each document is compared with other documents.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    schema = f"doc_id {kind}, text_key string, place int, start int, end int, words int, digest binary"
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    schema = (
+        f"doc_id {kind}, text_key long, place int, start int, end int, words int, again boolean, high long, low long"
+    )
     units = materialise(chosen.mapInArrow(lambda b: _cut(b, unit), schema), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "place")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
     # partial minima leave the map side, so a digest of a third of all units is no hot key
-    firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    firsts = firsts.where("first <> last").select("digest", "first")
-    repeats = units.join(firsts, "digest").where(rank != F.col("first"))
-    repeats = repeats.select("doc_id", "text_key", "place", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"))
+    firsts = (
+        units.where("NOT again")
+        .groupBy("high", "low")
+        .agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("high", "low", "first")
+    )
+    # two numbers travel in one long
+    pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)
+    packed = units.select("doc_id", "text_key", "high", "low", "again", pair("place", "words").alias("at"), pair("start", "end").alias("span"))
+    across = packed.where("NOT again").drop("again").join(firsts, ["high", "low"]).where(rank != F.col("first"))
+    across = across.select("doc_id", "text_key", "at", "span", F.col("first.doc_id").alias("first_doc_id"))
+    inside = packed.where("again").select("doc_id", "text_key", "at", "span", F.col("doc_id").alias("first_doc_id"))
+    lower = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    upper = lambda c: F.shiftright(c, 32).cast("int")
+    repeats = across.unionByName(inside).select(
+        "doc_id",
+        "text_key",
+        upper("at").alias("place"),
+        lower("at").alias("words"),
+        upper("span").alias("start"),
+        lower("span").alias("end"),
+        "first_doc_id",
+    )
     repeats = repeats.dropDuplicates(["doc_id", "text_key", "place"])
     in_doc = Window.partitionBy("doc_id", "text_key").orderBy("place")
     runs = repeats.withColumn("run", F.col("place") - F.row_number().over(in_doc))
@@ -112,7 +143,7 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
         .groupBy("doc_id", "text_key")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
     )
-    keyed = docs.withColumn(key, text_key("text"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed[key] == spans["text_key"])
     both = keyed.join(spans, same, "left").select(*[keyed[f"`{c}`"] for c in docs.columns], spans[cuts])
     # what stands before, between and after the cuts
