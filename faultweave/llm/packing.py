@@ -41,10 +41,10 @@ GROUPS = 32
 LARGE = 8
 MAX_ROUNDS = 300
 #: Words whose ids a Python worker remembers, and the longest of them.
-MEMO = 700_000
+MEMO = 400_000
 MEMO_CHARS = 48
 #: Characters of text coded at a time; a longer text is alone.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000
 
 
 class Plan:
