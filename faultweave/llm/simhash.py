@@ -164,7 +164,8 @@ def simhash_groups(prints: DataFrame, id_col: str = "doc_id", distance: int = 4)
         "print", "least", F.coalesce(roots["root"], "print").alias("root")
     )
     rooted = materialise(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that Spark can split the join at a root of many fingerprints
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = rooted.join(least, "root").select("print", "root", "component_id")
     return prints.join(named, "print", "left")
 

@@ -221,7 +221,8 @@ def near_duplicate_vectors(
         )
     )
     named = materialise(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that Spark can split the join at a root of many vectors
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = named.join(least, "root").select("cls", "n_links", "component_id")
     both = chosen.select("id", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
