@@ -9,6 +9,9 @@ from faultweave.llm import mixing, packing, quality, simhash, surrogates
 from faultweave.llm.catalog import VOCABULARY
 from faultweave.session import materialise
 
+#: Options of ``mixing.mix``: the mixture that orders the documents and their sequences.
+MIXTURE: dict = {}
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove failing lines, then documents that fail or lost too much."""
@@ -28,12 +31,17 @@ def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents in the order of the mixture of their sources."""
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, **MIXTURE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the documents into token pieces and pack those into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
+    """Cut the documents into token pieces and pack those into sequences, in the order of the mixture.
+
+    The order of rows and files is lost when they are read again, so it is found anew.
+    """
+    return packing.pack_documents(
+        docs, public_tokenizers.path(VOCABULARY), places=mixing.places(docs, **MIXTURE)
+    )
 
 
 STAGES = [("quality rules", clean), ("simhash", deduplicate), ("pii", protect), ("mixing", mix), ("packing", pack)]

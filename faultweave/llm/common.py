@@ -34,20 +34,27 @@ def text_key(text: str | Column) -> Column:
     return F.coalesce(F.md5(column.cast("binary")), F.lit("null"))
 
 
-def numbered(rows: DataFrame, groups: Sequence[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, groups: Sequence[str], name: str, place: str | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps.
 
     A group is cut by a hash of its rows into buckets of bounded size, whose counts give
     the first number of each; no window spans a group. Equal rows travel as one with a
     count. ``rows`` is read several times, so it should be a written table; ``groups`` must
-    not be null. The order is a function of the rows alone.
+    not be null. The order is a function of the rows alone; with ``place``, a column of
+    numbers from 0 on, it is that of the places, whose ranges are the buckets then.
     """
     columns = rows.columns
-    n_buckets = max(64, -(-rows.count() // BUCKET_ROWS))
+    top = F.lit(0) if place is None else F.max(place)
+    n_rows, top = rows.agg(F.count(F.lit(1)), top).first()
+    n_buckets = max(64, -(-n_rows // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(n_buckets))
+    if place is not None:
+        columns = [place, *[c for c in columns if c != place]]
+        bucket = F.floor(F.col(place) * n_buckets / ((top or 0) + 1))
     packed = (
         rows.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(n_buckets)).cast("int"))
+        .withColumn("_bucket", bucket.cast("int"))
     )
     keys = [*groups, "_bucket"]
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

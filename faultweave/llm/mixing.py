@@ -198,14 +198,18 @@ def mix(
     )
 
 
+def places(docs: DataFrame, **options) -> DataFrame:
+    """(``doc_id``, ``key``, ``source``, ``position``): the first place of rows equal in these."""
+    return mix(docs, **options).groupBy("doc_id", "key", "source").agg(F.min("position").alias("position"))
+
+
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """All rows of ``docs`` in the order of the mixture: files, and rows in them, follow it.
 
     Rows equal in doc_id, text and source stay together at the first of their places.
     """
     key, place = fresh(docs, "key"), fresh(docs, "place")
-    mixed = mix(docs, **options)
-    first = mixed.groupBy("doc_id", "key", "source").agg(F.min("position").alias("position"))
+    first = places(docs, **options)
     keyed = docs.withColumn(key, text_key("text"))
     same = (
         keyed["doc_id"].eqNullSafe(first["doc_id"])

@@ -22,7 +22,7 @@ import types
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultweave.llm.common import numbered
+from faultweave.llm.common import numbered, text_key
 from faultweave.session import materialise
 
 CAPACITY = 4096
@@ -317,10 +317,15 @@ def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
+    docs: DataFrame,
+    vocabulary: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = CAPACITY,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, ``piece``, ``start``, ``length``, ``ids_crc32``): each document's ids and the end id,
-    cut at the capacity. A null text counts as an empty one and is the end id alone."""
+    """(id, ``keep``, ``piece``, ``start``, ``length``, ``ids_crc32``): each document's ids and the
+    end id, cut at the capacity. A null text counts as an empty one and is the end id alone."""
     out = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,20 +342,26 @@ def token_pieces(
                         values.append((piece, at, len(part), zlib.crc32(part.tobytes())))
                     row += 1
                 arrays = [pa.array(list(v), f.type) for v, f in zip(zip(*values), out)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *arrays], ["id", *out.names])
+                own = [batch.column(c).take(pa.array(rows)) for c in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*own, *arrays], ["id", *kept, *out.names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed(
-        "id", id_col
-    )
+    kept = list(keep)
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    fields = [f"id {kind(id_col)}", *[f"{c} {kind(c)}" for c in kept]]
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)
+    return chosen.mapInArrow(
+        pieces, ", ".join([*fields, "piece int, start long, length long, ids_crc32 long"])
+    ).withColumnRenamed("id", id_col)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, place: str | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to the capacity.
 
     As few sequences as the scheme finds; pieces lie gapless from 0 in each. Equal rows take
     a place each. ``pieces`` is read several times and should be a written table.
+
+    With ``place``, a column of numbers from 0 on that is dropped, pieces of one length are
+    used in its order, and sequences are numbered by their smallest place.
     """
     spark = pieces.sparkSession
     # at most as many rows as the capacity
@@ -362,20 +373,42 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.createDataFrame(
         runs, "length long, _first long, _many long, _each long, _sequence long, _offset long"
     )
-    found = numbered(pieces, ["length"], "_nth").join(F.broadcast(plan), "length")
+    found = numbered(pieces, ["length"], "_nth", place).join(F.broadcast(plan), "length")
     found = found.where((nth >= F.col("_first")) & (nth < F.col("_first") + F.col("_many")))
     at = nth - F.col("_first")
-    return found.select(
+    packed = found.select(
         *pieces.columns,
         (F.col("_sequence") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"),
     )
-
-
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    if place is None:
+        return packed
+    packed = materialise(packed, "packed")
+    first = materialise(packed.groupBy("sequence_id").agg(F.min(place).alias("_place")), "first")
+    # as many sequences as before, so the numbers stay without gaps
+    ranks = numbered(first, [], "_rank", "_place").select("sequence_id", "_rank")
+    own = [F.col(c) for c in pieces.columns if c != place]
+    return packed.join(ranks, "sequence_id").select(*own, F.col("_rank").alias("sequence_id"), "offset")
+
+
+def pack_documents(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, places: DataFrame | None = None
+) -> DataFrame:
     """The pieces of all documents with their places; see ``token_pieces`` and ``pack``.
 
     Null ids are kept, repeated rows are packed each, an empty table gives no rows, and
-    other columns are not read.
+    other columns are not read. ``places`` (``doc_id``, ``key`` of the text, ``source``,
+    ``position``), as ``mixing.places`` gives them, is the order that ``pack`` follows.
     """
-    return pack(materialise(token_pieces(docs, vocabulary, capacity=capacity), "pieces"), capacity)
+    if places is None:
+        return pack(materialise(token_pieces(docs, vocabulary, capacity=capacity), "pieces"), capacity)
+    keyed = docs.select("doc_id", "text", text_key("text").alias("key"), "source")
+    pieces = materialise(token_pieces(keyed, vocabulary, capacity=capacity, keep=["key", "source"]), "pieces")
+    same = (
+        pieces["doc_id"].eqNullSafe(places["doc_id"])
+        & (pieces["key"] == places["key"])
+        & pieces["source"].eqNullSafe(places["source"])
+    )
+    own = [pieces[c] for c in pieces.columns if c not in ("key", "source")]
+    placed = materialise(pieces.join(places, same).select(*own, places["position"]), "placed")
+    return pack(placed, capacity, "position")

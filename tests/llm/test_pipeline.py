@@ -2,9 +2,11 @@ import re
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from faultweave.llm import mixing
 from faultweave.llm.catalog import VOCABULARY
 from faultweave.llm.common import table
 from faultweave.llm.quality import measure
@@ -65,3 +67,38 @@ def test_edge_cases(spark):
             docs = materialise(stage(spark, docs, ""))
             assert set(CLASHES) <= set(docs.columns)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == expected
+
+
+def test_the_mixture_decides_the_sequences(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents").limit(400)
+    docs = materialise(docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")))
+    pack = dict(corpus_pipeline.STAGES)["packing"]
+    source = {r.doc_id: r.source for r in docs.collect()}
+
+    def first_half(weights):
+        monkeypatch.setattr(corpus_pipeline, "MIXTURE", {"weights": weights, "block_docs": 4})
+        rows = pack(spark, docs, sf_dir).collect()
+        place = {r.doc_id: r.position for r in mixing.places(docs, **corpus_pipeline.MIXTURE).collect()}
+        least = {}
+        for r in rows:
+            least[r.sequence_id] = min(least.get(r.sequence_id, len(place)), place[r.doc_id])
+        assert [least[s] for s in range(len(least))] == sorted(least.values())
+        early = [r.doc_id for r in rows if r.sequence_id < len(least) / 2]
+        return sum(source[i] == "even" for i in early) / len(early), {(r.doc_id, r.piece): r.sequence_id for r in rows}
+
+    even, by_even = first_half({"even": 9, "odd": 1})
+    odd, by_odd = first_half({"even": 1, "odd": 9})
+    assert even > odd and by_even != by_odd
+    assert by_even.keys() == by_odd.keys()
+
+
+def test_the_mixture_reaches_run(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    names = sorted({r.source for r in docs.select("source").distinct().collect()})
+
+    def run(first):
+        monkeypatch.setattr(corpus_pipeline, "MIXTURE", {"weights": {s: 50 if s == first else 1 for s in names}})
+        return {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+
+    a, b = run(names[0]), run(names[-1])
+    assert a.keys() == b.keys() and a != b
