@@ -1,32 +1,44 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source are dealt into blocks. With weight ``w`` the block ``j`` of a
-source is released in slot ``floor(j / w)`` and due before slot ``ceil((j + 1) / w)``;
-each slot takes, of the released blocks, the one due first. Then every source is always
-less than one block from its share. Weights are multiples of 1/4096, so the schedule of one
-cycle of 4096 slots repeats, and any block's slot is arithmetic: nothing walks the data.
+The documents of a source are dealt into blocks. If every source with blocks left got its
+share of each slot, by the exact weights, block ``j`` of a source would begin and end at two
+moments; it is released in the slot of the first and due before the slot after the second.
+Each slot takes, of the released blocks, the one due first. A block fits its window of that
+fluid schedule whole, so such a choice always meets the deadlines, and every source is
+always less than one block from its share, however many sources and slots there are.
 
 All documents are used once. When a source runs out, a new phase starts, in which those
-left share the slots by their weights; the bound holds within each phase.
+left share the slots by their weights; the windows run on through it.
+
+The choices follow each other, so one task makes them, from the sizes of the sources alone:
+one step for each block, with all sources but no document in memory.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
+from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.llm.common import fresh, numbered, text_key
 from faultweave.session import materialise
 
-#: Slots of a cycle; weights are multiples of its inverse.
+#: Slots of a cycle of ``schedule``, whose weights are multiples of its inverse.
 CYCLE = 4096
-#: Most sources that have weights of their own; with more, hashes pool them.
-MAX_SOURCES = 256
+#: What doubles may be off by, in slots.
+EPSILON = 1e-6
+#: Slots that are handed on at a time.
+BATCH = 65_536
 BLOCK_DOCS = 32
 
 
@@ -91,7 +103,10 @@ class Phase:
 
 
 def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int = CYCLE) -> list[Phase]:
-    """The phases of a mixture that uses all blocks of all sources."""
+    """The phases of a mixture whose cycles repeat, by weights rounded to whole slots of a cycle.
+
+    ``mix`` keeps the weights as they are; see ``walk``.
+    """
     done = {s: 0 for s, n in blocks.items() if n}
     phases: list[Phase] = []
     start = 0
@@ -112,6 +127,83 @@ def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int
     return phases
 
 
+def walk(
+    sizes: Sequence[int], weights: Sequence[float], block_docs: int = BLOCK_DOCS
+) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot, first position) slot by slot.
+
+    ``sizes`` are documents, at least one each. Times are by ``t(v) = sum(min(w * v, blocks))``: at
+    the virtual time ``v`` a source has had ``w * v`` blocks, or all.
+    """
+    if not len(sizes):
+        return
+    blocks = -(-np.asarray(sizes, "i8") // block_docs)
+    shares = np.asarray(weights, "f8")
+    shares = shares / math.fsum(shares)
+    ends = blocks / shares
+    order = np.argsort(ends, kind="stable")
+    # from the k-th end on: blocks of ended sources, weight of the others
+    had = np.concatenate([[0], np.cumsum(blocks[order])]).tolist()
+    left = np.append(np.cumsum(shares[order][::-1])[::-1], 0.0).tolist()
+    by_end = ends[order].tolist()
+
+    def time(v: float) -> float:
+        k = bisect_right(by_end, v)
+        return had[k] + v * left[k]
+
+    moments = [time(v) for v in by_end]
+    phase_ends = [t for t, after in zip(moments, [*moments[1:], math.inf]) if after - t > EPSILON]
+    blocks, shares = blocks.tolist(), shares.tolist()
+
+    def released(s: int, j: int) -> int:
+        return int(time(j / shares[s]) + EPSILON)
+
+    waiting = [(0, s, 0) for s in range(len(blocks))]
+    ready: list[tuple[int, int, int, int]] = []
+    phase = position = 0
+    for now in range(sum(blocks)):
+        while waiting and waiting[0][0] <= now:
+            at, s, j = heappop(waiting)
+            heappush(ready, (math.ceil(time((j + 1) / shares[s]) - EPSILON), s, j, at))
+        due, s, j, at = heappop(ready)
+        if due <= now:
+            raise AssertionError(f"block {j} of source {s} is late")
+        # a slot in which a source ends belongs to the next phase
+        while phase + 1 < len(phase_ends) and phase_ends[phase] < now + 1 - EPSILON:
+            phase += 1
+        yield s, j, phase, at, due, now, position
+        position += min(block_docs, sizes[s] - j * block_docs)
+        if j + 1 < blocks[s]:
+            heappush(waiting, (released(s, j + 1), s, j + 1))
+
+
+def _slots(sources: DataFrame, block_docs: int) -> DataFrame:
+    """``walk`` over (``name``, ``n``, ``weight``), in one task."""
+    out = pa.schema(
+        [("block", pa.int64()), ("phase", pa.int32())]
+        + [(n, pa.int64()) for n in ("release", "deadline", "slot", "first")]
+    )
+
+    def walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        rows = rows.sort_by("name")  # tasks that are repeated give the same slots
+        names, sizes = rows["name"].combine_chunks(), rows["n"].to_pylist()
+        steps = walk(sizes, rows["weight"].to_pylist(), block_docs)
+        while part := list(islice(steps, BATCH)):
+            source, *values = zip(*part)
+            arrays = [pa.array(list(v), f.type) for v, f in zip(values, out)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(source)), *arrays], ["name", *out.names])
+
+    def one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield from walked(held)
+
+    return sources.repartition(1).mapInArrow(
+        one, "name string, block long, phase int, release long, deadline long, slot long, first long"
+    )
+
+
 def mix(
     docs: DataFrame,
     source_col: str = "source",
@@ -123,67 +215,29 @@ def mix(
 ) -> DataFrame:
     """(id, ``key``, ``source``, ``block``, ``phase``, ``release``, ``deadline``, ``slot``, ``position``).
 
-    ``weights`` are by source name and need only be given in proportion; every other source
-    shares the least of them. Without weights a source of n documents weighs
+    ``weights`` are positive, by source name, and need only be given in proportion; every other
+    source weighs as much as the least of them. Without weights a source of n documents weighs
     ``n ** temperature``, which lifts small sources. A null source is a source of its own,
     written as null. Within a source documents come in the order of hash buckets. Repeated
     rows take a place each; ``position`` runs from 0 without gaps; ``key`` is the text's key.
     """
     spark = docs.sparkSession
+    if weights and not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive")
     # the marks keep a null apart from a source of any name
     name = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
     rows = materialise(docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), name.alias("name")), "rows")
-    n_sources = rows.select("name").distinct().count()
-    pool = F.concat(F.lit("2"), F.pmod(F.xxhash64("name"), F.lit(MAX_SOURCES)).cast("string"))
-    rows = rows.withColumn("pool", F.col("name") if n_sources <= MAX_SOURCES else pool)
-    sizes = {r.pool: r["n"] for r in rows.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sources = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     if weights:
-        least = min(weights.values())
-        chosen = {p: weights.get(p[1:], least) if p[0] == "1" else least for p in sizes}
+        given = spark.createDataFrame([(f"1{s}", float(w)) for s, w in weights.items()], "name string, weight double")
+        least = F.lit(float(min(weights.values())))
+        sources = sources.join(given, "name", "left").withColumn("weight", F.coalesce("weight", least))
     else:
-        chosen = {p: n**temperature for p, n in sizes.items()}
-    blocks = {p: -(-n // block_docs) for p, n in sizes.items()}
-    phases = schedule(blocks, chosen)
-
-    # at most MAX_SOURCES phases of CYCLE places each
-    starts: dict[str, list[int]] = {p: [] for p in sizes}
-    first_phase: dict[str, list[int]] = {p: [] for p in sizes}
-    short = []
-    for phase in phases:
-        starts[phase.source].append(phase.block)
-        first_phase[phase.source].append(phase.phase)
-    last = {p.source: p for p in phases}
-    for p, n in sizes.items():
-        if n % block_docs:
-            short.append((last[p].slot_of(blocks[p] - 1), block_docs - n % block_docs))
-    plan = spark.createDataFrame(
-        [(p.source, p.phase, p.block, p.slot, p.share, p.places) for p in phases],
-        "pool string, phase int, at_block long, at_slot long, share long, places array<int>",
-    )
-    begun = spark.createDataFrame(
-        [(p, starts[p], first_phase[p]) for p in sizes], "pool string, starts array<long>, phases array<int>"
-    )
-    dealt = numbered(rows.select("id", "key", "name", "pool"), ["pool"], "nth")
-    dealt = dealt.withColumn("block", F.floor(F.col("nth") / block_docs).cast("long"))
-    dealt = dealt.join(F.broadcast(begun), "pool")
-    which = F.size(F.expr("filter(starts, s -> s <= block)")) - 1
-    dealt = dealt.withColumn("phase", F.get("phases", which)).join(F.broadcast(plan), ["pool", "phase"])
-    j = F.col("block") - F.col("at_block")
-    turn, at = F.floor(j / F.col("share")).cast("long"), (j % F.col("share")).cast("int")
-    due = F.floor(((j + 1) * CYCLE + F.col("share") - 1) / F.col("share"))
-    dealt = (
-        dealt.withColumn("slot", F.col("at_slot") + turn * CYCLE + F.get("places", at))
-        .withColumn("release", F.col("at_slot") + F.floor(j * CYCLE / F.col("share")).cast("long"))
-        .withColumn("deadline", F.col("at_slot") + due.cast("long"))
-    )
-    # documents that short blocks lack before this slot; one short block per source
-    gaps = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(n).cast("long").alias("n")) for s, n in short])
-    lacking = F.lit(0).cast("long")
-    if short:
-        lacking = F.aggregate(
-            gaps, F.lit(0).cast("long"), lambda total, g: total + F.when(g["s"] < F.col("slot"), g["n"]).otherwise(0)
-        )
-    place = F.col("slot") * block_docs + F.col("nth") % block_docs - lacking
+        sources = sources.withColumn("weight", F.pow("n", F.lit(temperature)))
+    slots = materialise(_slots(materialise(sources, "sources"), block_docs), "slots")
+
+    dealt = numbered(rows, ["name"], "nth")
+    dealt = dealt.withColumn("block", F.floor(F.col("nth") / block_docs).cast("long")).join(slots, ["name", "block"])
     source = F.when(F.substring("name", 1, 1) == "0", F.lit(None)).otherwise(F.expr("substring(name, 2)"))
     return dealt.select(
         F.col("id").alias(id_col),
@@ -194,7 +248,7 @@ def mix(
         "release",
         "deadline",
         "slot",
-        place.alias("position"),
+        (F.col("first") + F.col("nth") % block_docs).alias("position"),
     )
 
 

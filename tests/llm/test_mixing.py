@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from faultweave.llm.catalog import op4_mix_sources
 from faultweave.llm.common import table
-from faultweave.llm.mixing import CYCLE, in_mixed_order, mix, pfair_cycle, schedule, shares
+from faultweave.llm.mixing import CYCLE, in_mixed_order, mix, pfair_cycle, schedule, shares, walk
 from tests.llm.cases import DOCUMENTS, dicts, documents
 
 
@@ -84,3 +84,51 @@ def test_more_sources_than_weights(spark):
 @pytest.mark.parametrize("n", [1, 7, 4096])
 def test_equal_weights(n):
     assert sorted(shares(dict.fromkeys(map(str, range(n)), 1.0)).values())[0] >= CYCLE // n
+
+
+def off_by(steps, weights, until):
+    """The farthest that any source is from its exact share, in blocks, in the first slots."""
+    total, done, worst = sum(weights), [0] * len(weights), 0.0
+    for slot, step in enumerate(steps[:until]):
+        assert step[5] == slot and step[3] <= slot < step[4]
+        done[step[0]] += 1
+        worst = max(worst, max(abs(d - w / total * (slot + 1)) for d, w in zip(done, weights)))
+    return worst
+
+
+def test_exact_weights_hold_over_many_cycles():
+    """Weights that are no multiples of 1/4096, over 30 cycles of that length."""
+    weights = [1.0, 2**0.5, 0.0003, 1 / 3]
+    steps = list(walk([200_000] * 4, weights, 1))
+    assert off_by(steps, weights, 30 * CYCLE) < 1 + 1e-6
+    assert sorted(s[:2] for s in steps) == [(s, j) for s in range(4) for j in range(200_000)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.floats(0.001, 1000)), min_size=1, max_size=12))
+def test_windows_hold_through_the_phases(sources):
+    sizes, weights = zip(*sources)
+    steps = list(walk(sizes, weights, 4))
+    assert sorted(s[:2] for s in steps) == [(s, j) for s, n in enumerate(sizes) for j in range(-(-n // 4))]
+    assert all(s[3] <= s[5] < s[4] for s in steps) and [s[5] for s in steps] == list(range(len(steps)))
+    first = sum(s[2] == 0 for s in steps)
+    assert off_by(steps, weights, first) < 1 + 1e-6
+
+
+def test_300_sources_keep_their_weights(spark):
+    rows = [(i, f"t{i}", f"s{i % 300}") for i in range(6000)]
+    weights = {f"s{k}": 1 + k % 7 for k in range(300)}
+    found = dicts(mix(documents(spark, rows), weights=weights, block_docs=2))
+    assert sorted(r["position"] for r in found) == list(range(6000))
+    slots = sorted({(r["slot"], r["source"]) for r in found if r["phase"] == 0})
+    assert len(slots) > 300
+    total, done = sum(weights.values()), Counter()
+    for n, (slot, source) in enumerate(slots, 1):
+        assert slot == n - 1
+        done[source] += 1
+        assert all(abs(done[s] - w * n / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_weights_that_are_not_positive_are_refused(spark):
+    with pytest.raises(ValueError, match="positive"):
+        mix(documents(spark), weights={"a": 0})
