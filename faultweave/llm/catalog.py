@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultweave.llm import credentials, mixing, oracle, packing, quality, sharding, simhash, substring, surrogates, vectors
+from faultweave.llm import (
+    credentials,
+    fim,
+    licences,
+    mixing,
+    oracle,
+    packing,
+    quality,
+    repair,
+    sharding,
+    simhash,
+    substring,
+    surrogates,
+    vectors,
+)
 from faultweave.llm.common import table
 from faultweave.llm.html import page_text
 
@@ -73,6 +87,47 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.digest(repair.repair_conversations(repair.damage(conversations)))
+    found = found.withColumnRenamed("conv_id", "_conv")
+    ids = conversations.select("conv_id").distinct()
+    none = {**dict.fromkeys(repair.COUNTS, F.lit(0).cast("long")), "audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *[F.coalesce(F.col(c), value).alias(c) for c, value in none.items()]
+    )
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned, found = licences.scan_licences(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    places = F.col(f"{found}.places")
+    return scanned.select(
+        "doc_id",
+        f"{found}.n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(f"{found}.base_labels", ",").alias("base_labels"),
+        F.array_join(f"{found}.labels", ",").alias("labels"),
+        f"{found}.score",
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, parts = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.select("doc_id", f"{parts}.*")
+    restored, text = fim.restore(made, "output", "form")
+    return restored.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -86,6 +141,9 @@ QUERIES: dict[str, Query] = {
         op8_visible_text,
         op9_surrogates,
         op10_near_vectors,
+        op11_conversation_repair,
+        op12_licence_scan,
+        op13_fill_in_middle,
     )
 }
 
