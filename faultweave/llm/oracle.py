@@ -1,4 +1,10 @@
-"""DuckDB SQL for the queries that SQL can express; written out, sharing nothing with them."""
+"""DuckDB SQL for the queries that SQL can express; written out, sharing only the licence texts with them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from faultweave.llm.licences import LICENCES
 
 OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
@@ -120,4 +126,197 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN lowest l ON l.a = e.vec_id
 """
 
-ORACLE: dict[str, str] = {"op1_secret_scan": OP1, "op2_quality_rules": OP2, "op10_near_vectors": OP10}
+
+def _moved(state: str, cost: str, edit: str, line: str = "''") -> str:
+    return (
+        f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'o': {state}.o || {line}}} END"
+    )
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _said(role: str, text: str = "''") -> str:
+    return f"chr(10) || {role} || ':' || {text}"
+
+
+# the states: n nothing kept, s, u, a; w marks them after insertions; each has cost c, audit a, lines o
+OP11 = f"""
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations
+),
+bits(i, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+),
+crc(conv_id, turn, said, k, v) AS (
+  SELECT conv_id, turn, said, 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT c.conv_id, c.turn, c.said, c.k + 1, xor(c.v >> 8, b.v) FROM crc c
+  JOIN (SELECT i, v FROM bits WHERE k = 8) b ON b.i = xor(c.v, ascii(substr(c.said, c.k + 1, 1))) & 255
+  WHERE c.k < length(c.said)
+),
+drawn AS (SELECT conv_id, turn, xor(v, 4294967295) % 20 AS draw FROM crc WHERE k = length(said)),
+hurt AS (
+  SELECT c.conv_id, c.turn, CASE WHEN draw = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN draw = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM conversations c JOIN drawn d ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.turn IS NOT DISTINCT FROM d.turn WHERE draw <> 0
+),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, left(role, 1) AS i,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM hurt
+),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY k) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault,
+    lag(i) OVER (PARTITION BY g ORDER BY k) || i AS pair
+  FROM placed
+),
+dp(g, k, n, s, u, a) AS (
+  SELECT DISTINCT g, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 'o': ''}}, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR),
+    NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) FROM placed
+  UNION ALL
+  SELECT g, k,
+    {_moved("n", "4", "D")},
+    {_least(_moved("s", "4", "D"), "CASE WHEN stays AND i = 's' THEN " + _moved("n", "more", "K", _said("role", "text")) + " END")},
+    {_least(_moved("u", "4", "D"), *[
+        f"CASE WHEN stays{test} THEN " + _moved(state, cost, edit, line) + " END"
+        for state in ("n", "s", "wa")
+        for test, cost, edit, line in ((" AND i = 'u'", "more", "K", _said("role", "text")), ("", "more + 3", "R", _said("'user'", "text")))
+    ])},
+    {_least(_moved("a", "4", "D"), *[
+        f"CASE WHEN stays{test} THEN " + _moved("wu", cost, edit, line) + " END"
+        for test, cost, edit, line in ((" AND i = 'a'", "more", "K", _said("role", "text")), ("", "more + 3", "R", _said("'assistant'", "text")))
+    ])}
+  FROM (
+    SELECT *, {_least("wu1", _moved("wa", "3", "I", _said("'user'")))} AS wu FROM (
+      SELECT *, {_least("a", _moved("wu1", "3", "I", _said("'assistant'")))} AS wa FROM (
+        SELECT d.g, j.k, n, s, u, a, i, role, text, fault NOT IN ('b', 'd') AS stays, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more,
+          {_least("u", _moved("n", "3", "I", _said("'user'")), _moved("s", "3", "I", _said("'user'")))} AS wu1
+        FROM dp d JOIN judged j ON d.g = j.g AND j.k = d.k + 1
+      )
+    )
+  )
+),
+last AS (SELECT g, max(k) AS k FROM placed GROUP BY g),
+ended AS (
+  SELECT g, {_least("n", "a", _moved("u", "3", "I", _said("'assistant'")), _moved("s", "6", "II", _said("'user'") + " || " + _said("'assistant'")))} AS e
+  FROM dp JOIN last USING (g, k)
+),
+counts AS (
+  SELECT any_value(conv_id) AS conv_id, g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY g
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(substr(e.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended USING (g)
+"""
+
+
+def _values(rows: Iterable[tuple]) -> str:
+    def said(value: object) -> str:
+        if isinstance(value, (list, tuple)):
+            return f"[{', '.join(map(said, value))}]"
+        return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
+
+    return ", ".join(f"({', '.join(map(said, row))})" for row in rows)
+
+
+# the licence texts are data that both sides read; how they are matched is written anew
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+w AS (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
+base(label, phrase) AS (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])),
+named AS (
+  SELECT row, label, w.i FROM w, base
+  WHERE word = phrase[1] AND (SELECT ws[w.i + 1:w.i + len(phrase)] FROM d WHERE d.row = w.row) = phrase
+),
+licence(id, label, said, phrases) AS (VALUES {_values((i, x.label, x.text.split(), x.phrases) for i, x in enumerate(LICENCES))}),
+lw AS (SELECT id, unnest(said) AS word, generate_subscripts(said, 1) - 1 AS place FROM licence),
+held AS (SELECT DISTINCT row, word FROM w WHERE word IN (SELECT word FROM lw)),
+rarity AS (SELECT word, count(*) AS n FROM held GROUP BY word),
+need AS (SELECT DISTINCT id, unnest(string_split(p, ' ')) AS word FROM (SELECT id, unnest(phrases) AS p FROM licence)),
+may AS (
+  SELECT row, id FROM held JOIN need USING (word) GROUP BY row, id
+  HAVING count(*) = (SELECT count(*) FROM need m WHERE m.id = need.id)
+),
+rare AS (
+  SELECT row, id, word FROM may JOIN (SELECT DISTINCT id, word FROM lw) USING (id) JOIN held USING (row, word) JOIN rarity USING (word)
+  QUALIFY row_number() OVER (PARTITION BY row, id ORDER BY n, word) <= 12
+),
+begins AS (SELECT row, id, word, w.i - lw.place AS b FROM rare JOIN w USING (row, word) JOIN lw USING (id, word)),
+bands AS (
+  SELECT row, id, word, (floor(b / 16) * 16)::BIGINT AS low FROM begins
+  UNION ALL SELECT row, id, word, (floor((b + 8) / 16) * 16 - 8)::BIGINT FROM begins
+),
+best AS (
+  SELECT row, id, low, count(DISTINCT word) AS agree FROM bands GROUP BY row, id, low
+  QUALIFY row_number() OVER (PARTITION BY row, id ORDER BY agree DESC, CASE WHEN low % 16 = 0 THEN low / 16 * 2 ELSE (low + 8) / 16 * 2 + 1 END) = 1
+),
+found AS (
+  SELECT row, label, agree / least(12, len(list_distinct(said))) AS share, phrases,
+    ' ' || array_to_string(ws[greatest(low, 0) + 1:low + 16 + len(said)], ' ') || ' ' AS stretch
+  FROM best JOIN licence USING (id) JOIN d USING (row)
+),
+kept AS (
+  SELECT row, label, share FROM found
+  WHERE share >= 0.5 AND len(list_filter(phrases, lambda p: NOT contains(stretch, ' ' || p || ' '))) = 0
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n_base, 0) AS n_base, n.first_word, n.last_word,
+  coalesce(n.labels, '') AS base_labels,
+  coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM (SELECT row, label FROM named UNION ALL SELECT row, label FROM kept) x WHERE x.row = d.row), '') AS labels,
+  CASE WHEN n.row IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce((SELECT max(share) FROM kept k WHERE k.row = d.row), 0)::DOUBLE END AS score
+FROM d LEFT JOIN (
+  SELECT row, count(*) AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM named GROUP BY row
+) n USING (row)
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+drawn AS (
+  SELECT doc_id, t, us, len(us)::BIGINT AS n,
+    list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k::INT, 8))::BIGINT) AS hs FROM d
+),
+cut AS (
+  SELECT doc_id, t, n, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS c, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS e, us,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 90 THEN 'plain'
+      WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(us[1:c], '') AS p, array_to_string(us[c + 1:e], '') AS m, array_to_string(us[e + 1:], '') AS s FROM cut
+),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN regexp_replace(output, '(?s)^<P>(.*)<S>(.*)<M>(.*)$', '\1\3\2')
+    ELSE regexp_replace(output, '(?s)^<S>(.*)<P>(.*)<M>(.*)$', '\2\3\1') END) AS restored_sha256
+FROM made
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_secret_scan": OP1,
+    "op2_quality_rules": OP2,
+    "op10_near_vectors": OP10,
+    "op11_conversation_repair": OP11,
+    "op12_licence_scan": OP12,
+    "op13_fill_in_middle": OP13,
+}

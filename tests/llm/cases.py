@@ -25,6 +25,7 @@ DOCUMENTS = [
 CLASHES = (
     "id key print begin root component_id fingerprint quality kept size shard slot n chunk part bin pool name block phase"
     " position names again found n_replaced text_key _n _bucket _print _key place length cls copies cuts"
+    " words spaced facts licence fim fim_key restored form output"
 ).split()
 
 
