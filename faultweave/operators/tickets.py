@@ -2,7 +2,8 @@
 
 A ticket matches when the lower-cased job name occurs anywhere in its summary, its
 description or its joined labels. Ticket texts are read by a multi-pattern matcher over the
-distinct job names, which gives (name, ticket) rows; Spark counts them and takes the first.
+distinct job names, or by their grams where names are many, which gives (name, ticket)
+rows; Spark counts them and takes the first.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 from operator import itemgetter
 
 import pyarrow as pa
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import or_empty
+from faultweave.operators.postings import posted_pairs, write_postings
 from faultweave.operators.topk import ranked_array, top_k
-from faultweave.session import materialise, path_exists
+from faultweave.session import materialise, path_exists, scratch_path
 
 FIRST_N = 3
-NAME_CHARS_PER_PASS = 4 << 20
+#: Characters of names that a worker may hold.
+NAME_CHARS = 4 << 20
 
 
 def _matcher(names: list[str]) -> Callable[[str], set[str]]:
@@ -82,38 +84,52 @@ def first_n_in_order(matches: DataFrame, n: int = FIRST_N, key: str = "name", or
     return top_k(matches, [key], [F.col(order)], n, spread=[order]).join(totals, key)
 
 
+def ticket_texts(tickets: DataFrame) -> DataFrame:
+    """seq and the lower-cased texts that are looked through: summary, description, joined labels."""
+    joined = label_text(F.col("labels")) if dict(tickets.dtypes)["labels"].startswith("array") else F.col("labels")
+    return tickets.select(
+        F.col("seq").cast("long").alias("seq"),
+        F.lower(or_empty(F.col("summary"))).alias("summary"),
+        F.lower(or_empty(F.col("description"))).alias("description"),
+        F.lower(or_empty(joined)).alias("labels"),
+    )
+
+
+def _asked_names(jobs: DataFrame) -> DataFrame:
+    return materialise(jobs.select(F.lower("job_name").alias("name")).where("name <> ''").distinct(), "names")
+
+
 def ticket_matches(
-    jobs: DataFrame, tickets: DataFrame, n: int = FIRST_N, name_chars_per_pass: int = NAME_CHARS_PER_PASS
+    jobs: DataFrame, tickets: DataFrame, n: int = FIRST_N, name_chars: int = NAME_CHARS
 ) -> DataFrame:
     """The first ``n`` tickets per lower-cased job name: name, seq, rank, total.
 
     ``tickets`` has seq (the file order), summary, description and labels (an array, or
-    text that is already joined). Job names go to the workers in passes of bounded size,
-    each of which reads the ticket texts once; one pass is enough for more than a hundred
-    thousand names. The driver holds the names of one pass at a time.
+    text that is already joined). Up to ``name_chars`` characters of names, enough for more
+    than a hundred thousand, go to the workers, which read the ticket texts once. More
+    names stay in Spark and are looked up in an index of the texts' grams (``postings``).
     """
     spark = tickets.sparkSession
-    names = materialise(jobs.select(F.lower("job_name").alias("name")).where("name <> ''").distinct(), "names")
+    names = _asked_names(jobs)
     size = names.agg(F.sum(F.length("name")).alias("chars")).first().chars or 0
     if size == 0:
         return spark.createDataFrame([], "name string, seq long, rank int, total long")
-    passes = -(-size // name_chars_per_pass)
-    joined = label_text(F.col("labels")) if dict(tickets.dtypes)["labels"].startswith("array") else F.col("labels")
-    texts = tickets.select(
-        F.col("seq").cast("long").alias("seq"),
-        F.lower(or_empty(F.col("summary"))).alias("summary"),
-        F.lower(or_empty(F.col("description"))).alias("description"),
-        F.lower(or_empty(joined)).alias("labels"),
-    )
-    parts = []
-    for p in range(passes):
-        chunk = names.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast([r.name for r in chunk.collect()])
-        if shared.value:
-            rows = texts.mapInArrow(_name_rows(shared, uuid.uuid4().hex), "name string, seq long")
-            parts.append(materialise(rows, "ticket-names"))
-        shared.destroy()
-    return materialise(first_n_in_order(reduce(DataFrame.unionAll, parts), n), "ticket-matches")
+    texts = ticket_texts(tickets)
+    if size > name_chars:
+        path = scratch_path(spark, "ticket-postings")
+        write_postings(texts, path)
+        rows = posted_pairs(names, path)
+    else:
+        shared = spark.sparkContext.broadcast([r.name for r in names.collect()])
+        rows = texts.mapInArrow(_name_rows(shared, uuid.uuid4().hex), "name string, seq long")
+    found = materialise(rows, "ticket-names")
+    return materialise(first_n_in_order(found, n), "ticket-matches")
+
+
+def posted_ticket_matches(asked: DataFrame, path: str, n: int = FIRST_N) -> DataFrame:
+    """As :func:`ticket_matches`, from the index that ``postings.write_postings`` keeps of the ``ticket_texts``."""
+    found = materialise(posted_pairs(_asked_names(asked), path), "ticket-names")
+    return first_n_in_order(found, n)
 
 
 def kept_ticket_matches(

@@ -24,9 +24,10 @@ from faultweave.operators.evidence import (
     stage_records,
 )
 from faultweave.operators.history import TOP_K, history_arrays, nearest_by_query, with_query_id
+from faultweave.operators.index import indexed_nearest, indexed_rows
 from faultweave.operators.recommend import recommend
 from faultweave.operators.scripts import node_for_job, script_lookup
-from faultweave.operators.tickets import FIRST_N, ticket_arrays, ticket_matches
+from faultweave.operators.tickets import FIRST_N, posted_ticket_matches, ticket_arrays, ticket_matches
 from faultweave.session import in_this_context, materialise
 
 
@@ -35,7 +36,9 @@ class Knowledge:
     """The tables an investigation looks things up in.
 
     ``embed`` makes the vector of a question and must be the one the store was built
-    with, giving ``dim`` values. ``playbook`` has failure_type, root_cause and actions.
+    with, giving ``dim`` values. ``playbook`` has failure_type, root_cause and actions. With
+    ``index`` and ``postings``, the paths of kept indexes of the store and of the ticket texts,
+    searches read the indexes' folders for the jobs at hand and not all rows.
     """
 
     store: DataFrame
@@ -46,6 +49,8 @@ class Knowledge:
     dim: int
     playbook: DataFrame
     repo: dict[str, str] = field(default_factory=dict)
+    index: str | None = None
+    postings: str | None = None
 
 
 def prepare(incidents: DataFrame, mode: str = "compat") -> DataFrame:
@@ -76,11 +81,20 @@ def gather(
     of_past, of_tickets, script_chars = fields or (None, None, None)
 
     def search_history() -> DataFrame:
+        if known.index:
+            hits = materialise(indexed_nearest(asked, known.index, known.store, k, known.embed), "hits")
+            # job names are never blank here, so all hits lie under the jobs and scripts asked for
+            return history_arrays(hits, indexed_rows(hits, asked, known.index), of_past)
         hits = materialise(nearest_by_query(asked, known.store, k, embed=known.embed, dim=known.dim), "hits")
         return history_arrays(hits, known.store, of_past)
 
     def search_tickets() -> DataFrame:
-        matches = match_tickets(asked) if match_tickets else ticket_matches(asked, known.tickets, n)
+        if match_tickets:
+            matches = match_tickets(asked)
+        elif known.postings:
+            matches = materialise(posted_ticket_matches(asked, known.postings, n), "ticket-matches")
+        else:
+            matches = ticket_matches(asked, known.tickets, n)
         found = ticket_arrays(matches, known.tickets, of_tickets)
         # One row per job name: written out, it is seen to be small, and the incidents need
         # not be shuffled by a job name that many of them share.

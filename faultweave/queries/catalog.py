@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.functions import failure, scoring, text, vectors
-from faultweave.operators import evidence, history, logs, recommend, skew, topk, trace
+from faultweave.operators import evidence, history, logs, postings, recommend, skew, topk, trace
+from faultweave.operators import index as history_index
 from faultweave.operators import scripts as script_ops
 from faultweave.operators import tickets as ticket_ops
 from faultweave.plans import credit, investigate, recon, retention, risk, settlement
@@ -554,6 +555,29 @@ def history_search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("request_id", "rank", "id", _num("similarity_score").alias("similarity_score"))
 
 
+def _from_index(asked: DataFrame, past: DataFrame, name: str) -> DataFrame:
+    spark = asked.sparkSession
+    path = scratch_path(spark, name)
+    history_index.write_index(past, path)
+    asked = history.with_query_id(asked, "embedding")
+    return history_index.indexed_search(asked, path, past).select(
+        "request_id", "rank", "id", _num("distance").alias("distance"), _num("similarity_score").alias("similarity_score")
+    )
+
+
+@query
+def history_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from an index that is kept with the store."""
+    return _from_index(v.asked_vectors(spark, sf_dir), v.past_vectors(spark, sf_dir), "history-index")
+
+
+@query
+def history_search_indexed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some thousand jobs of few rows each, from an index."""
+    hits = _from_index(v.job_customers(spark, sf_dir), v.job_parts(spark, sf_dir), "jobs-index")
+    return hits.drop("similarity_score")
+
+
 @query
 def ticket_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = investigate.prepare(v.incidents(spark, sf_dir))
@@ -562,16 +586,44 @@ def ticket_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def ticket_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many names in whole texts: all words of parts and of benchmark items, and nations."""
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = v.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("job_name"))
     words = v.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("job_name"))
     nations = v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("job_name"))
-    names = parts.unionByName(words).unionByName(nations)
+    return parts.unionByName(words).unionByName(nations)
+
+
+@query
+def ticket_match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many names in whole texts: all words of parts and of benchmark items, and nations."""
+    names = _words(spark, sf_dir)
     return ticket_ops.ticket_matches(names, v.tickets(spark, sf_dir)).select("name", "rank", "seq", "total")
 
 
+@query
+def ticket_match_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tickets per incident from a kept index of their texts, half of which came later."""
+    tickets = v.tickets(spark, sf_dir)
+    path = scratch_path(spark, "postings")
+    for generation in range(2):
+        part = tickets.where(F.col("seq") % 2 == generation)
+        postings.write_postings(ticket_ops.ticket_texts(part), path, generation)
+    asked = investigate.prepare(v.incidents(spark, sf_dir))
+    matches = ticket_ops.posted_ticket_matches(asked, path)
+    keyed = matches.join(tickets.select(F.col("seq").cast("long").alias("seq"), "key"), "seq")
+    return asked.select("request_id", F.lower("job_name").alias("name")).join(keyed, "name").select(
+        "request_id", "name", "rank", "seq", _str("key").alias("key"), "total"
+    )
+
+
+@query
+def ticket_match_many_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names as ``ticket_match_words``, looked up by their grams."""
+    names = _words(spark, sf_dir)
+    found = ticket_ops.ticket_matches(names, v.tickets(spark, sf_dir), name_chars=0)
+    return found.select("name", "rank", "seq", "total")
+
+
 @query
 def script_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = investigate.prepare(v.incidents(spark, sf_dir))
@@ -1082,6 +1134,21 @@ def investigate_incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_investigation(spark.read.option("basePath", out).parquet(out))
 
 
+@query
+def investigate_indexed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream; a batch reads the folders of its jobs, scripts and grams in kept indexes."""
+    inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "investigations", "stream"))
+    v.incidents(spark, sf_dir).repartition(2, "request_id").write.parquet(inbox)
+    known = v.knowledge(spark, sf_dir)
+    index, posted = scratch_path(spark, "index"), scratch_path(spark, "postings")
+    history_index.write_index(known.store, index)
+    postings.write_postings(ticket_ops.ticket_texts(known.tickets), posted)
+    feed = spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    look_up = lambda: replace(known, index=index, postings=posted)
+    investigate_stream(feed, look_up, out, state).awaitTermination()
+    return _flat_investigation(spark.read.option("basePath", out).parquet(out))
+
+
 @query
 def store_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export as a stream into a store that already has the oom rows under another resolver."""

@@ -646,4 +646,11 @@ _BODIES: dict[str, str] = {
     "store_feed_stream": _flat_store("CASE WHEN failure_type = 'oom' THEN 'held' ELSE resolved_by END"),
 }
 
+# the same results by another way
+_BODIES["history_search_indexed"] = _BODIES["history_search"]
+_BODIES["history_search_indexed_jobs"] = _BODIES["history_search_many_jobs"]
+_BODIES["ticket_match_posted"] = _BODIES["ticket_match"]
+_BODIES["ticket_match_many_words"] = _BODIES["ticket_match_words"]
+_BODIES["investigate_indexed_stream"] = _INVESTIGATION
+
 ORACLE: dict[str, str] = {name: _with(body) for name, body in _BODIES.items()}

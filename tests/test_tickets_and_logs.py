@@ -36,12 +36,12 @@ def brute(names, n):
 
 
 @pytest.mark.parametrize("chars", [1 << 20, 8, 1])
-def test_matches_equal_brute_force_in_any_number_of_passes(spark, tmp_path, chars):
+def test_matches_equal_brute_force_with_few_and_many_names(spark, tmp_path, chars):
     path = tmp_path / "tickets.json"
     path.write_text(json.dumps(TICKETS))
     tickets = read_tickets(spark, str(path), "array").repartition(3)
     jobs = spark.createDataFrame([(n,) for n in NAMES], "job_name string")
-    got = ticket_ops.ticket_matches(jobs, tickets, 2, name_chars_per_pass=chars).collect()
+    got = ticket_ops.ticket_matches(jobs, tickets, 2, name_chars=chars).collect()
     assert sorted((r.name, r["rank"], r.seq, r.total) for r in got) == brute(NAMES, 2)
 
 
