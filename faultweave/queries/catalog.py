@@ -142,9 +142,10 @@ def read_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_tickets_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same tickets as JSON arrays, one per language, numbered over the files."""
+    """The same tickets as JSON arrays of a bounded number, by language, numbered over the files."""
     path = scratch_path(spark, "tickets")
-    rows = v.tickets(spark, sf_dir).withColumn("file", F.col("comments")[0]["body"])
+    block = F.lpad(F.floor(F.col("seq") / 1000).cast("string"), 12, "0")
+    rows = v.tickets(spark, sf_dir).withColumn("file", F.concat(F.col("comments")[0]["body"], F.lit("-"), block))
     fields = F.struct(*[c for c in rows.columns if c not in ("seq", "file")])
     ordered = F.array_sort(F.collect_list(F.struct("seq", F.to_json(fields).alias("j"))))
     text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda t: t["j"]), ","), F.lit("]"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +25,22 @@ def _is(name: str, value: str) -> Column:
     return F.col(name) == F.lit(value)
 
 
-def read_partition(spark: SparkSession, root: str, date: str, currency: str | None = None) -> DataFrame:
-    """The rows of one ``date=`` (and ``currency=``) folder; other folders are not listed for reading."""
-    rows = read_with_text_partitions(spark, root).where(_is("date", date))
+def read_partition(
+    spark: SparkSession, root: str, date: str, currency: str | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """The rows of one ``date=`` (and ``currency=``) folder; other folders are not listed for reading.
+
+    A root without files gives no rows: of ``schema`` (with the partition columns), or of the
+    partition columns alone.
+    """
+    try:
+        rows = read_with_text_partitions(spark, root)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        keys = [T.StructField(c, T.StringType()) for c in ("date", "currency")[: 1 if currency is None else 2]]
+        return spark.createDataFrame([], schema or T.StructType(keys))
+    rows = rows.where(_is("date", date))
     return rows if currency is None else rows.where(_is("currency", currency))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import document_text
@@ -131,16 +131,27 @@ def store_count(store: DataFrame) -> int:
     return store.count()
 
 
+def in_days(when: Column, start: str, end: str) -> Column:
+    """Whether a text that begins with an ISO date falls on the days from ``start`` to ``end``.
+
+    Nothing sorts between the texts that begin with a day and that day with its last
+    character raised by one, which is no digit if it was 9.
+    """
+    first, last = start[:10], end[:10]
+    if not last:
+        return when >= first
+    return (when >= first) & (when < last[:-1] + chr(ord(last[-1]) + 1))
+
+
 def sync_range(
     spark: SparkSession, path: str, incidents: DataFrame, start: str, end: str, embed: Embedder
 ) -> DataFrame:
     """Add the incidents resolved from the day ``start`` to the day ``end`` (both included) and report.
 
-    ``resolved_at`` holds ISO dates as text, with or without a time, so the order of their
-    first ten characters is the order of days.
+    ``resolved_at`` holds ISO dates as text, with or without a time, so the order of texts is
+    the order of days; the range is asked of the column as it is, so that it prunes files.
     """
-    day = F.substring("resolved_at", 1, 10)
-    chosen = drop_blank_ids(incidents.where(day.between(start[:10], end[:10])))
+    chosen = drop_blank_ids(incidents.where(in_days(F.col("resolved_at"), start, end)))
     docs = materialise(store_documents(chosen), "chosen")
     added = append_new(spark, path, docs, embed)
     return sync_report(spark, docs.count(), added)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from faultweave.schemas import TICKET
 from faultweave.session import materialise
+from faultweave.sources.arrays import read_array
 
 _STRICT = {"mode": "FAILFAST"}
 
@@ -17,8 +18,8 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "lines") -> DataFram
     """Tickets with ``seq``, their order. Text that is not such JSON is an error.
 
     ``lines`` reads one ticket per line in parallel; each must carry its own ``seq``.
-    ``array`` reads files that each hold one JSON array, a file per task, and numbers the
-    elements from 0 by file name and place.
+    ``array`` reads files that each hold one JSON array of objects, a large one by many
+    tasks, and numbers the elements from 0 by file name and place.
     """
     if fmt == "lines":
         schema = T.StructType([T.StructField("seq", T.LongType()), *TICKET.fields])
@@ -26,18 +27,13 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "lines") -> DataFram
         seq = F.when(F.col("seq").isNull(), F.raise_error(F.lit("a ticket has no seq"))).otherwise(F.col("seq"))
         return rows.withColumn("seq", seq)
     if fmt == "array":
-        parsed = F.from_json("value", T.ArrayType(TICKET), _STRICT)
-        tickets = F.when(
-            F.trim("value").startswith("[") & parsed.isNotNull(), parsed
-        ).otherwise(F.raise_error(F.lit("a ticket file holds no JSON array")))
-        files = spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_path").alias("_file"), tickets.alias("_tickets")
-        )
-        files = materialise(files, "ticket-files")
+        objects = read_array(spark, path)
+        sizes = objects.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
         # one row per file
-        earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-        before = F.coalesce(F.sum(F.size("_tickets")).over(earlier), F.lit(0))
-        starts = files.select("_file", before.cast("long").alias("_before"))
-        each = files.select("_file", F.posexplode("_tickets").alias("_place", "t"))
-        return each.join(starts, "_file").select((F.col("_before") + F.col("_place")).alias("seq"), "t.*")
+        earlier = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")
+        starts = materialise(sizes.select("file", before.alias("_before")), "array-files")
+        ticket = F.from_json("text", TICKET, _STRICT).alias("t")
+        placed = objects.join(starts, "file").select((F.col("_before") + F.col("element")).alias("seq"), ticket)
+        return placed.select("seq", "t.*")
     raise ValueError(f"unknown ticket format {fmt!r}")

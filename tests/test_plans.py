@@ -355,3 +355,8 @@ def test_stream_equals_batch(spark, known):
     streamed = spark.read.option("basePath", out).parquet(out).drop("batch_id")
     expected = investigate(batch, known)
     assert sorted(map(str, streamed.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_a_root_without_files_has_no_rows(spark, tmp_path):
+    rows = partitions.read_partition(spark, str(tmp_path), "2024-01-01", "EUR")
+    assert rows.columns == ["date", "currency"] and rows.count() == 0

@@ -163,3 +163,15 @@ def test_only_new_rows_are_embedded(spark):
     store.append_new(spark, path, rows.where("seq < 15"), lambda t: count(t))
     store.append_new(spark, path, rows, lambda t: count(t))
     assert seen.value == 20
+
+
+def test_sync_days_reach_the_files(spark):
+    path = scratch_path(spark, "dated")
+    days = [f"2024-{m:02d}-{d:02d}" for m in (1, 2) for d in range(1, 32)]
+    rows = [(f"{day}{time}",) for day in days for time in ("", " 00:00:00", "T23:59:59.9")]
+    spark.createDataFrame(rows, "resolved_at string").write.parquet(path)
+    read = spark.read.parquet(path).where(store.in_days(F.col("resolved_at"), "2024-01-09", "2024-01-19 12:00"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(resolved_at,2024-01-09), LessThan(resolved_at,2024-01" in plan
+    assert sorted({r[0][:10] for r in read.collect()}) == [f"2024-01-{d:02d}" for d in range(9, 20)]
+    assert read.count() == 33
