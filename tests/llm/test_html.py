@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -37,7 +38,25 @@ CASES = [
     ("<table><tr><th>Name<th>N<tr><td>Al B<td>10<td>z<tr><td>x</table>", "Name  N\nAl B  10  z\nx"),
     ("<table><tr><td>a<br>b<td>c</table>after", "a  c\nb\n\nafter"),
     ("x<script>var t='</p>'</script><style>p{}</style><!-- no > -->y", "xy"),
-    ("<div hidden>no</div><p style='display: none'>no<p>yes<span aria-hidden=true>no</span>", "yes"),
+    ("<div hidden>no</div><p style='display: none'>no<p>yes", "yes"),
+    # hidden from assistive technology only
+    ('Price <span aria-hidden="true">$12</span>', "Price $12"),
+    ("a <select><option>one<option selected>two</select> b", "a two b"),
+    ("<select><option>first<option>second</select>", "first"),
+    ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+    ("<textarea>\n a &lt; b\n  c</textarea>", " a < b\n  c"),
+    ("<xmp><b>&amp;</b></xmp>x", "<b>&amp;</b>\nx"),
+    ("<p title=it's>Visible one</p><p>It doesn't show</p><p>third</p>", "Visible one\n\nIt doesn't show\n\nthird"),
+    ("<ul><li>a" + "<span>" * 70 + "<li>b</ul>", "- a\n- b"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+    ("<p style='text-decoration-display: none'>a<p style='/* display:none */ color: red'>b", "a\n\nb"),
+    ("<p style='display:none; display:block'>a<p style='DISPLAY : NONE !important'>b", "a"),
+    ("<table><tr><th colspan=2>Both<th>C<tr><td>a<td>b<td>c</table>", "Both  C\na  b  c"),
+    ("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e</table>", "A  b  c\n   d  e"),
+    ("<table><tr><td colspan=3>wide title here<tr><td>1<td>2<td>3</table>", "wide title here\n1  2  3"),
+    ("<table><tr><td rowspan=0>x<td>1<tr><td>2<tr><td>3</table>", "x  1\n   2\n   3"),
+    ("a</>b</ x>c<!doctype y>d<?z?>e", "abcde"),
+    ("a < b <3 <", "a < b <3 <"),
     ("<pre>  a\n   b\n\nc</pre>", "  a\n   b\n\nc"),
     ("<title>t</title><body>1 < 2 &lt; 3", "1 < 2 < 3"),
     ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
@@ -64,6 +83,20 @@ def test_deep_and_broken_pages_end():
     assert len(visible_text("<td>a" * 5_000)) >= 5_000
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<i>" * 60_000 + "</p>" * 60_000 + "</b>" * 60_000, "<!--" * 250_000, "<a href=\"x" * 100_000]
+    + ["<ul><li>x" * 20_000, "<p><table><tr><td>" + "<i>" * 40_000 + "<div></div>" * 40_000, "x<b>y</b>" * 100_000]
+    + ["<table>" + "<tr><td>a<td>b" * 20_000 + "<tr><td>" + "long " * 50_000 + "</table>", "<title>" * 100_000]
+    + ["<table><tr>" + "<td rowspan=9999 colspan=999>x" * 300 + "<tr><td>y" * 300, "</" * 400_000, "<a b=c " * 100_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    started = time.process_time()
+    text = visible_text(page)
+    assert time.process_time() - started < 5
+    assert len(text) < 8 * len(page) + 4_000_000
+
+
 def test_whole_table(spark, sf_dir):
     pages = {r.page_id: r for r in table(spark, sf_dir, "pages").collect()}
     rows = dicts(op8_visible_text(spark, sf_dir))
