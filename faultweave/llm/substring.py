@@ -3,9 +3,9 @@
 Texts are cut at line ends and, since passages also stand inside lines, at sentence ends
 within them. Units are normalised (lower case, white space as one blank), hashed, and
 grouped over the whole corpus. Ranks are (doc_id, hash of the text, place); the occurrence
-of the lowest rank stays, all others are repeats. Repeats in a row in one document form a
-run, and runs of at least ``min_words`` words are removed; shorter ones, such as a common
-closing line alone, stay.
+of the lowest rank stays, all others are repeats, and repeats in a row in one document form
+a run. A line or paragraph that an earlier document holds is found by its sentences, since
+how a line is cut follows from the line alone; one without sentence ends is a unit itself.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql.window import Window
 from faultweave.llm.common import fresh
 from faultweave.session import materialise
 
-MIN_WORDS = 25
+#: Shorter runs stay, if a caller wants that; by default every repeat goes.
+MIN_WORDS = 1
 #: Units in memory at a time.
 CHUNK = 100_000
 

@@ -59,9 +59,27 @@ def test_inline_passages(spark):
     assert cleaned[5]["n_chars"] == len(cleaned[5]["text"])
 
 
-def test_short_repeats_stay(spark):
+def test_short_repeats_go_unless_asked_otherwise(spark):
     rows = [(i, f"Unique words {i} here {i * 7}. All rights reserved.", "a") for i in range(20)]
-    assert repeated_passages(documents(spark, rows)).count() == 0
+    found = repeated_passages(documents(spark, rows))
+    assert got(found) == brute([r[:2] for r in rows]) and found.count() == 19
+    assert repeated_passages(documents(spark, rows), min_words=25).count() == 0
+
+
+def test_sentences_find_lines_and_paragraphs(spark, sf_dir):
+    """What whole lines or paragraphs repeat lies in the runs that sentences give."""
+    docs = table(spark, sf_dir, "documents")
+    inside = {}
+    for r in dicts(repeated_passages(docs)):
+        inside.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for unit in ("line", "paragraph"):
+        for r in dicts(repeated_passages(docs, unit=unit)):
+            kept = list(texts[r["doc_id"]][r["start"] : r["end"]])
+            for start, end in inside[r["doc_id"]]:
+                low, high = max(start - r["start"], 0), max(end - r["start"], 0)
+                kept[low:high] = " " * len(kept[low:high])
+            assert not "".join(kept).strip()
 
 
 def test_whole_table(spark, sf_dir):
