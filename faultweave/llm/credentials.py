@@ -6,15 +6,17 @@ reported only in company:
 
 - ``login`` (a value named as user, client or key id) near a base secret, or near an
   ``opaque`` and an ``endpoint``;
-- ``opaque`` (20 or more characters of all of A-Z, a-z, 0-9 outside base spans) near an
-  ``access``, or near a ``login`` and an ``endpoint``;
+- ``opaque`` (20 or more characters of all of A-Z, a-z, 0-9 that no other span touches) near
+  an ``access``, or near a ``login`` and an ``endpoint``;
 - ``endpoint`` (a URL of a service or database, or a named host) near an identifier and a
   secret of any strength.
 
-Near means: in one scope (blank lines part scopes) and starting at most ``reach`` code
-points apart. That interval join is a range window over the starts, so no pairs are made.
-All of it is DataFrame functions; positions are sums of the lengths that ``split`` and
-``regexp_extract_all`` leave.
+Near means: in one scope (blank lines part scopes), without overlap, and with at most
+``reach`` code points between them that no span covers, however long they and the spans
+between them are. That interval join is two running extremes over the ends and starts of all
+spans in order of place: the last end before a span's start and the first start after its
+end, for every kind; no pairs are made. All of it is DataFrame
+functions; positions are sums of the lengths that ``split`` and ``regexp_extract_all`` leave.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from faultweave.session import materialise
 
 #: The order of the kinds, their patterns, and what a match must hold to count.
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_URL = r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"'<>]+"""
 KINDS: dict[str, str] = {
     "assign": _ASSIGN,
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
     "login": r"""(?i)(?:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""",
     "opaque": r"[A-Za-z0-9+/_=-]{20,}",
-    "endpoint": r"""(?i)(?:(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]+)""",
+    "endpoint": rf"""(?i)(?:{_URL}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?(?:{_URL}|[A-Za-z0-9._-]+))""",
     "scope": r"\n[\x20\x09\x0B-\x0D]*\n\s*",
 }
 BASE = ("assign", "access", "hex")
@@ -90,26 +93,42 @@ def credential_spans(docs: DataFrame, text_col: str = "text", reach: int = REACH
     )
 
     number = {k: i for i, k in enumerate(KINDS)}
-    along = Window.partitionBy("text_key").orderBy("start", "rank")
+    is_kind = lambda *kinds: F.col("rank").isin([number[k] for k in kinds])
+    # of spans that begin together the opaque one comes last, so that it sees the others
+    along = Window.partitionBy("text_key").orderBy("start", is_kind("opaque"), "rank")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
-    is_base = F.col("rank") <= number["hex"]
-    scoped = placed.withColumn("scope", F.sum((F.col("rank") == number["scope"]).cast("int")).over(so_far)).withColumn(
-        "covered", F.max(F.when(is_base, F.col("end"))).over(so_far)
-    )
-    scoped = scoped.where(F.col("rank") != number["scope"])
-    scoped = scoped.where((F.col("rank") != number["opaque"]) | F.col("covered").isNull() | (F.col("covered") <= F.col("start")))
-    near = Window.partitionBy("text_key", "scope").orderBy("start").rangeBetween(-reach, reach)
-
-    def some(*kinds: str) -> Column:
-        return F.max(F.col("rank").isin([number[k] for k in kinds])).over(near)
-
-    judged = scoped.select(
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    clear = ~is_kind("opaque", "scope")
+    scoped = placed.select(
         "*",
-        some("assign", "hex").alias("secret"),
-        some("access").alias("access"),
-        some("login").alias("login"),
-        some("opaque").alias("opaque"),
-        some("endpoint").alias("endpoint"),
+        F.sum(is_kind("scope").cast("int")).over(so_far).alias("scope"),
+        F.max(F.when(clear, F.col("end"))).over(so_far).alias("covered"),
+        F.min(F.when(clear, F.col("start"))).over(later).alias("next"),
+    )
+    touched = (F.coalesce("covered", F.lit(0)) > F.col("start")) | (F.col("next") < F.col("end"))
+    scoped = scoped.where(~is_kind("scope") & ~(is_kind("opaque") & F.coalesce(touched, F.lit(False))))
+
+    places = F.array(*[F.struct(F.col(c).alias("at"), F.lit(c == "start").alias("starts")) for c in ("start", "end")])
+    events = scoped.select("text_key", "scope", "rank", "start", "end", F.explode(places).alias("e"))
+    # an end comes before a start at the same place
+    by_place = Window.partitionBy("text_key", "scope").orderBy("e.at", "e.starts")
+    # how many code points before each end or start no span covers
+    is_open = F.sum(F.when(F.col("e.starts"), 1).otherwise(-1)).over(by_place.rowsBetween(Window.unboundedPreceding, -1)) > 0
+    step = F.when(~is_open, F.col("e.at") - F.lag("e.at").over(by_place))
+    events = events.withColumn("step", F.coalesce(step, F.lit(0)))
+    events = events.withColumn("free", F.sum("step").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    before = by_place.rangeBetween(Window.unboundedPreceding, 0)
+    after = by_place.rangeBetween(0, Window.unboundedFollowing)
+    groups = {"secret": ("assign", "hex"), "access": ("access",), "login": ("login",), "opaque": ("opaque",), "endpoint": ("endpoint",)}
+    sides = []
+    for name, kinds in groups.items():
+        last_end = F.max(F.when(is_kind(*kinds) & ~F.col("e.starts"), F.col("free"))).over(before)
+        first_start = F.min(F.when(is_kind(*kinds) & F.col("e.starts"), F.col("free"))).over(after)
+        gap = F.when(F.col("e.starts"), F.col("free") - last_end).otherwise(first_start - F.col("free"))
+        sides.append((gap <= reach).alias(name))
+    judged = events.select("text_key", "rank", "start", "end", *sides)
+    judged = judged.groupBy("text_key", "rank", "start", "end").agg(
+        *[F.coalesce(F.bool_or(name), F.lit(False)).alias(name) for name in groups]
     )
     kept = (
         (F.col("rank") <= number["hex"])

@@ -14,7 +14,7 @@ kinds(rank, kind, pattern) AS (VALUES
   (2, 'hex', '[0-9a-f]+'),
   (3, 'login', '(?i)(?:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id|key_?id)["'']?\x20*[:=]\x20*["'']?[a-z0-9@._-]{4,}'),
   (4, 'opaque', '[A-Za-z0-9+/_=-]+'),
-  (5, 'endpoint', '(?i)(?:(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"''<>]+|(?:host|endpoint|server)["'']?\x20*[:=]\x20*["'']?[a-z0-9._-]+)'),
+  (5, 'endpoint', '(?i)(?:(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"''<>]+|(?:host|endpoint|server)["'']?\x20*[:=]\x20*["'']?(?:(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"''<>]+|[a-z0-9._-]+))'),
   (6, 'scope', '\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*')
 ),
 cut AS (
@@ -27,23 +27,42 @@ parts AS (
 placed AS (
   SELECT row, rank, kind, pattern, m, sum(length(gap) + length(m)) OVER (PARTITION BY row, rank ORDER BY i) AS stop FROM parts
 ),
-spans AS (
+spans AS MATERIALIZED (
   SELECT row, rank, kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM placed
   WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, pattern, 2)) >= 6
     WHEN 'access' THEN length(m) >= 20 WHEN 'hex' THEN length(m) >= 24
     WHEN 'opaque' THEN length(m) >= 20 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')
     ELSE TRUE END
 ),
-scoped AS (
-  SELECT *, sum((rank = 6)::INT) OVER w AS scope, max(CASE WHEN rank <= 2 THEN stop END) OVER w AS covered
-  FROM spans WINDOW w AS (PARTITION BY row ORDER BY start, rank ROWS UNBOUNDED PRECEDING)
+scoped AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT *, count(*) FILTER (WHERE rank = 6) OVER (PARTITION BY row ORDER BY start, rank = 6 DESC ROWS UNBOUNDED PRECEDING) AS scope FROM spans
+  ) s
+  WHERE rank <> 6 AND (row, rank, start) NOT IN (
+    SELECT (o.row, o.rank, o.start) FROM spans o JOIN spans c ON o.row = c.row WHERE o.rank = 4 AND c.rank NOT IN (4, 6) AND c.start < o.stop AND o.start < c.stop)
+),
+taken AS MATERIALIZED (SELECT row, p, row_number() OVER (PARTITION BY row ORDER BY p) AS n FROM (SELECT DISTINCT row, unnest(range(start, stop)) AS p FROM scoped)),
+free AS MATERIALIZED (
+  SELECT row, rank, start, stop, scope, start - min(n) + 1 AS free_start, stop - max(n) AS free_stop
+  FROM (SELECT row, rank, start, stop, scope, unnest([start, stop - 1]) AS p FROM scoped) s JOIN taken USING (row, p)
+  GROUP BY row, rank, start, stop, scope
+),
+tags(rank, g) AS (VALUES (0, 'secret'), (2, 'secret'), (1, 'access'), (3, 'login'), (4, 'opaque'), (5, 'endpoint')),
+tagged AS (SELECT * FROM free JOIN tags USING (rank)),
+wanted AS (SELECT free.*, k.g FROM free, (SELECT DISTINCT g FROM tags) k),
+pairs AS (
+  SELECT a.row, a.rank, a.start, a.stop, a.g FROM wanted a ASOF JOIN tagged b
+    ON a.row = b.row AND a.scope = b.scope AND a.g = b.g AND a.start >= b.stop WHERE a.free_start - b.free_stop <= 300
+  UNION ALL
+  SELECT a.row, a.rank, a.start, a.stop, a.g FROM wanted a ASOF JOIN tagged b
+    ON a.row = b.row AND a.scope = b.scope AND a.g = b.g AND a.stop <= b.start WHERE b.free_start - a.free_stop <= 300
 ),
-judged AS (
-  SELECT *, bool_or(rank IN (0, 2)) OVER w AS secret, bool_or(rank = 1) OVER w AS access, bool_or(rank = 3) OVER w AS login,
-    bool_or(rank = 4) OVER w AS opaque, bool_or(rank = 5) OVER w AS endpoint
-  FROM scoped WHERE rank <> 6 AND (rank <> 4 OR covered IS NULL OR covered <= start)
-  WINDOW w AS (PARTITION BY row, scope ORDER BY start RANGE BETWEEN 300 PRECEDING AND 300 FOLLOWING)
+near AS (
+  SELECT row, rank, start, stop, bool_or(g = 'secret') AS secret, bool_or(g = 'access') AS access, bool_or(g = 'login') AS login,
+    bool_or(g = 'opaque') AS opaque, bool_or(g = 'endpoint') AS endpoint
+  FROM pairs GROUP BY row, rank, start, stop
 ),
+judged AS (SELECT * FROM scoped LEFT JOIN near USING (row, rank, start, stop)),
 kept AS (
   SELECT *, kind || ':' || start || ':' || stop AS said FROM judged
   WHERE rank <= 2 OR (rank = 3 AND (secret OR (opaque AND endpoint))) OR (rank = 4 AND (access OR (login AND endpoint)))
