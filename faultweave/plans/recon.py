@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultweave.operators.skew import skewed_join
+
 
 def pending_accounts(schedule: DataFrame, date: str | None = None) -> DataFrame:
     """Accounts with a pending entry, per day or for one day."""
@@ -14,16 +16,19 @@ def pending_accounts(schedule: DataFrame, date: str | None = None) -> DataFrame:
     return pending.select("account_id", "sched_date").distinct()
 
 
-def reconcile(schedule: DataFrame, trades: DataFrame, date: str | None = None) -> DataFrame:
+def reconcile(schedule: DataFrame, trades: DataFrame, date: str | None = None, skewed: bool = False) -> DataFrame:
     """The trades of accounts that are pending on the trade's day, for one day or for all.
 
-    One semi join in place of a query per account.
+    One semi join in place of a query per account. With ``skewed``, accounts with very many
+    trades on a day are found and dealt first.
     """
     pending = pending_accounts(schedule, date)
     due = pending.withColumnRenamed("sched_date", "trade_date")
     if date is not None:
         trades = trades.where(F.col("trade_date") == F.lit(date).cast("date"))
-    return trades.join(due, ["account_id", "trade_date"], "left_semi").select(
+    keys = ["account_id", "trade_date"]
+    matched = skewed_join(trades, due, keys, "left_semi", spread=["trade_id"]) if skewed else trades.join(due, keys, "left_semi")
+    return matched.select(
         "trade_id",
         "account_id",
         F.col("trade_date").alias("recon_date"),

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultweave.operators.skew import skewed_join
 
-def positions_with_factors(positions: DataFrame, factors: DataFrame) -> DataFrame:
-    """Each position with each of its instrument's risk factors, or with none."""
+
+def positions_with_factors(positions: DataFrame, factors: DataFrame, skewed: bool = False) -> DataFrame:
+    """Each position with each of its instrument's risk factors, or with none.
+
+    With ``skewed``, instruments that very many positions hold are found and dealt first.
+    """
+    if skewed:
+        return skewed_join(positions, factors, ["instrument_id"], "left", spread=["position_id"])
     return positions.join(factors, "instrument_id", "left")
 
 

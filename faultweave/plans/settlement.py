@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions.failure import job_status
+from faultweave.operators.skew import skewed_join
 
 
 def settlement_totals(netting: DataFrame) -> DataFrame:
@@ -18,12 +19,13 @@ def settlement_totals(netting: DataFrame) -> DataFrame:
     )
 
 
-def predecessor_gate(jobs: DataFrame, statuses: DataFrame, strict: bool = False) -> DataFrame:
+def predecessor_gate(jobs: DataFrame, statuses: DataFrame, strict: bool = False, skewed: bool = False) -> DataFrame:
     """Add predecessor_status, go and exit_code to jobs.
 
     ``statuses`` has one row per job with its status text; a job without a row is not
     found. A held or ended predecessor blocks with code 2; ``strict`` lets only a
-    completed one pass and blocks with code 1.
+    completed one pass and blocks with code 1. With ``skewed``, predecessors that very many
+    jobs wait for are found and dealt first.
     """
     states = statuses.select(F.col("job").alias("predecessor"), job_status(F.col("status_text")).alias("_state"))
     status = F.coalesce("_state", F.lit("NOTFOUND"))
@@ -33,7 +35,9 @@ def predecessor_gate(jobs: DataFrame, statuses: DataFrame, strict: bool = False)
     else:
         go = ~status.isin("HOLD", "ABEND")
         code = 2
-    return jobs.join(states, "predecessor", "left").select(
+    keys = ["predecessor"]
+    both = skewed_join(jobs, states, keys, "left") if skewed else jobs.join(states, keys, "left")
+    return both.select(
         *[c for c in jobs.columns],
         status.alias("predecessor_status"),
         go.alias("go"),

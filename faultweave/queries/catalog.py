@@ -28,7 +28,7 @@ from faultweave.sources import logs as log_source
 from faultweave.sources import scripts as script_source
 from faultweave.sources import tickets as ticket_source
 from faultweave.streaming.incidents import investigate_stream
-from faultweave.streaming.store import store_stream
+from faultweave.streaming.store import store_stream, store_stream_by_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -704,6 +704,12 @@ def reconcile_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("recon_date", _str("recon_date")).withColumn("amount", _num("amount", 2))
 
 
+@query
+def reconcile_trades_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recon.reconcile(v.trade_schedule(spark, sf_dir), v.trades(spark, sf_dir), skewed=True)
+    return rows.withColumn("recon_date", _str("recon_date")).withColumn("amount", _num("amount", 2))
+
+
 @query
 def reconcile_trades_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recon.reconcile(v.trade_schedule(spark, sf_dir), v.trades(spark, sf_dir), "1997-05-28")
@@ -711,19 +717,29 @@ def reconcile_trades_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def positions_with_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = risk.positions_with_factors(v.positions(spark, sf_dir), v.risk_factors(spark, sf_dir))
+def positions_with_factors(spark: SparkSession, sf_dir: str, skewed: bool = False) -> DataFrame:
+    rows = risk.positions_with_factors(v.positions(spark, sf_dir), v.risk_factors(spark, sf_dir), skewed)
     return rows.select(
         "position_id", "instrument_id", "portfolio_id", _num("notional_value", 2).alias("notional_value"),
         _str("risk_weight").alias("risk_weight"),
     )
 
 
+@query
+def positions_with_factors_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions_with_factors(spark, sf_dir, skewed=True)
+
+
 @query
 def predecessor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.predecessor_gate(v.waiting_jobs(spark, sf_dir), v.statuses(spark, sf_dir))
 
 
+@query
+def predecessor_gate_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settlement.predecessor_gate(v.waiting_jobs(spark, sf_dir), v.statuses(spark, sf_dir), skewed=True)
+
+
 @query
 def predecessor_gate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.predecessor_gate(v.waiting_jobs(spark, sf_dir), v.statuses(spark, sf_dir), strict=True)
@@ -800,6 +816,14 @@ def key_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("instrument_id", "n", _num("share", 9).alias("share"))
 
 
+@query
+def heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of status and priority that at least a fiftieth of all orders have."""
+    orders = v.table(spark, sf_dir, "orders")
+    pairs = skew.heavy_keys(orders, ["o_orderstatus", "o_orderpriority"], 0.02)
+    return pairs.withColumn("share", _num("share", 9))
+
+
 @query
 def largest_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = skew.largest_share(v.positions(spark, sf_dir), "currency_code")
@@ -1161,3 +1185,29 @@ def store_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     store_stream(feed, path, vectors.md5_embedding, state).awaitTermination()
     return _flat_store(store.read_store(spark, path))
+
+
+@query
+def store_feed_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export as a stream, then all of it again under another resolver, which adds nothing."""
+    inbox, path, state = (scratch_path(spark, n) for n in ("feed", "store", "stream"))
+    export = v.export(spark, sf_dir)
+    export.write.parquet(f"{inbox}/part=1")
+    export.withColumn("RESOLVED_BY", F.lit("again")).write.parquet(f"{inbox}/part=2")
+    for part in (1, 2):
+        # the same checkpoint, so the second run knows the ids of the first
+        feed = spark.readStream.schema(export.schema).option("recursiveFileLookup", True).parquet(inbox if part == 2 else f"{inbox}/part=1")
+        store_stream_by_state(feed, path, vectors.md5_embedding, state).awaitTermination()
+    return _flat_store(store.read_store(spark, path))
+
+
+@query
+def sync_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incidents up to a day, then all, then all again: three reports."""
+    path, marks = scratch_path(spark, "store"), scratch_path(spark, "marks")
+    incidents = exports.resolve_headers(v.export(spark, sf_dir))
+    reports = [
+        store.sync_since(spark, path, incidents, vectors.md5_embedding, marks, until).withColumn("run", F.lit(run))
+        for run, until in enumerate((SYNC_TO, None, None))
+    ]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])

@@ -538,6 +538,9 @@ _BODIES: dict[str, str] = {
     "key_skew": """
         SELECT instrument_id, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM positions), 9) AS share
         FROM positions GROUP BY instrument_id""",
+    "heavy_keys": """
+        SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM orders), 9) AS share
+        FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) >= 0.02 * (SELECT count(*) FROM orders)""",
     "largest_share": """
         SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows, round(CAST(max(n) AS DOUBLE) / sum(n), 9) AS max_share
         FROM (SELECT currency_code, count(*) AS n FROM positions GROUP BY currency_code) k""",
@@ -652,5 +655,15 @@ _BODIES["history_search_indexed_jobs"] = _BODIES["history_search_many_jobs"]
 _BODIES["ticket_match_posted"] = _BODIES["ticket_match"]
 _BODIES["ticket_match_many_words"] = _BODIES["ticket_match_words"]
 _BODIES["investigate_indexed_stream"] = _INVESTIGATION
+_BODIES["store_feed_by_state"] = _flat_store("resolved_by")
+_BODIES["sync_since"] = f"""
+    SELECT 0 AS run, CASE WHEN count(*) > 0 THEN 'synced' ELSE 'no tickets found' END AS status, count(*) AS tickets_added,
+      count(*) AS rows_added FROM store_docs WHERE resolved_at <= '{SYNC_TO}'
+    UNION ALL
+    SELECT 1, CASE WHEN count(*) > 0 THEN 'synced' ELSE 'no tickets found' END, count(*), count(*)
+      FROM store_docs WHERE resolved_at > (SELECT max(resolved_at) FROM store_docs WHERE resolved_at <= '{SYNC_TO}')
+    UNION ALL SELECT 2, 'no tickets found', 0, 0"""
+for _name in ("reconcile_trades", "positions_with_factors", "predecessor_gate"):
+    _BODIES[f"{_name}_skewed"] = _BODIES[_name]
 
 ORACLE: dict[str, str] = {name: _with(body) for name, body in _BODIES.items()}

@@ -10,6 +10,7 @@ from faultweave.functions.vectors import Embedder
 from faultweave.schemas import STORE, STORE_ATTRIBUTES
 from faultweave.session import materialise, path_exists
 from faultweave.sources.exports import drop_blank_ids
+from faultweave.sources.vectors import embed_kept
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
@@ -53,7 +54,8 @@ def recreate(spark: SparkSession, path: str) -> None:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORE).parquet(path)
+    # a store that a stream wrote has a folder for each batch
+    return spark.read.schema(STORE).parquet(path).select(*STORE.fieldNames())
 
 
 def not_yet_stored(docs: DataFrame, store: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -86,6 +88,7 @@ def append_new(
     embed: Embedder | None = None,
     repeats: str = "error",
     dim: int | None = None,
+    vectors: str | None = None,
 ) -> int:
     """Add the rows whose id the store does not have, and return how many those were.
 
@@ -95,7 +98,8 @@ def append_new(
     ``docs`` are an error, or with ``repeats="first"`` the row with the smallest ``seq`` is
     taken. A missing id is an error, and so is a vector without ``dim`` values; by default
     these are as many as the stored vectors have, or the first new one. A second run over
-    the same rows adds nothing, so a lost run may be repeated.
+    the same rows adds nothing, so a lost run may be repeated. ``vectors`` is the path of
+    vectors kept by text (``sources.vectors``): a text that is there is not embedded again.
     """
     ids = materialise(docs.select("id"), "ids")
     if ids.where("id IS NULL").limit(1).count():
@@ -108,7 +112,9 @@ def append_new(
         recreate(spark, path)
     stored = read_store(spark, path)
     new = not_yet_stored(docs, stored, ids)
-    if embed:
+    if embed and vectors:
+        new = embed_kept(new, "document", embed, vectors)
+    elif embed:
         new = new.withColumn("embedding", embed(F.col("document")))
     if dim is None:
         dim = _width_of_first(stored) or _width_of_first(new)
@@ -157,6 +163,34 @@ def sync_range(
     return sync_report(spark, docs.count(), added)
 
 
+_MARK = "mark string, rows long"
+
+
+def sync_since(
+    spark: SparkSession, path: str, incidents: DataFrame, embed: Embedder, marks: str, until: str | None = None
+) -> DataFrame:
+    """Add the incidents resolved after the last sync, up to the day ``until``, and report.
+
+    The greatest ``resolved_at`` that was synced is kept at ``marks``; only later ones are
+    read, so a repeated sync is empty. The mark is written after the rows, so a lost run is
+    done again. Incidents that are entered late, with a time before the mark, need
+    :func:`sync_range`.
+    """
+    known = path_exists(spark, marks)
+    mark = spark.read.schema(_MARK).parquet(marks).agg(F.max("mark")).first()[0] if known else None
+    when = F.col("resolved_at")
+    if mark is not None:
+        incidents = incidents.where(when > mark)
+    if until is not None:
+        incidents = incidents.where(in_days(when, "", until))
+    docs = materialise(store_documents(drop_blank_ids(incidents)), "chosen")
+    handed_in, newest = docs.agg(F.count(F.lit(1)), F.max("resolved_at")).first()
+    added = append_new(spark, path, docs, embed) if handed_in else 0
+    if newest:
+        spark.createDataFrame([(newest, handed_in)], _MARK).write.mode("append").parquet(marks)
+    return sync_report(spark, handed_in, added)
+
+
 def sync_report(spark: SparkSession, handed_in: int, added: int) -> DataFrame:
     """status, the rows handed in, and of those the rows that were new."""
     status = "synced" if handed_in else "no tickets found"

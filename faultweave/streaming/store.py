@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from faultweave.functions.vectors import Embedder
+from faultweave.schemas import STORE
 from faultweave.session import dropping_tables
 from faultweave.sources.exports import drop_blank_ids, resolve_headers
 from faultweave.sources.store import append_new, store_documents
@@ -29,3 +35,57 @@ def store_stream(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def _first_rows(keep: timedelta | None):
+    """The row of an id that has no state, the one with the smallest place; the id is then remembered."""
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        least = None
+        for part in parts:
+            row = part.nsmallest(1, "seq") if "seq" in part and part["seq"].notna().any() else part.head(1)
+            if least is None or ("seq" in row and row["seq"].iloc[0] < least["seq"].iloc[0]):
+                least = row
+        if not state.exists and least is not None:
+            yield least
+        state.update((True,))
+        if keep:
+            state.setTimeoutDuration(int(keep.total_seconds() * 1000))
+
+    return first
+
+
+def store_stream_by_state(
+    feed: DataFrame,
+    path: str,
+    embed: Embedder,
+    checkpoint: str,
+    keep: timedelta | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Add a feed to a store of its own at ``path`` without ever reading that store.
+
+    The state of the stream knows all ids, or with ``keep`` those of that time, so an id that
+    the feed repeats is added once: its first row, and inside a batch the one with the
+    smallest ``seq``. Ids can only be forgotten by a stream that goes on. A batch owns the folder ``batch_id=<n>`` and overwrites it; its input
+    and state are in the checkpoint, so a repeated batch leaves the same rows.
+    """
+    if keep and available_now:
+        raise ValueError("a run that ends cannot forget ids after a time")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout
+    docs = store_documents(drop_blank_ids(resolve_headers(feed)))
+    first = docs.groupBy("id").applyInPandasWithState(
+        _first_rows(keep), docs.schema, "seen boolean", "append", timeout
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("embedding", embed(batch["document"])).select(*STORE.fieldNames())
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = first.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -5,11 +5,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from faultweave.functions.vectors import md5_embedding
+from faultweave.functions.vectors import encoder_embedding, md5_embedding
 from faultweave.schemas import STORE
 from faultweave.session import dropping_tables, materialise, scratch_path
 from faultweave.sources import exports, store
-from faultweave.streaming.store import store_stream
+from faultweave.sources.vectors import embed_kept
+from faultweave.streaming.store import store_stream, store_stream_by_state
 
 
 def docs(spark, rows):
@@ -175,3 +176,64 @@ def test_sync_days_reach_the_files(spark):
     assert "GreaterThanOrEqual(resolved_at,2024-01-09), LessThan(resolved_at,2024-01" in plan
     assert sorted({r[0][:10] for r in read.collect()}) == [f"2024-01-{d:02d}" for d in range(9, 20)]
     assert read.count() == 33
+
+
+def test_a_text_is_embedded_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def make_encoder():
+        import uuid
+
+        import numpy as np
+
+        def encode(texts):
+            (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return encode
+
+    def asked():
+        return sorted(t for f in calls.iterdir() for t in f.read_text().split("\n"))
+
+    embed, path = encoder_embedding(make_encoder, normalise=False), f"{tmp_path}/vectors"
+    first = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id long, t string")
+    rows = embed_kept(first, "t", embed, path, owner="0").collect()
+    assert len(rows) == 30 and all(r.embedding == [6.0, 1.0] for r in rows) and asked() == ["text 0", "text 1", "text 2"]
+    more = spark.createDataFrame([(1, "text 1"), (2, "new"), (3, "new")], "id long, t string")
+    for _ in range(2):  # known texts are read, and so are those of a call that is done again by another owner
+        assert {r.t: r.embedding for r in embed_kept(more, "t", embed, path).collect()} == {"text 1": [6.0, 1.0], "new": [3.0, 1.0]}
+    assert asked() == ["new", "text 0", "text 1", "text 2"]
+    assert embed_kept(first.limit(0), "t", embed, path).count() == 0
+
+
+def test_append_with_kept_vectors(spark, tmp_path):
+    rows = store.store_documents(docs(spark, [("a", "1", "", 0), ("b", "2", "", 1)]))
+    plain, kept = scratch_path(spark, "plain"), scratch_path(spark, "kept")
+    store.append_new(spark, plain, rows, md5_embedding)
+    for _ in range(2):
+        store.append_new(spark, kept, rows, md5_embedding, vectors=f"{tmp_path}/vectors")
+    read = lambda path: sorted(map(str, store.read_store(spark, path).collect()))
+    assert read(plain) == read(kept)
+
+
+def test_sync_since_reads_only_what_is_new(spark):
+    path, marks = scratch_path(spark, "store"), scratch_path(spark, "marks")
+    rows = [("a", "2024-01-01"), ("b", "2024-01-31 10:00"), ("", "2024-01-05")]
+    make = lambda rows: spark.createDataFrame(rows, "ticket_id string, resolved_at string")
+    sync = lambda rows: tuple(store.sync_since(spark, path, make(rows), md5_embedding, marks).first())
+    assert sync(rows) == ("synced", 2, 2)
+    assert sync(rows) == ("no tickets found", 0, 0)
+    assert sync([*rows, ("c", "2024-01-31 10:01"), ("b", "2024-02-01")]) == ("synced", 2, 1)
+    assert sync(rows) == ("no tickets found", 0, 0)
+
+
+def test_feed_by_state_adds_an_id_once(spark):
+    inbox, path, state = (scratch_path(spark, n) for n in ("inbox", "store", "state"))
+    schema = "INCIDENT_ID string, SUMMARY string, seq long"
+    batches = [[("a", "x", 1), ("a", "first", 0), ("", "y", 2), ("b", "z", 3)], [("a", "later", 9), ("c", "w", 4)], [("c", "w2", 0)]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{inbox}/{k}")
+        feed = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(inbox)
+        store_stream_by_state(feed, path, md5_embedding, state).awaitTermination()
+    assert ids(spark, path) == [("a", "first"), ("b", "z"), ("c", "w")]
