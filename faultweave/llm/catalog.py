@@ -30,6 +30,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "word_bpe_49k.json"
 SHARDS = 8
+#: The session setting that holds the key of surrogates (Spark hides settings named "secret").
+SURROGATE_SETTING = "spark.faultweave.surrogates.secret"
+#: For the made-up tables only: anyone can read it here. Set the setting for real texts.
+PUBLIC_KEY = "made-up tables only"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    return spark.conf.get(SURROGATE_SETTING, PUBLIC_KEY)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +87,7 @@ def op8_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    replaced, count = surrogates.replace_personal_data(docs)
+    replaced, count = surrogates.replace_personal_data(docs, surrogate_key(spark))
     return replaced.select("doc_id", "text", F.col(count).alias("n_replaced"))
 
 

@@ -119,11 +119,17 @@ def _links(batches: Iterable[pa.RecordBatch], prefix_bits: int, reach: int) -> I
             continue
         used = np.bitwise_count((prints >> np.uint64(rest)) ^ np.uint64(begin)).astype("i8")
         low = prints & np.uint64((1 << rest) - 1)
-        found = list(_collisions(low, reach - used, np.arange(len(prints)), rest))
-        a, b = (np.concatenate([pair[k] for pair in found]) if found else np.zeros(0, "i8") for k in (0, 1))
-        near = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * reach
-        root = smallest_reachable(len(prints), a[near], b[near])
-        linked = np.flatnonzero(root != np.arange(len(prints)))
+        everyone = np.arange(len(prints))
+        root = everyone
+        for a, b in _collisions(low, reach - used, everyone, rest):
+            near = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * reach
+            a, b = a[near], b[near]
+            # pairs are folded into the forest as they come, so they are never all in memory
+            new = root[a] != root[b]
+            if new.any():
+                joined = smallest_reachable(len(prints), root[a[new]], root[b[new]])
+                root = joined[root]
+        linked = np.flatnonzero(root != everyone)
         if len(linked):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(prints[linked].view("i8")), pa.array(prints[root[linked]].view("i8"))], ["a", "b"]
