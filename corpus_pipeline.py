@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from faultweave.llm import mixing, packing, quality, simhash, surrogates
-from faultweave.llm.catalog import VOCABULARY
+from faultweave.llm.catalog import VOCABULARY, surrogate_key
 from faultweave.session import materialise
 
 #: Options of ``mixing.mix``: the mixture that orders the documents and their sequences.
@@ -24,8 +24,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts."""
-    replaced, count = surrogates.replace_personal_data(docs)
+    """Replace personal data in the texts, keyed by the session's setting."""
+    replaced, count = surrogates.replace_personal_data(docs, surrogate_key(spark))
     return replaced.drop(count)
 
 
