@@ -17,6 +17,7 @@ pieces within each length and looks their places up.
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import zlib
@@ -233,17 +234,51 @@ class WordIds:
     those of its words in a row; each different word of a chunk is coded once, and words
     are remembered. Texts with characters for which this is not plain (special tokens,
     control characters, rare spaces, letters beyond Latin, text not in NFC) are coded whole.
+    So are all texts where the file's settings are not those that ``known_settings`` states.
     """
 
     #: without these a text is plain and in NFC; U+0130 is lower-cased to two characters
     odd = r"<\||[^\t-\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]"
     split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
+    #: settings of a tokenizer file for which the way by words is right
+    known_settings = {
+        "normalizer": {
+            "type": "Sequence",
+            "normalizers": [
+                {"type": "NFC"},
+                {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+                {"type": "Lowercase"},
+            ],
+        },
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {
+                    "type": "Split",
+                    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                    "behavior": "Removed",
+                    "invert": True,
+                },
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
+
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
+        with open(vocabulary, encoding="utf-8") as file:
+            settings = json.load(file)
+        self.by_words = (
+            all(settings.get(name) == known for name, known in self.known_settings.items())
+            and all("<|" in token["content"] for token in settings.get("added_tokens") or ())
+            and settings["model"].get("type") == "BPE"
+            and not settings["model"].get("dropout")
+            and not (settings.get("truncation") or settings.get("padding"))
+        )
         self.symbols = _byte_symbols()
         self.known: dict[str, bytes] = {}
 
@@ -285,13 +320,18 @@ class WordIds:
         bounds = np.concatenate([[0], ends])[words.offsets.to_numpy()]
         return [flat[s:e] for s, e in zip(bounds, bounds[1:])]
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian 32-bit numbers."""
+        if not self.by_words:
+            return [self._whole(t) for t in texts]
         strings = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(strings, self.odd)
         found = iter(self._plain(strings.filter(pc.invert(odd))))
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if o else next(found)
+            self._whole(t) if o else next(found)
             for t, o in zip(texts, odd.to_pylist())
         ]
 

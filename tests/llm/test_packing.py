@@ -39,6 +39,15 @@ def test_ids_equal_the_tokenizers(word_ids, tokenizer, texts):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_code_texts_whole(name):
+    path = public_tokenizers.path(name)
+    texts = ["", "Plain words  here.", " 1,234 don't\n\nÀ la carte 東京", "x" * 5000]
+    other = Tokenizer.from_file(path)
+    assert not WordIds(path).by_words and WordIds(PATH).by_words
+    assert [i.tolist() for i in WordIds(path)(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def expand(runs, capacity):
     """Sequences as lists of (offset, length), and the numbers used of each length."""
     bins, used = defaultdict(list), defaultdict(list)
