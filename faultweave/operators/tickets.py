@@ -12,14 +12,13 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import or_empty
-from faultweave.operators.postings import posted_pairs, write_postings
+from faultweave.operators.postings import matcher, posted_pairs, write_postings
 from faultweave.operators.topk import ranked_array, top_k
 from faultweave.session import materialise, path_exists, scratch_path
 
@@ -28,17 +27,6 @@ FIRST_N = 3
 NAME_CHARS = 4 << 20
 
 
-def _matcher(names: list[str]) -> Callable[[str], set[str]]:
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for name in names:
-        machine.add_word(name, name)
-    machine.make_automaton()
-    hit = itemgetter(1)
-    return lambda text: set(map(hit, machine.iter(text)))
-
-
 def _worker_matcher(token: str, shared) -> Callable[[str], set[str]]:
     """The matcher of this pass, built once per Python worker.
 
@@ -47,7 +35,7 @@ def _worker_matcher(token: str, shared) -> Callable[[str], set[str]]:
     """
     place = sys.modules.setdefault("_ticket_matcher", types.ModuleType("_ticket_matcher"))
     if getattr(place, "token", None) != token:
-        place.token, place.find = token, _matcher(shared.value)
+        place.token, place.find = token, matcher(shared.value)
     return place.find
 
 

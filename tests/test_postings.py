@@ -63,3 +63,31 @@ def test_nothing_indexed(spark, tmp_path):
     postings.write_postings(spark.createDataFrame([], SCHEMA), f"{tmp_path}/empty")
     assert ticket_ops.posted_ticket_matches(asked, f"{tmp_path}/empty").count() == 0
     assert pairs(spark, ["a"], f"{tmp_path}/empty") == []
+
+
+def test_a_text_is_read_once_for_all_its_names(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"word{n:02d}" for n in range(40)), "", None) for i in range(30)]
+    path, written = f"{tmp_path}/postings", {}
+
+    def noted(df, name="table", keep=postings.materialise):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(postings, "materialise", noted)
+    postings.write_postings(spark.createDataFrame(rows, SCHEMA), path)
+    names = [f"word{n:02d}" for n in range(50)]
+    assert pairs(spark, names, path) == brute(names, rows)
+    assert written["candidates"].count() == 30
+    # a gram's texts come in lists, not as a row each
+    kept = spark.read.parquet(f"{path}/postings")
+    assert kept.count() == written["gram-lists"].count() < 30 * kept.select("gram").distinct().count() / 5
+
+
+def test_long_texts_and_slices_that_are_halved(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SLICE_CHARS", 50)
+    monkeypatch.setattr(postings, "NAMES_AT_A_TIME", 5)
+    monkeypatch.setattr(postings, "TEXTS_AT_A_TIME", 3)
+    rows, path = texts(7, 60) + [(60, "abc" * 40, "d", "é😀" * 30)], f"{tmp_path}/postings"
+    postings.write_postings(spark.createDataFrame(rows + [(None, "abc", "", "")], SCHEMA), path)
+    names = {t[1][i : i + n] for t in rows for i, n in ((0, 2), (1, 4), (2, 1)) if len(t[1]) >= 6}
+    assert pairs(spark, names, path) == brute(names, rows)
