@@ -7,6 +7,7 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,14 +45,20 @@ def _first_rows(keep: timedelta | None):
         if state.hasTimedOut:
             state.remove()
             return
+        known = state.exists
         least = None
-        for part in parts:
-            row = part.nsmallest(1, "seq") if "seq" in part and part["seq"].notna().any() else part.head(1)
+        # a known id needs no look at its rows; most ids have one row, which needs no comparison
+        for part in () if known else parts:
+            if len(part) == 1:
+                row = part
+            else:
+                row = part.nsmallest(1, "seq") if "seq" in part and part["seq"].notna().any() else part.head(1)
             if least is None or ("seq" in row and row["seq"].iloc[0] < least["seq"].iloc[0]):
                 least = row
-        if not state.exists and least is not None:
+        if least is not None:
             yield least
-        state.update((True,))
+        if not known:
+            state.update((True,))
         if keep:
             state.setTimeoutDuration(int(keep.total_seconds() * 1000))
 
@@ -77,9 +84,13 @@ def store_stream_by_state(
         raise ValueError("a run that ends cannot forget ids after a time")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout
     docs = store_documents(drop_blank_ids(resolve_headers(feed)))
-    first = docs.groupBy("id").applyInPandasWithState(
-        _first_rows(keep), docs.schema, "seen boolean", "append", timeout
+    # A group costs by its columns, so the texts travel as one.
+    texts = [c for c in docs.columns if c not in ("id", "seq")]
+    packed = docs.select("id", *(["seq"] if "seq" in docs.columns else []), F.array(*texts).alias("texts"))
+    first = packed.groupBy("id").applyInPandasWithState(
+        _first_rows(keep), packed.schema, "seen boolean", "append", timeout
     )
+    first = first.select("id", *[F.get("texts", F.lit(i)).alias(c) for i, c in enumerate(texts)])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("embedding", embed(batch["document"])).select(*STORE.fieldNames())

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from faultweave.schemas import STORE
 from faultweave.session import dropping_tables, materialise, scratch_path
 from faultweave.sources import exports, store
 from faultweave.sources.vectors import embed_kept
-from faultweave.streaming.store import store_stream, store_stream_by_state
+from faultweave.streaming.store import _first_rows, store_stream, store_stream_by_state
 
 
 def docs(spark, rows):
@@ -237,3 +238,17 @@ def test_feed_by_state_adds_an_id_once(spark):
         feed = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(inbox)
         store_stream_by_state(feed, path, md5_embedding, state).awaitTermination()
     assert ids(spark, path) == [("a", "first"), ("b", "z"), ("c", "w")]
+
+
+def test_known_ids_cost_no_look_at_their_rows():
+    class State:
+        hasTimedOut, exists, updates = False, False, 0
+
+        def update(self, value):
+            self.exists, self.updates = True, self.updates + 1
+
+    state, first = State(), _first_rows(None)
+    parts = [pd.DataFrame({"id": ["a"], "seq": [s]}) for s in (2, 1)]
+    assert [r["seq"].iloc[0] for r in first(("a",), iter(parts), state)] == [1]
+    left = iter(parts)
+    assert list(first(("a",), left, state)) == [] and len(list(left)) == 2 and state.updates == 1
