@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultweave.functions import failure, scoring, text, vectors
 from faultweave.operators import evidence, history, logs, postings, recommend, skew, topk, trace
@@ -1139,23 +1140,35 @@ def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _halves(rows: DataFrame, inbox: str, key: str) -> None:
+    """The rows as files in two folders, by a hash of ``key``: every task writes what it reads."""
+    rows.withColumn("half", F.pmod(F.hash(key), F.lit(2))).write.partitionBy("half").parquet(inbox)
+
+
+def _feed(spark: SparkSession, schema: T.StructType, inbox: str, half: int) -> DataFrame:
+    """A stream of the first half, or with the same checkpoint of what came after it: a batch each."""
+    path = inbox if half else f"{inbox}/half=0"
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 @query
 def investigate_incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same incidents as a file stream, in micro-batches."""
     inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "investigations", "stream"))
-    v.incidents(spark, sf_dir).repartition(2, "request_id").write.parquet(inbox)
+    incidents = v.incidents(spark, sf_dir)
+    _halves(incidents, inbox, "request_id")
     # Lookup tables are written once, not derived again for every micro-batch.
     known = v.knowledge(spark, sf_dir)
     path = scratch_path(spark, "store")
     known.store.write.parquet(path)
-    schema = spark.read.parquet(inbox).schema
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
 
     def look_up() -> investigate.Knowledge:
         return replace(known, store=store.read_store(spark, path))
 
     kept = scratch_path(spark, "kept-tickets")
-    investigate_stream(feed, look_up, out, state, kept_tickets=kept).awaitTermination()
+    for half in range(2):
+        feed = _feed(spark, incidents.schema, inbox, half)
+        investigate_stream(feed, look_up, out, state, kept_tickets=kept).awaitTermination()
     return _flat_investigation(spark.read.option("basePath", out).parquet(out))
 
 
@@ -1163,14 +1176,16 @@ def investigate_incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def investigate_indexed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stream; a batch reads the folders of its jobs, scripts and grams in kept indexes."""
     inbox, out, state = (scratch_path(spark, n) for n in ("inbox", "investigations", "stream"))
-    v.incidents(spark, sf_dir).repartition(2, "request_id").write.parquet(inbox)
+    incidents = v.incidents(spark, sf_dir)
+    _halves(incidents, inbox, "request_id")
     known = v.knowledge(spark, sf_dir)
     index, posted = scratch_path(spark, "index"), scratch_path(spark, "postings")
     history_index.write_index(known.store, index)
     postings.write_postings(ticket_ops.ticket_texts(known.tickets), posted)
-    feed = spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     look_up = lambda: replace(known, index=index, postings=posted)
-    investigate_stream(feed, look_up, out, state).awaitTermination()
+    for half in range(2):
+        feed = _feed(spark, incidents.schema, inbox, half)
+        investigate_stream(feed, look_up, out, state).awaitTermination()
     return _flat_investigation(spark.read.option("basePath", out).parquet(out))
 
 
@@ -1178,12 +1193,13 @@ def investigate_indexed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export as a stream into a store that already has the oom rows under another resolver."""
     inbox, path, state = (scratch_path(spark, n) for n in ("feed", "store", "stream"))
-    v.export(spark, sf_dir).repartition(2, "INCIDENT_DETAILS").write.parquet(inbox)
+    export = v.export(spark, sf_dir)
+    _halves(export, inbox, "INCIDENT_DETAILS")
     held = v.store(spark, sf_dir).where("failure_type = 'oom'").withColumn("resolved_by", F.lit("held"))
     held.write.parquet(path)
-    schema = spark.read.parquet(inbox).schema
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    store_stream(feed, path, vectors.md5_embedding, state).awaitTermination()
+    for half in range(2):
+        feed = _feed(spark, export.schema, inbox, half)
+        store_stream(feed, path, vectors.md5_embedding, state).awaitTermination()
     return _flat_store(store.read_store(spark, path))
 
 
