@@ -195,15 +195,36 @@ def _vectors(table: pa.Table, dim: int) -> np.ndarray:
 
 
 def _usable(table: pa.Table, dim: int) -> tuple[pa.Table, np.ndarray]:
-    """The rows whose vector has ``dim`` finite values, and the vectors."""
+    """The rows whose vector has ``dim`` finite values, and the vectors in their own precision."""
     table = table.filter(pc.equal(pc.list_value_length(table.column("embedding")), dim))
-    vectors = _vectors(table, dim)
+    column = table.column("embedding").combine_chunks()
+    vectors = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    table = table.drop_columns("embedding")
     finite = np.isfinite(vectors).all(axis=1)
     if finite.all():
         return table, vectors
     return table.filter(pa.array(finite)), vectors[finite]
 
 
+def _square_norms(vectors: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """The squared distances from the center, in double precision, a tile at a time."""
+    norms = np.empty(len(vectors))
+    step = max(1, TILE_VALUES // max(1, vectors.shape[1]))
+    for start in range(0, len(vectors), step):
+        shifted = vectors[start : start + step] - center
+        norms[start : start + step] = (shifted * shifted).sum(axis=1)
+    return norms
+
+
+def _shifted(vectors: np.ndarray, center: np.ndarray, kind: type) -> np.ndarray:
+    """The vectors around the center in the given precision, made a tile at a time."""
+    out = np.empty(vectors.shape, kind)
+    step = max(1, TILE_VALUES // max(1, vectors.shape[1]))
+    for start in range(0, len(vectors), step):
+        out[start : start + step] = vectors[start : start + step] - center
+    return out
+
+
 def _cells(table: pa.Table) -> dict[tuple, pa.Table]:
     """The rows of each cell of a task."""
     if not table.num_rows:
@@ -255,17 +276,17 @@ def _cell_search(k: int, dim: int, digits: int):
         # The product form |a|^2 + |b|^2 - 2ab is only a filter, so single precision will do.
         # It is taken around the center, where it is most precise, and its limit comes from
         # a sample of the points.
-        center = points.mean(axis=0)
-        near = points - center
-        norms = (near * near).sum(axis=1)
-        small = max(norms.max(), ((asked - center) ** 2).sum(axis=1).max()) < 1e30
+        # Vectors stay in their own precision; only tiles of them are made double.
+        center = points.mean(axis=0, dtype=np.float64)
+        norms = _square_norms(points, center)
+        small = max(norms.max(), _square_norms(asked, center).max()) < 1e30
         kind, precision = (np.float32, 2e-7) if small else (np.float64, 1e-14)
-        near, rough_norms = near.astype(kind), norms.astype(kind)
+        near, rough_norms = _shifted(points, center, kind), norms.astype(kind)
         stride = max(1, int(len(points) / np.sqrt(16.0 * k * len(points))))
         out_rows, out_ids, out_distances = [], [], []
         step = max(1, TILE_VALUES // len(points))
         for start in range(0, len(asked), step):
-            tile = asked[start : start + step]
+            tile = asked[start : start + step].astype(np.float64)
             shifted = tile - center
             tile_norms = (shifted * shifted).sum(axis=1)
             rough = shifted.astype(kind) @ near.T

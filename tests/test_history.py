@@ -1,6 +1,9 @@
 """Nearest past incidents against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +172,27 @@ def test_top_k_of_a_hot_key(spark, k):
     assert sorted((r.key, r.id, r["rank"]) for r in got) == sorted(expected)
     with pytest.raises(ValueError):
         topk.top_k(df, ["key"], [F.col("v")], 0, spread=["id"])
+
+
+def test_a_cell_holds_its_vectors_once_in_their_own_precision(monkeypatch):
+    monkeypatch.setattr(history, "TILE_VALUES", 1 << 16)
+    rng, n, dim = np.random.default_rng(3), 20_000, 64
+    vectors = rng.normal(size=(n, dim)).astype(np.float32)
+
+    def table(key, rows, block="job:J"):
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, dim), pa.int32()), pa.array(rows.reshape(-1)))
+        names = [f"{i:06d}" for i in range(len(rows))]
+        return pa.table({"block": [block] * len(rows), key: names, "job_name": ["J"] * len(rows), "embedding": values})
+
+    asked, stored = table("query_id", vectors[:8] + np.float32(0.01)), table("id", vectors)
+    search = history._cell_search(3, dim, 9)
+    tracemalloc.start()
+    found = search(asked, stored)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * vectors.nbytes
+    exact = ((vectors[:8] + np.float32(0.01)).astype(float)[:, None, :] - vectors.astype(float)[None, :, :]) ** 2
+    exact = exact.sum(axis=2)
+    best = np.argsort(exact, axis=1, kind="stable")[:, :3]
+    assert found.column("id").to_pylist() == [f"{i:06d}" for i in best.reshape(-1)]
+    assert np.allclose(found.column("distance").to_numpy(), np.take_along_axis(exact, best, 1).reshape(-1), rtol=1e-12)
