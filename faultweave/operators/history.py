@@ -258,6 +258,81 @@ def _kth_smallest(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, k - 1, axis=1)[:, k - 1]
 
 
+def _nearest(
+    asked: np.ndarray,
+    points: np.ndarray,
+    k: int,
+    digits: int,
+    jobs: tuple[np.ndarray, np.ndarray] | None = None,
+    known: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of at most ``k`` near points per question, and their distances: the question, the point, the distance.
+
+    Of points at the same rounded distance the first come first. Points of the question's
+    own job are left out where ``jobs`` tells both sides' jobs, and those farther than
+    ``known``, where that is given, need not be found.
+    """
+    # The product form |a|^2 + |b|^2 - 2ab is only a filter, so single precision will do.
+    # It is taken around the center, where it is most precise, and its limit comes from
+    # a sample of the points.
+    # Vectors stay in their own precision; only tiles of them are made double.
+    dim = points.shape[1]
+    center = points.mean(axis=0, dtype=np.float64)
+    norms = _square_norms(points, center)
+    small = max(norms.max(), _square_norms(asked, center).max()) < 1e30
+    kind, precision = (np.float32, 2e-7) if small else (np.float64, 1e-14)
+    near, rough_norms = _shifted(points, center, kind), norms.astype(kind)
+    stride = max(1, int(len(points) / np.sqrt(16.0 * k * len(points))))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, TILE_VALUES // len(points))
+    for start in range(0, len(asked), step):
+        tile = asked[start : start + step].astype(np.float64)
+        shifted = tile - center
+        tile_norms = (shifted * shifted).sum(axis=1)
+        rough = shifted.astype(kind) @ near.T
+        rough *= kind(-2.0)
+        rough += rough_norms
+        if jobs:
+            rough[jobs[0][start : start + step][:, None] == jobs[1][None, :]] = np.inf
+        limit = np.full(len(tile), np.inf)
+        if known is not None:
+            limit = known[start : start + step] - tile_norms + 10.0**-digits
+        open_limit = ~np.isfinite(limit)
+        if open_limit.all():
+            limit = _kth_smallest(rough[:, ::stride], k).astype(np.float64)
+        elif open_limit.any():
+            limit[open_limit] = _kth_smallest(rough[open_limit, ::stride], k)
+        unknown = ~np.isfinite(limit)
+        if unknown.any():
+            limit[unknown] = _kth_smallest(rough[unknown], k)
+        # Whatever rounding could move into the first k is measured again by differences.
+        limit += 10.0**-digits + precision * (dim + 4) * (tile_norms + norms.max())
+        rows, cols = np.nonzero(rough <= limit[:, None])
+        open_end = np.isinf(rough[rows, cols])
+        rows, cols = rows[~open_end], cols[~open_end]
+        exact = np.empty(len(rows))
+        part = max(1, TILE_VALUES // dim)
+        for i in range(0, len(rows), part):
+            diff = tile[rows[i : i + part]] - points[cols[i : i + part]]
+            exact[i : i + part] = (diff * diff).sum(axis=1)
+        order = np.lexsort((cols, np.round(exact, digits), rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        first = np.searchsorted(rows, rows, side="left")
+        best = np.arange(len(rows)) - first < k
+        out.append((start + rows[best], cols[best], exact[best]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    rows, cols, exact = (np.concatenate(part) for part in zip(*out))
+    return rows, cols, exact
+
+
+def _job_codes(queries: pa.Table, stored: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the jobs of both sides; a question without a job has one that no row has."""
+    codes: dict[str | None, int] = {}
+    point_jobs = np.array([codes.setdefault(j, len(codes)) for j in stored.column("job_name").to_pylist()])
+    return np.array([codes.get(j, -1) if j else -1 for j in queries.column("job_name").to_pylist()]), point_jobs
+
+
 def _cell_search(k: int, dim: int, digits: int):
     """Function for one cell: at most ``k`` (query, stored row, distance) per query."""
 
@@ -266,63 +341,15 @@ def _cell_search(k: int, dim: int, digits: int):
         (queries, asked), (stored, points) = _usable(queries, dim), _usable(stored.sort_by("id"), dim)
         if queries.num_rows == 0 or stored.num_rows == 0:
             return _NO_HITS
+        # Rows of the query's own job are compared in the job block.
         by_script = queries.column("block")[0].as_py().startswith("script:")
-        ids = np.array(stored.column("id").to_pylist(), dtype=object)
-        codes: dict[str | None, int] = {}
-        point_jobs = np.array([codes.setdefault(j, len(codes)) for j in stored.column("job_name").to_pylist()])
-        asked_jobs = np.array([codes.get(j, -1) if j else -1 for j in queries.column("job_name").to_pylist()])
-        names = queries.column("query_id").to_pylist()
-
-        # The product form |a|^2 + |b|^2 - 2ab is only a filter, so single precision will do.
-        # It is taken around the center, where it is most precise, and its limit comes from
-        # a sample of the points.
-        # Vectors stay in their own precision; only tiles of them are made double.
-        center = points.mean(axis=0, dtype=np.float64)
-        norms = _square_norms(points, center)
-        small = max(norms.max(), _square_norms(asked, center).max()) < 1e30
-        kind, precision = (np.float32, 2e-7) if small else (np.float64, 1e-14)
-        near, rough_norms = _shifted(points, center, kind), norms.astype(kind)
-        stride = max(1, int(len(points) / np.sqrt(16.0 * k * len(points))))
-        out_rows, out_ids, out_distances = [], [], []
-        step = max(1, TILE_VALUES // len(points))
-        for start in range(0, len(asked), step):
-            tile = asked[start : start + step].astype(np.float64)
-            shifted = tile - center
-            tile_norms = (shifted * shifted).sum(axis=1)
-            rough = shifted.astype(kind) @ near.T
-            rough *= kind(-2.0)
-            rough += rough_norms
-            if by_script:
-                # Rows of the query's own job are compared in the job block.
-                rough[asked_jobs[start : start + step][:, None] == point_jobs[None, :]] = np.inf
-            limit = _kth_smallest(rough[:, ::stride], k).astype(np.float64)
-            unknown = ~np.isfinite(limit)
-            if unknown.any():
-                limit[unknown] = _kth_smallest(rough[unknown], k)
-            # Whatever rounding could move into the first k is measured again by differences.
-            limit += 10.0**-digits + precision * (dim + 4) * (tile_norms + norms.max())
-            rows, cols = np.nonzero(rough <= limit[:, None])
-            open_end = np.isinf(rough[rows, cols])
-            rows, cols = rows[~open_end], cols[~open_end]
-            exact = np.empty(len(rows))
-            part = max(1, TILE_VALUES // dim)
-            for i in range(0, len(rows), part):
-                diff = tile[rows[i : i + part]] - points[cols[i : i + part]]
-                exact[i : i + part] = (diff * diff).sum(axis=1)
-            # cols follow id order, so they break ties the way ids do.
-            order = np.lexsort((cols, np.round(exact, digits), rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            first = np.searchsorted(rows, rows, side="left")
-            best = np.arange(len(rows)) - first < k
-            out_rows.extend(names[start + r] for r in rows[best])
-            out_ids.extend(ids[cols[best]])
-            out_distances.append(exact[best])
-        distances = np.concatenate(out_distances) if out_distances else np.empty(0)
+        # Points follow id order, so they break ties the way ids do.
+        rows, cols, exact = _nearest(asked, points, k, digits, _job_codes(queries, stored) if by_script else None)
         return pa.table(
             {
-                "query_id": pa.array(out_rows, pa.string()),
-                "id": pa.array(out_ids, pa.string()),
-                "distance": pa.array(distances, pa.float64()),
+                "query_id": queries.column("query_id").combine_chunks().take(pa.array(rows)),
+                "id": stored.column("id").combine_chunks().take(pa.array(cols)),
+                "distance": pa.array(exact, pa.float64()),
             }
         )
 

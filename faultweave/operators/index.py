@@ -7,6 +7,11 @@ the pivots, so the triangle inequality tells how near a cell's rows can be at be
 nearest ring is searched first; of the others only those cells are compared whose rows could
 still be among the first ``k``. Results equal those of a search through all rows.
 
+Neighbouring cells of a block form groups of bounded rows. A question travels to a group
+once, however many of its cells it visits, and comes back with at most ``k`` rows. A block of
+one group, which most are, is searched at once; of a larger one first the group around the
+nearest pivot, then those groups that have a cell within the bound found so far.
+
 The tables are partitioned by a hash of the block, so a batch of questions reads only the
 folders of its jobs and scripts. Rows added later form a generation of their own.
 """
@@ -19,6 +24,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +39,9 @@ from faultweave.operators.history import (
     _cells,
     _floating,
     _has_neither,
-    _task_search,
+    _job_codes,
+    _nearest,
+    _usable,
     _vectors,
     distinct_queries,
     distinct_vectors,
@@ -47,6 +55,10 @@ PIVOTS = 32
 #: Folders of each table; a store of many terabytes wants more, so that a folder stays worth a few tasks.
 BUCKETS = 32
 CELL_ROWS = 8192
+#: Cells' worth of rows in a group, which a task holds at a time.
+GROUP_CELLS = 16
+#: Comparisons of a group and a part of its questions at most, if no cell were skipped.
+GROUP_PAIRS = 1 << 34
 #: Rings per cell that a pivot's rows fill; rows crowd at some distances, and crowded rings are cut again.
 RINGS_PER_CELL = 4
 #: Rings of the nearest pivot that are searched for the first bound.
@@ -54,7 +66,8 @@ PROBES = 3
 #: What rounding can take from a difference of distances, in parts of the distances.
 SLACK = 1e-9
 
-_PAIR = ["query_id", "block", "cell"]
+_GROUP = ["block", "hist_cell"]
+_FOUND = pa.schema([("query_id", pa.string()), ("ids", pa.list_(pa.string())), ("distances", pa.list_(pa.float64()))])
 
 
 def _bucket(block: Column, buckets: int) -> Column:
@@ -205,112 +218,265 @@ def asked_buckets(asked: DataFrame, buckets: int = BUCKETS) -> list[int]:
     return sorted(r[0] for r in blocks.select(_bucket(F.col("block"), buckets)).distinct().collect())
 
 
+def _gaps(away: np.ndarray, low: float, high: float) -> np.ndarray:
+    """How near a cell's rows can be at best, given the distances to their pivot."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        gap = np.maximum(np.maximum(away - high, low - away), 0.0) - SLACK * (away + high)
+    return np.where(np.isnan(gap), 0.0, np.maximum(gap, 0.0))
+
+
+def _group_search(k: int, dim: int, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Function for one group: the nearest rows of each question, at most ``k``.
+
+    ``held`` has the group's rows and, without an id, the pivots of its block. A question
+    is compared with the nearest cells of its nearest pivot and then, cell by cell, with
+    those that its bound, which may come with it as ``limit``, does not rule out.
+    """
+
+    def search(queries: pa.Table, held: pa.Table) -> pa.Table:
+        # Points follow id order, so they break ties the way ids do.
+        stored = held.filter(held.column("id").is_valid()).sort_by("id")
+        centers = held.filter(held.column("id").is_null())
+        (queries, asked), (stored, points) = _usable(queries, dim), _usable(stored, dim)
+        if queries.num_rows == 0 or stored.num_rows == 0:
+            return _FOUND.empty_table()
+        by_script = queries.column("block")[0].as_py().startswith("script:")
+        asked_jobs, point_jobs = _job_codes(queries, stored) if by_script else (None, None)
+        bound = np.nan_to_num(queries.column("limit").to_numpy().astype(np.float64), nan=np.inf)
+        numbers = centers.column("pivot").to_numpy()
+        away = np.nan_to_num(_distances(queries.append_column("embedding", _lists(asked)), centers, dim), nan=np.inf)
+        column = {int(n): i for i, n in enumerate(numbers)}
+
+        order = np.argsort(stored.column("cell").to_numpy(), kind="stable")
+        cell_of, from_pivot = stored.column("cell").to_numpy()[order], stored.column("away").to_numpy()[order]
+        pivot_of = stored.column("pivot").to_numpy()[order]
+        bounds = np.append(np.flatnonzero(np.append(True, cell_of[1:] != cell_of[:-1])), len(order))
+        cells = [order[start:end] for start, end in zip(bounds, bounds[1:])]
+        near = [
+            (column[int(pivot_of[start])], from_pivot[start:end].min(), from_pivot[start:end].max())
+            for start, end in zip(bounds, bounds[1:])
+        ]
+
+        best = np.full((len(asked), k), np.inf)
+        places = np.full((len(asked), k), len(points))
+
+        def compare(c: int, rows: np.ndarray) -> None:
+            if not len(rows):
+                return
+            members = cells[c]
+            jobs = (asked_jobs[rows], point_jobs[members]) if by_script else None
+            at, cols, exact = _nearest(asked[rows], points[members], k, digits, jobs, bound[rows])
+            if not len(at):
+                return
+            hit, first = np.unique(at, return_index=True)
+            slot = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            line = np.repeat(np.arange(len(hit)), np.diff(np.append(first, len(at))))
+            here = rows[hit]
+            distances = np.concatenate([best[here], np.full((len(hit), k), np.inf)], axis=1)
+            numbers = np.concatenate([places[here], np.full((len(hit), k), len(points))], axis=1)
+            distances[line, k + slot], numbers[line, k + slot] = exact, members[cols]
+            chosen = np.lexsort((numbers, np.round(distances, digits)), axis=1)[:, :k]
+            best[here] = np.take_along_axis(distances, chosen, axis=1)
+            places[here] = np.take_along_axis(numbers, chosen, axis=1)
+            bound[here] = np.minimum(bound[here], best[here].max(axis=1))
+
+        def gaps(c: int, rows: np.ndarray | slice) -> np.ndarray:
+            pivot, low, high = near[c]
+            return _gaps(away[rows, pivot], low, high)
+
+        own = away.argmin(axis=1)
+        probed = np.full((len(asked), PROBES), -1)
+        for pivot in np.unique(own):
+            rows, around = np.flatnonzero(own == pivot), np.array([c for c in range(len(cells)) if near[c][0] == pivot], int)
+            if len(around):
+                by_gap = np.argsort([gaps(c, rows) for c in around], axis=0, kind="stable")[:PROBES].T
+                probed[rows, : by_gap.shape[1]] = around[by_gap]
+        for probe in range(PROBES):
+            for c in np.unique(probed[:, probe]):
+                # a bound that came with the question holds for the first cells too
+                rows = np.flatnonzero(probed[:, probe] == c)
+                if c >= 0:
+                    compare(c, rows[gaps(c, rows) <= _reach(bound[rows], digits)])
+        for c in range(len(cells)):
+            rows = np.flatnonzero(gaps(c, slice(None)) <= _reach(bound, digits))
+            compare(c, rows[(probed[rows] != c).all(axis=1)])
+
+        found = places < len(points)
+        rows = np.flatnonzero(found.any(axis=1))
+        ends = pa.array(np.append(0, found[rows].sum(axis=1).cumsum()), pa.int32())
+        ids = stored.column("id").combine_chunks().take(pa.array(places[found]))
+        return pa.table(
+            {
+                "query_id": queries.column("query_id").combine_chunks().take(pa.array(rows)),
+                "ids": pa.ListArray.from_arrays(ends, ids),
+                "distances": pa.ListArray.from_arrays(ends, pa.array(best[found], pa.float64())),
+            }
+        )
+
+    return search
+
+
+def _lists(vectors: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.reshape(-1)))
+
+
+def _reach(bound: np.ndarray, digits: int) -> np.ndarray:
+    # rows at the same rounded distance as the k-th come before it by their id
+    return np.sqrt(bound + 2 * 10.0**-digits)
+
+
 def _compare(
-    pairs: DataFrame, asked: DataFrame, stored: DataFrame, dim: int, k: int, digits: int, cell_rows: int
+    pairs: DataFrame, cells: DataFrame, rows: DataFrame, pivots: DataFrame, dim: int, k: int, digits: int, cell_rows: int
 ) -> DataFrame:
-    """The nearest rows per question of the cells that it visits: at most ``k`` a cell."""
+    """(query_id, ids, distances): the nearest rows per question and group that it visits, at most ``k``.
+
+    ``pairs`` has query_id, block, hist_cell (the group), job_name, embedding and limit.
+    """
     spark = pairs.sparkSession
-    visits = pairs.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("_asked"), F.first("n").alias("_n"))
     queries_per_part = max(1, CELL_BYTES // (8 * dim))
-    parts = F.ceil(F.col("_asked") / F.lit(queries_per_part)).cast("int")
+    visits = pairs.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_asked"))
+    visits = visits.join(cells.groupBy(*_GROUP).agg(F.sum("n").alias("_n")), _GROUP)
+    work = F.col("_asked").cast("double") * F.col("_n")
+    parts = F.ceil(F.greatest(F.col("_asked") / F.lit(queries_per_part), work / F.lit(float(GROUP_PAIRS)))).cast("int")
     visits = materialise(visits.withColumn("_parts", parts), "index-visits")
-    work, copies, cells = visits.agg(
-        F.sum(F.col("_asked").cast("double") * F.col("_n")),
-        F.sum(F.col("_n") * F.col("_parts") + F.col("_asked")),
-        F.sum(F.col("_parts")),
-    ).first()
-    per_task = min(max((work or 0) / (4 * spark.sparkContext.defaultParallelism), 1 << 24), MAX_PAIRS)
-    tasks = max((work or 0) / per_task, (copies or 0) / (16 * cell_rows), (cells or 0) / CELLS_PER_TASK)
-    tasks = max(1, min(2 * math.ceil(tasks), cells or 0, MAX_TASKS))
-    task = F.pmod(F.xxhash64("block", "hist_cell", "query_cell"), F.lit(tasks)).cast("int")
-    columns = ["block", "job_name", "embedding", "hist_cell", "query_cell"]
+    all_work = visits.agg(F.sum(work)).first()[0] or 0
+    # enough parts to keep every core busy, but none that is not worth a task
+    per_part = max(all_work / (4 * spark.sparkContext.defaultParallelism), 1 << 24)
+    busy = F.least(F.ceil(work / F.lit(float(per_part))), F.col("_asked")).cast("int")
+    visits = visits.withColumn("_parts", F.greatest("_parts", busy))
+    copies, n_cells = visits.agg(F.sum(F.col("_n") * F.col("_parts") + F.col("_asked")), F.sum(F.col("_parts"))).first()
+    per_task = min(per_part, MAX_PAIRS)
+    tasks = max(all_work / per_task, (copies or 0) / (16 * cell_rows), (n_cells or 0) / CELLS_PER_TASK)
+    tasks = max(1, min(2 * math.ceil(tasks), n_cells or 0, MAX_TASKS))
+    task = F.pmod(F.xxhash64(*_GROUP, "query_cell"), F.lit(tasks)).cast("int")
+    dealt = visits.select(*_GROUP, "_parts")
+    every_part = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     left = (
-        pairs.join(visits.select("block", "cell", "_parts"), ["block", "cell"])
-        .join(asked.select("query_id", "job_name", "embedding"), "query_id")
-        .withColumn("hist_cell", F.col("cell"))
+        pairs.join(dealt, _GROUP)
         .withColumn("query_cell", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
-        .select("query_id", *columns, task.alias("task"))
+        .select("query_id", *_GROUP, "query_cell", "job_name", "embedding", "limit", task.alias("task"))
     )
-    right = (
-        stored.join(visits.select("block", "cell", "_parts"), ["block", "cell"])
-        .withColumn("hist_cell", F.col("cell"))
-        .withColumn("query_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("id", *columns, task.alias("task"))
+    held = ["id", "job_name", "embedding", "pivot", "cell", "away"]
+    grouped = rows.join(cells.select("block", "cell", "hist_cell"), ["block", "cell"]).select(*_GROUP, *held)
+    centers = pivots.join(dealt.select(*_GROUP), "block").select(
+        *_GROUP,
+        F.lit(None).cast("string").alias("id"),
+        F.lit(None).cast("string").alias("job_name"),
+        "embedding",
+        "pivot",
+        F.lit(-1).cast("long").alias("cell"),
+        F.lit(0.0).alias("away"),
     )
+    right = grouped.unionByName(centers).join(dealt, _GROUP).withColumn("query_cell", every_part)
+    right = right.select(*_GROUP, "query_cell", *held, task.alias("task"))
     left, right = (df.repartition(tasks, "task").groupBy("task") for df in (left, right))
-    hits = left.cogroup(right).applyInArrow(_task_search(k, dim, digits), "query_id string, id string, distance double")
+    search = _per_cell(_group_search(k, dim, digits), _FOUND)
+    hits = left.cogroup(right).applyInArrow(search, "query_id string, ids array<string>, distances array<double>")
     return materialise(hits, "index-hits")
 
 
-def _gap(cell: Column) -> Column:
+def _first(hits: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, hits): the nearest ``k`` of a question's (near, id, distance), from all its groups."""
+    pairs = F.transform(
+        F.arrays_zip("ids", "distances"),
+        lambda h: F.struct(F.round(h["distances"], digits).alias("near"), h["ids"].alias("id"), h["distances"].alias("distance")),
+    )
+    gathered = hits.groupBy("query_id").agg(F.flatten(F.collect_list(pairs)).alias("hits"))
+    return gathered.select("query_id", F.slice(F.array_sort("hits"), 1, k).alias("hits"))
+
+
+def _gap(away: Column, cell: Column) -> Column:
     """How near the cell's rows can be at best, given the distance to their pivot."""
-    away = F.col("away")
     gap = F.greatest(F.lit(0.0), away - cell["high"], cell["low"] - away)
     gap = gap - F.lit(SLACK) * (away + cell["high"])
     return F.when(F.isnan(gap), 0.0).otherwise(F.greatest(F.lit(0.0), gap))
 
 
+def _grouped_cells(spark: SparkSession, path: str, numbers: list[int], own: DataFrame, rows_per_group: int) -> DataFrame:
+    """The cells of these blocks and the group of each: neighbours, up to about so many rows."""
+    cells = _read(spark, path, "cells", numbers).join(own.withColumnRenamed("block", "bare"), "bare", "left_semi")
+    before = W.partitionBy("block").orderBy("pivot", "cell").rowsBetween(W.unboundedPreceding, -1)
+    group = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(rows_per_group)).cast("int")
+    chosen = cells.select("bare", "block", "pivot", "cell", "low", "high", "n", group.alias("hist_cell"))
+    return materialise(chosen, "asked-cells")
+
+
 def plan_visits(
     asked: DataFrame, path: str, dim: int, k: int, digits: int, buckets: int, cell_rows: int = CELL_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The (query_id, block, cell, n) compared first, those compared after them, and the first hits."""
+    """The (query_id, block, hist_cell, n) compared first, those compared after them, and all hits.
+
+    ``n`` is the number of rows that are compared at most; the groups that come after the
+    first are only those with a cell in reach, and of these only such cells count.
+    """
     spark = asked.sparkSession
     numbers = asked_buckets(asked, buckets)
     places = _blocks(asked.where(_finite(F.col("embedding"), dim)), F.lit(False))
     own = places.select("block").distinct()
+    rows_per_group = max(1, min(GROUP_CELLS * cell_rows, CELL_BYTES // (8 * dim)))
+    cells = _grouped_cells(spark, path, numbers, own, rows_per_group)
     pivots = _read(spark, path, "pivots", numbers).join(own.withColumnRenamed("block", "bare"), "bare", "left_semi")
-    pivots = materialise(pivots, "asked-pivots")
-    # a question meets the pivots of each generation of its blocks
-    generations = pivots.select("bare", F.col("block").alias("_place")).distinct()
+    pivots = materialise(pivots.select("block", "pivot", "embedding"), "asked-pivots")
+    rows = _read(spark, path, "rows", numbers).select("block", "cell", "id", "job_name", "embedding", "pivot", "away")
+    # a question meets the groups of each generation of its blocks
+    generations = cells.groupBy("bare", F.col("block").alias("_place")).agg(F.max("hist_cell").alias("_last"))
+    generations = materialise(generations, "asked-blocks")
     placed = (
-        places.select("query_id", "embedding", F.col("block").alias("bare"))
+        places.select("query_id", "job_name", "embedding", F.col("block").alias("bare"))
         .join(generations, "bare")
-        .select("query_id", "embedding", F.col("_place").alias("block"))
+        .select("query_id", "job_name", "embedding", F.col("_place").alias("block"), "_last")
     )
+    limit = F.lit(None).cast("double")
+    sizes = cells.groupBy(*_GROUP).agg(F.sum("n").alias("n"))
+    first = placed.where("_last = 0").select("query_id", "block", F.lit(0).alias("hist_cell"), "job_name", "embedding")
+    if not generations.where("_last > 0").limit(1).count():
+        hits = _compare(first.withColumn("limit", limit), cells, rows, pivots, dim, k, digits, cell_rows)
+        probes = first.select("query_id", *_GROUP).join(sizes, _GROUP)
+        return probes, probes.limit(0), hits
 
-    def distances(part: pa.Table, centers: pa.Table) -> pa.Table:
-        away = _distances(part, centers, dim)
-        n, m = away.shape
-        return pa.table(
-            {
-                "query_id": part.column("query_id").combine_chunks().take(pa.array(np.repeat(np.arange(n), m))),
-                "block": pa.array([part.column("block")[0].as_py()] * (n * m), pa.string()),
-                "pivot": pa.array(np.tile(centers.column("pivot").to_numpy(), n), pa.int32()),
-                "away": pa.array(away.reshape(-1), pa.float64()),
-            }
-        )
+    large = placed.where("_last > 0").select("query_id", "job_name", "embedding", "block")
+    names = large.columns
 
-    kinds = [("query_id", pa.string()), ("block", pa.string()), ("pivot", pa.int32()), ("away", pa.float64())]
-    left, right = _meet(placed, pivots.select("block", "pivot", "embedding"), "query_id", cell_rows)
-    away = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(
-        _per_cell(distances, pa.schema(kinds)), "query_id string, block string, pivot int, away double"
+    def distances(part: pa.Table, centers: pa.Table) -> pa.Table:
+        away = _distances(part, centers.sort_by("pivot"), dim)
+        return part.select(names).append_column("away", _lists(away))
+
+    element = pa.float32() if "float" in dict(large.dtypes)["embedding"] else pa.float64()
+    kinds = [("query_id", pa.string()), ("job_name", pa.string()), ("embedding", pa.list_(element))]
+    kinds += [("block", pa.string()), ("away", pa.list_(pa.float64()))]
+    schema = T.StructType([*large.schema.fields, T.StructField("away", T.ArrayType(T.DoubleType()))])
+    left, right = _meet(large, pivots.join(large.select("block").distinct(), "block", "left_semi"), "query_id", cell_rows)
+    away = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(_per_cell(distances, pa.schema(kinds)), schema)
+    away = away.withColumn("pivot", F.array_position("away", F.array_min("away")).cast("int") - 1)
+    by_pivot = cells.groupBy("block", "pivot").agg(F.collect_list(F.struct("hist_cell", "cell", "low", "high")).alias("_own"))
+    nearest = F.array_min(
+        F.transform("_own", lambda c: F.struct(_gap(F.array_min("away"), c).alias("gap"), c["cell"], c["hist_cell"].alias("hist_cell")))
     )
+    home = F.coalesce(nearest["hist_cell"], F.lit(0)).alias("hist_cell")
+    away = away.join(by_pivot, ["block", "pivot"], "left").select("query_id", "block", home, "job_name", "embedding", "away")
     away = materialise(away, "pivot-distances")
-    cells = _read(spark, path, "cells", numbers).groupBy("block", "pivot")
-    cells = materialise(cells.agg(F.collect_list(F.struct("cell", "low", "high", "n")).alias("cells")), "asked-cells")
-
-    own_pivot = away.groupBy("query_id", "block").agg(F.min_by(F.struct("pivot", "away"), "away").alias("_own"))
-    own_pivot = own_pivot.select("query_id", "block", "_own.pivot", "_own.away").join(cells, ["block", "pivot"])
-    by_gap = F.array_sort(F.transform("cells", lambda c: F.struct(_gap(c).alias("gap"), c["cell"].alias("cell"), c["n"].alias("n"))))
-    probes = own_pivot.select("query_id", "block", F.explode(F.slice(by_gap, 1, PROBES)).alias("c"))
-    probes = materialise(probes.select("query_id", "block", "c.cell", "c.n"), "index-probes")
-
-    stored = _read(spark, path, "rows", numbers).select("block", "cell", "id", "job_name", "embedding")
-    hits = _compare(probes, asked, stored, dim, k, digits, cell_rows)
-    first = top_k(hits, ["query_id"], [F.round("distance", digits), F.col("id")], k, spread=["id"], salts=1)
-    limit = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("limit"))
-    limit = materialise(limit, "index-limits")
-    # rows at the same rounded distance as the k-th come before it by their id
+    first = first.unionByName(away.drop("away"))
+    probes = first.select("query_id", *_GROUP).join(sizes, _GROUP)
+    hits = _compare(first.withColumn("limit", limit), cells, rows, pivots, dim, k, digits, cell_rows)
+    found = _first(hits, k, digits).where(F.size("hits") == k)
+    found = found.select("query_id", F.array_max(F.col("hits.distance")).alias("limit"))
+    found = materialise(found.join(away.select("query_id"), "query_id", "left_semi"), "index-limits")
+    by_group = cells.groupBy(*_GROUP).agg(F.collect_list(F.struct("pivot", "low", "high", "n")).alias("_cells"))
     reach = F.coalesce(F.sqrt(F.col("limit") + F.lit(2 * 10.0**-digits)), F.lit(float("inf")))
+    near = F.filter("_cells", lambda c: _gap(F.get("away", c["pivot"]), c) <= F.col("_reach"))
     rest = (
-        away.join(limit, "query_id", "left")
-        .withColumn("reach", reach)
-        .join(cells, ["block", "pivot"])
-        .select("query_id", "block", F.explode(F.filter("cells", lambda c: _gap(c) <= F.col("reach"))).alias("c"))
-        .select("query_id", "block", "c.cell", "c.n")
-        .join(probes.select(*_PAIR), _PAIR, "left_anti")
+        away.join(found, "query_id", "left")
+        .withColumnRenamed("hist_cell", "_home")
+        .withColumn("_reach", reach)
+        .join(by_group, "block")
+        .where("hist_cell <> _home")
+        .withColumn("n", F.aggregate(near, F.lit(0).cast("long"), lambda n, c: n + c["n"]))
+        .where("n > 0")
     )
-    return probes, materialise(rest, "index-rest"), hits
+    rest = materialise(rest.select("query_id", *_GROUP, "job_name", "embedding", "limit", "n"), "index-rest")
+    more = _compare(rest, cells, rows, pivots, dim, k, digits, cell_rows)
+    return probes, rest.select("query_id", *_GROUP, "n"), hits.unionByName(more)
 
 
 def indexed_nearest(
@@ -330,16 +496,13 @@ def indexed_nearest(
     """
     spark = inc.sparkSession
     asked = materialise(distinct_queries(inc, embed, vector), "questions")
-    order = [F.round("distance", digits), F.col("id")]
     width = spark.read.parquet(f"{path}/pivots").select(F.size("embedding")).head()
     if width is None:
         return spark.createDataFrame([], "query_id string, id string, distance double, rank int")
     dim = width[0]
-    numbers = asked_buckets(asked, buckets)
-    probes, rest, hits = plan_visits(asked, path, dim, k, digits, buckets, cell_rows)
-    stored = _read(spark, path, "rows", numbers).select("block", "cell", "id", "job_name", "embedding")
-    hits = hits.unionByName(_compare(rest, asked, stored, dim, k, digits, cell_rows))
-    found = top_k(hits, ["query_id"], order, k, spread=["id"])
+    *_, hits = plan_visits(asked, path, dim, k, digits, buckets, cell_rows)
+    found = _first(hits, k, digits).select("query_id", F.posexplode("hits").alias("_place", "hit"))
+    found = found.select("query_id", "hit.id", "hit.distance", (F.col("_place") + 1).cast("int").alias("rank"))
     if store is not None and asked.where(_has_neither()).limit(1).count():
         found = found.unionByName(nearest_by_query(inc.where(_has_neither()), store, k, embed, vector, dim, digits))
     return found

@@ -98,3 +98,19 @@ def test_a_batch_reads_only_its_buckets(spark, tmp_path):
     assert len({r[0] for r in read.select(F.input_file_name()).distinct().collect()}) < len(everything) / 5
     found = index.indexed_rows(spark.createDataFrame([("id0007",)], "id string"), asked, path, 64).collect()
     assert [r.id for r in found] == ["id0007"]
+
+
+def test_a_question_travels_to_a_group_once(spark, tmp_path):
+    """However many cells of a block it visits; blocks of several groups, and rows added later."""
+    stored, asked = make(11, 700, 60, copies=0.1)
+    asked = [a for a in asked if a[1] or a[2]]
+    path = f"{tmp_path}/index"
+    write(spark, stored[:400], path, cell_rows=5)
+    index.add_to_index(spark.createDataFrame(stored, STORE), path, generation=1, **{**SMALL, "cell_rows": 5})
+    assert search(spark, asked, path, 5, cell_rows=5) == brute(stored, asked, 5)
+    queries = history.distinct_queries(history.with_query_id(spark.createDataFrame(asked, ASKED), "embedding"))
+    probes, rest, hits = index.plan_visits(queries, path, 6, 5, 9, SMALL["buckets"], 5)
+    assert rest.count() > 0 and spark.read.parquet(f"{path}/cells").count() > 100
+    travels = probes.select("query_id", "block", "hist_cell").unionByName(rest.select("query_id", "block", "hist_cell"))
+    assert travels.count() == travels.distinct().count()
+    assert hits.count() <= travels.count() and hits.agg(F.max(F.size("ids"))).first()[0] <= 5
