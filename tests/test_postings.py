@@ -91,3 +91,18 @@ def test_long_texts_and_slices_that_are_halved(spark, tmp_path, monkeypatch):
     postings.write_postings(spark.createDataFrame(rows + [(None, "abc", "", "")], SCHEMA), path)
     names = {t[1][i : i + n] for t in rows for i, n in ((0, 2), (1, 4), (2, 1)) if len(t[1]) >= 6}
     assert pairs(spark, names, path) == brute(names, rows)
+
+
+def test_lists_are_packed(spark, tmp_path, monkeypatch):
+    """One value per list, as narrow as its slice allows; numbers of any size, short texts and cut slices."""
+    rows = [(seq, word, None, word[:1]) for seq, word in zip([5, -3, 2**62, 7, 70000, -(2**63), 9], ["abc", "ab", "a", "", "abab", "babc", "é😀"])]
+    near = [(1000 + i, f"near {i % 3}", "", None) for i in range(200)]
+    path = f"{tmp_path}/postings"
+    monkeypatch.setattr(postings, "LISTED_AT_A_TIME", 3)
+    postings.write_postings(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    postings.write_postings(spark.createDataFrame(near, SCHEMA).coalesce(1), path, 1)
+    names = ["a", "b", "ab", "abc", "bab", "é", "é😀", "near", "r 2", "zz"]
+    assert pairs(spark, names, path) == brute(names, rows + near)
+    lists = spark.read.parquet(f"{path}/postings").where("generation = 1")
+    assert dict(lists.dtypes)["held"] == "binary"
+    assert {(r.n, len(r.held)) for r in lists.where("gram = 'nea'").collect()} == {(200, 200)}
