@@ -9,6 +9,10 @@ names that it may hold. A gram that no text has shows at once that a name is now
 Names stay in Spark tables throughout. The tables are partitioned by a hash of the gram,
 so a lookup reads only the folders of the grams it needs, and texts added later form a
 generation of their own.
+
+Where no index is kept, neighbouring texts form blocks and only the grams of each block are
+listed. A name goes once to every block that has its rarest gram, and a block's texts are
+read once for its names, so what travels grows with blocks and not with texts times names.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +42,11 @@ NAMES_AT_A_TIME = 1 << 12
 #: Texts that share a matcher.
 TEXTS_AT_A_TIME = 128
 
+#: Texts of a block at most; its characters are at most those of a slice, unless it is one text.
+BLOCK_TEXTS = 1 << 16
+#: Characters of names that a block is searched for at a time.
+BLOCK_NAME_CHARS = 1 << 20
+
 #: Texts that an unpacked batch of lists has at least, unless it is the last.
 LISTED_AT_A_TIME = 1 << 16
 
@@ -195,6 +206,64 @@ def _held_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(places, pa.int64())], names=["name", "seq"])
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts, as bytes, with the number of their block."""
+    block, chars, texts = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns[1:]:
+            sizes += pc.binary_length(column).to_numpy(zero_copy_only=False)
+        blocks = []
+        for more in sizes.tolist():
+            if texts and (chars + more > SLICE_CHARS or texts == BLOCK_TEXTS):
+                block, chars, texts = block + 1, 0, 0
+            chars, texts = chars + more, texts + 1
+            blocks.append(block)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "block"])
+
+
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram, n) of batches with the block and its texts: the grams of a run of a block's texts and how many have each."""
+
+    def listed(block: int, rows: list[list[str]]) -> Iterator[pa.RecordBatch]:
+        for lists in _slice_lists(list(range(len(rows))), rows):
+            number = pa.array(np.full(lists.num_rows, block), pa.int64())
+            yield pa.RecordBatch.from_arrays([number, lists.column("gram"), lists.column("n")], names=["block", "gram", "n"])
+
+    last, rows = None, []
+    for batch in batches:
+        for block, *texts in zip(*(column.to_pylist() for column in batch.columns)):
+            if rows and block != last:
+                yield from listed(last, rows)
+                rows = []
+            last = block
+            rows.append([t.decode("utf-8", "replace") for t in texts])
+    if rows:
+        yield from listed(last, rows)
+
+
+def _block_pairs(names: pa.Table, texts: pa.Table) -> pa.Table:
+    """(name, seq) of the names that a block's texts hold, once per text; both as bytes."""
+    import ahocorasick
+
+    asked = pc.unique(names.column("name"))
+    machine = ahocorasick.Automaton()
+    for i, name in enumerate(asked.to_pylist()):
+        machine.add_word(name.decode("utf-8", "surrogateescape"), i)
+    machine.make_automaton()
+    hit = itemgetter(1)
+    held: list[int] = []
+    counts: list[int] = []
+    for row in zip(*(column.to_pylist() for column in texts.drop_columns(["block", "_part", "seq"]).columns)):
+        found = set()
+        for text in row:
+            found.update(map(hit, machine.iter(text.decode("utf-8", "surrogateescape"))))
+        held.extend(found)
+        counts.append(len(found))
+    seqs = texts.column("seq").to_numpy()
+    return pa.table({"name": asked.take(pa.array(held, pa.int64())), "seq": pa.array(np.repeat(seqs, counts), pa.int64())})
+
+
 def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
@@ -232,14 +301,15 @@ def _numbers(grams: DataFrame) -> list[int]:
     return sorted(r[0] for r in grams.select("bucket").distinct().collect())
 
 
-def rarest_grams(names: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
-    """(name, gram, n) of the names whose grams all stand in some text: the rarest and its number of texts."""
+def _name_grams(names: DataFrame) -> DataFrame:
+    """(name, gram) of the different grams of each name, a short one being its own."""
     short = F.length("name") < LONGEST
     grams = F.when(short, F.array("name")).otherwise(F.array_distinct(_grams(F.col("name"), LONGEST)))
-    asked = names.select("name", F.explode(grams).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    asked = materialise(asked, "name-grams")
-    held = _read(names.sparkSession, path, "grams", "gram string, n long")
-    held = held.where(F.col("bucket").isin(_numbers(asked)))
+    return names.select("name", F.explode(grams).alias("gram"))
+
+
+def _rarest(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(name, gram, n) by the (gram, n) of the texts, of the names whose grams are all among them."""
     held = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("n"))
     counted = asked.join(materialise(held, "gram-counts"), "gram", "left")
     rarest = counted.groupBy("name").agg(
@@ -248,6 +318,17 @@ def rarest_grams(names: DataFrame, path: str, buckets: int = BUCKETS) -> DataFra
     return rarest.where("_held = _grams").select("name", "_rarest.gram", "_rarest.n")
 
 
+def rarest_grams(names: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """(name, gram, n) of the names whose grams all stand in some text: the rarest and its number of texts."""
+    asked = materialise(_name_grams(names).withColumn("bucket", _bucket(F.col("gram"), buckets)), "name-grams")
+    held = _read(names.sparkSession, path, "grams", "gram string, n long")
+    return _rarest(asked, held.where(F.col("bucket").isin(_numbers(asked))))
+
+
+def _parts() -> Column:
+    return F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int").alias("_parts")
+
+
 def posted_pairs(names: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """(name, seq) of every text that holds a name; ``names`` has distinct names that are not empty.
 
@@ -258,10 +339,16 @@ def posted_pairs(names: DataFrame, path: str, buckets: int = BUCKETS) -> DataFra
     spark = names.sparkSession
     if not path_exists(spark, f"{path}/postings"):
         return spark.createDataFrame([], "name string, seq long")
-    parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
-    chosen = rarest_grams(names, path, buckets).withColumn("_parts", parts)
+    chosen = rarest_grams(names, path, buckets).select("*", _parts())
     chosen = materialise(chosen.withColumn("bucket", _bucket(F.col("gram"), buckets)), "rarest-grams")
     lists = _read(spark, path, "postings", _LIST).where(F.col("bucket").isin(_numbers(chosen)))
+    texts = spark.read.parquet(f"{path}/texts").drop("generation")
+    texts = texts.select("seq", *[F.col(c).cast("binary") for c in texts.columns if c != "seq"])
+    return _listed_pairs(chosen, lists, texts)
+
+
+def _listed_pairs(chosen: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, seq) of the texts, as bytes, that hold a name, by the lists of the names' grams."""
     wanted = chosen.select("gram", "_parts").distinct()
     lists = lists.join(wanted, "gram").select("gram", "_parts", "first", "n", "held")
     lists = lists.mapInArrow(_listed, "gram string, _parts int, seq long")
@@ -271,7 +358,43 @@ def posted_pairs(names: DataFrame, path: str, buckets: int = BUCKETS) -> DataFra
     candidates = spread.join(lists, ["gram", "_part"]).select("name", "seq").repartition("seq")
     candidates = candidates.groupBy("seq", F.pmod(F.xxhash64("name"), chunks).alias("_chunk"))
     candidates = materialise(candidates.agg(F.collect_list(F.col("name").cast("binary")).alias("names")), "candidates")
-    texts = spark.read.parquet(f"{path}/texts").drop("generation")
-    texts = texts.select("seq", *[F.col(c).cast("binary") for c in texts.columns if c != "seq"])
     held = candidates.drop("_chunk").join(texts, "seq").mapInArrow(_held_names, "name binary, seq long")
     return held.select(F.col("name").cast("string").alias("name"), "seq")
+
+
+def pairs_by_blocks(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """:func:`posted_pairs` of texts as :func:`write_postings` takes them, where no index is kept.
+
+    A row per gram and block is all that is listed. A name goes to a block once, whatever
+    number of its texts may hold it, and each text is read once for up to
+    ``BLOCK_NAME_CHARS`` characters of names; pairs are rows only where a text holds the name.
+    """
+    fields = [c for c in texts.columns if c != "seq"]
+    plain = texts.select(F.col("seq").cast("long").alias("seq"), *[F.coalesce(F.col(c), F.lit("")).cast("binary").alias(c) for c in fields])
+    # a text without a number is not looked through
+    schema = ", ".join(["seq long", *[f"`{c}` binary" for c in fields], "block long"])
+    texts = materialise(plain.where("seq IS NOT NULL").mapInArrow(_in_blocks, schema), "text-blocks")
+    blocks = texts.select("block", *fields).mapInArrow(_block_grams, "block long, gram string, n long")
+    blocks = materialise(blocks, "block-grams")
+    asked = materialise(_name_grams(names), "name-grams")
+    chosen = materialise(_rarest(asked, blocks).select("*", _parts()), "rarest-grams")
+    chars = chosen.groupBy("gram").agg(F.sum(F.length("name")).alias("_chars"))
+    parts = F.ceil(F.sum("_chars") / F.lit(BLOCK_NAME_CHARS)).cast("int").alias("_parts")
+    # a row per some million characters of texts
+    sizes = F.broadcast(materialise(blocks.join(chars, "gram").groupBy("block").agg(parts), "block-parts"))
+    repeated = materialise(texts.groupBy("seq").count().where("count > 1").select("seq"), "repeated-texts")
+    again = None if repeated.isEmpty() else texts.join(repeated, "seq", "left_semi").drop("block")
+    if again is not None:
+        texts = texts.join(repeated, "seq", "left_anti")
+    part = F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int").alias("_part")
+    left = blocks.select("block", "gram").join(chosen.select("name", "gram"), "gram").join(sizes, "block")
+    left = left.select("block", part, F.col("name").cast("binary").alias("name"))
+    every_part = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+    right = texts.join(sizes, "block").select("block", every_part, "seq", *fields)
+    left, right = (df.groupBy("block", "_part") for df in (left, right))
+    pairs = left.cogroup(right).applyInArrow(_block_pairs, "name binary, seq long")
+    pairs = pairs.select(F.col("name").cast("string").alias("name"), "seq")
+    if again is None:
+        return pairs
+    # texts that share a number are answered together, as from a kept index
+    return pairs.unionByName(_listed_pairs(chosen, again.mapInArrow(_text_lists, _LIST), again))

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions.text import or_empty
-from faultweave.operators.postings import matcher, posted_pairs, write_postings
+from faultweave.operators.postings import matcher, pairs_by_blocks, posted_pairs
 from faultweave.operators.topk import ranked_array, top_k
-from faultweave.session import materialise, path_exists, scratch_path
+from faultweave.session import materialise, path_exists
 
 FIRST_N = 3
 #: Characters of names that a worker may hold.
@@ -95,7 +95,7 @@ def ticket_matches(
     ``tickets`` has seq (the file order), summary, description and labels (an array, or
     text that is already joined). Up to ``name_chars`` characters of names, enough for more
     than a hundred thousand, go to the workers, which read the ticket texts once. More
-    names stay in Spark and are looked up in an index of the texts' grams (``postings``).
+    names stay in Spark and are looked up by their grams in blocks of texts (``postings``).
     """
     spark = tickets.sparkSession
     names = _asked_names(jobs)
@@ -104,9 +104,7 @@ def ticket_matches(
         return spark.createDataFrame([], "name string, seq long, rank int, total long")
     texts = ticket_texts(tickets)
     if size > name_chars:
-        path = scratch_path(spark, "ticket-postings")
-        write_postings(texts, path)
-        rows = posted_pairs(names, path)
+        rows = pairs_by_blocks(names, texts)
     else:
         shared = spark.sparkContext.broadcast([r.name for r in names.collect()])
         rows = texts.mapInArrow(_name_rows(shared, uuid.uuid4().hex), "name string, seq long")

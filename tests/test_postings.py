@@ -106,3 +106,42 @@ def test_lists_are_packed(spark, tmp_path, monkeypatch):
     lists = spark.read.parquet(f"{path}/postings").where("generation = 1")
     assert dict(lists.dtypes)["held"] == "binary"
     assert {(r.n, len(r.held)) for r in lists.where("gram = 'nea'").collect()} == {(200, 200)}
+
+
+def by_blocks(spark, names, rows):
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    return sorted(map(tuple, postings.pairs_by_blocks(df, spark.createDataFrame(rows, SCHEMA)).collect()))
+
+
+def test_blocks_equal_brute_force_and_a_kept_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SLICE_CHARS", 60)
+    monkeypatch.setattr(postings, "BLOCK_NAME_CHARS", 20)  # the names of a block are asked for in parts
+    rows = texts(3, 150) + [(150, "abc" * 40, "d", "é😀" * 30), (-(2**63), "zz top", None, None)]
+    pick = random.Random(4)
+    names = {"".join(pick.choices("abcdé😀_ \n", k=pick.randint(1, 5))) for _ in range(120)} | {"zz", "not there", "😀", "a\nb"}
+    assert by_blocks(spark, names, rows + [(None, "abc", "", "")]) == brute(names, rows)
+    # numbers that come more than once
+    rows += rows[::5] + [(7, "abcd", "other", ""), (8, "", "", None)]
+    path = f"{tmp_path}/postings"
+    postings.write_postings(spark.createDataFrame(rows, SCHEMA), path)
+    assert by_blocks(spark, names, rows) == pairs(spark, names, path)
+
+
+def test_names_go_to_blocks_and_not_to_each_text(spark, monkeypatch):
+    """What is written for many names follows texts and blocks, not names times texts."""
+    words = [f"word{n:03d}" for n in range(300)]
+    rows = [(i, " ".join(f"{w[:5]} {w[2:]}" for w in words), words[i % 300], None) for i in range(400)]
+    written = {}
+
+    def noted(df, name="table", keep=postings.materialise):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(postings, "materialise", noted)
+    asked = spark.createDataFrame([(w,) for w in words], "job_name string")
+    tickets = spark.createDataFrame([(*r[:3], []) for r in rows], "seq long, summary string, description string, labels array<string>")
+    found = ticket_ops.ticket_matches(asked, tickets.coalesce(1), name_chars=0).collect()
+    assert sorted((r.name, r.seq) for r in found) == brute(words, rows)
+    names = sum(df.select(postings.F.sum(postings.F.size("names"))).first()[0] for df in written.values() if "names" in df.columns)
+    others = sum(df.count() for df in written.values())
+    assert names + others < len(rows) * len(words) / 10
