@@ -11,6 +11,7 @@ vectors only the ``k`` with the smallest ids are compared.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from faultweave.session import materialise
 TOP_K = 5
 CELL_BYTES = 64 << 20
 TILE_VALUES = 4 << 20
+#: Points that are multiplied at a time.
+CHUNK_ROWS = 1 << 12
 MIN_PAIRS, MAX_PAIRS = 1 << 24, 1 << 32
 CELLS_PER_TASK = 1000
 MAX_TASKS = 100_000
@@ -99,6 +102,11 @@ def query_text(description: str = "description", log: str = "tws_log") -> Column
     return F.concat(or_empty(F.col(description)), F.lit(" "), or_empty(F.col(log)))
 
 
+def vector_key(vector: Column) -> Column:
+    """The identity of a vector, as two 64-bit hashes of its values."""
+    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), vector)) for seed in (1, 2)])
+
+
 def _floating(df: DataFrame, vector: str) -> Column:
     """The vector as it is if it holds floats, which take half the room of doubles."""
     element = df.schema[vector].dataType.elementType
@@ -139,8 +147,7 @@ def distinct_vectors(hist: DataFrame, k: int = TOP_K) -> DataFrame:
     The others can never be among the first ``k``. Copies are cut to ``k`` per task before
     the shuffle, so a vector that very many rows share stays small.
     """
-    vector = F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), F.col("embedding"))) for seed in (1, 2)])
-    keyed = hist.withColumn("_vector", vector)
+    keyed = hist.withColumn("_vector", vector_key(F.col("embedding")))
     group = ["job_name", "script_name", "_vector"]
     first = top_k(keyed, group, [F.col("id")], k, spread=["id"], rank="_copy", salts=1)
     return first.drop("_vector", "_copy")
@@ -216,15 +223,6 @@ def _square_norms(vectors: np.ndarray, center: np.ndarray) -> np.ndarray:
     return norms
 
 
-def _shifted(vectors: np.ndarray, center: np.ndarray, kind: type) -> np.ndarray:
-    """The vectors around the center in the given precision, made a tile at a time."""
-    out = np.empty(vectors.shape, kind)
-    step = max(1, TILE_VALUES // max(1, vectors.shape[1]))
-    for start in range(0, len(vectors), step):
-        out[start : start + step] = vectors[start : start + step] - center
-    return out
-
-
 def _cells(table: pa.Table) -> dict[tuple, pa.Table]:
     """The rows of each cell of a task."""
     if not table.num_rows:
@@ -258,6 +256,26 @@ def _kth_smallest(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, k - 1, axis=1)[:, k - 1]
 
 
+def _factor(vectors: np.ndarray, center: np.ndarray, kind: type, scale: float, last: np.ndarray) -> np.ndarray:
+    """The vectors around the center, times ``scale`` and with one value more, made a tile at a time."""
+    out = np.empty((len(vectors), vectors.shape[1] + 1), kind)
+    step = max(1, TILE_VALUES // max(1, vectors.shape[1]))
+    for start in range(0, len(vectors), step):
+        out[start : start + step, :-1] = (vectors[start : start + step] - center) * scale
+    out[:, -1] = last
+    return out
+
+
+def _first_limit(rough: np.ndarray, k: int) -> np.ndarray:
+    """What the ``k`` smallest values of each row do not exceed, from a sample of the columns."""
+    stride = max(1, int(rough.shape[1] / np.sqrt(16.0 * k * rough.shape[1])))
+    limit = _kth_smallest(rough[:, ::stride], k).astype(np.float64)
+    unknown = ~np.isfinite(limit)
+    if unknown.any():
+        limit[unknown] = _kth_smallest(rough[unknown], k)
+    return np.where(np.isfinite(limit), limit, np.inf)
+
+
 def _nearest(
     asked: np.ndarray,
     points: np.ndarray,
@@ -265,67 +283,122 @@ def _nearest(
     digits: int,
     jobs: tuple[np.ndarray, np.ndarray] | None = None,
     known: np.ndarray | None = None,
+    chunks: list[tuple[int, int]] | None = None,
+    gaps: Callable[[slice], np.ndarray] | None = None,
+    places: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places of at most ``k`` near points per question, and their distances: the question, the point, the distance.
 
-    Of points at the same rounded distance the first come first. Points of the question's
-    own job are left out where ``jobs`` tells both sides' jobs, and those farther than
-    ``known``, where that is given, need not be found.
+    Of points at the same rounded distance the first come first, or those first in
+    ``places``. Points of the question's own job are left out where ``jobs`` tells both
+    sides' jobs, and those farther than ``known``, where that is given, need not be found.
+    The points are gone through in ``chunks``; ``gaps`` may tell how near those of each can
+    be to some of the questions, and chunks out of a question's reach are passed over.
     """
     # The product form |a|^2 + |b|^2 - 2ab is only a filter, so single precision will do.
-    # It is taken around the center, where it is most precise, and its limit comes from
-    # a sample of the points.
+    # It is taken around the center, where it is most precise; |b|^2 is one more value of
+    # the vectors, so that one product gives all but |a|^2. A question's limit is the k-th
+    # smallest value so far, at first of a sample.
     # Vectors stay in their own precision; only tiles of them are made double.
     dim = points.shape[1]
     center = points.mean(axis=0, dtype=np.float64)
     norms = _square_norms(points, center)
     small = max(norms.max(), _square_norms(asked, center).max()) < 1e30
     kind, precision = (np.float32, 2e-7) if small else (np.float64, 1e-14)
-    near, rough_norms = _shifted(points, center, kind), norms.astype(kind)
-    stride = max(1, int(len(points) / np.sqrt(16.0 * k * len(points))))
+    near = _factor(points, center, kind, -2.0, norms)
+    if chunks is None:
+        chunks = [(start, min(start + CHUNK_ROWS, len(points))) for start in range(0, len(points), CHUNK_ROWS)]
+    same = 2 * 10.0**-digits
+    longest = max(end - start for start, end in chunks)
+    step = max(1, min(TILE_VALUES // longest, len(asked)))
+    # new memory for each product would cost as much as the product
+    products, within = np.empty(step * longest, kind), np.empty(step * longest, bool)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, TILE_VALUES // len(points))
     for start in range(0, len(asked), step):
         tile = asked[start : start + step].astype(np.float64)
-        shifted = tile - center
-        tile_norms = (shifted * shifted).sum(axis=1)
-        rough = shifted.astype(kind) @ near.T
-        rough *= kind(-2.0)
-        rough += rough_norms
-        if jobs:
-            rough[jobs[0][start : start + step][:, None] == jobs[1][None, :]] = np.inf
+        tile_norms = _square_norms(tile, center)
+        left = _factor(tile, center, kind, 1.0, np.ones(len(tile)))
+        # Whatever rounding could move into the first k is measured again by differences.
+        slack = same + 2 * precision * (dim + 4) * (tile_norms + norms.max())
         limit = np.full(len(tile), np.inf)
         if known is not None:
-            limit = known[start : start + step] - tile_norms + 10.0**-digits
-        open_limit = ~np.isfinite(limit)
-        if open_limit.all():
-            limit = _kth_smallest(rough[:, ::stride], k).astype(np.float64)
-        elif open_limit.any():
-            limit[open_limit] = _kth_smallest(rough[open_limit, ::stride], k)
-        unknown = ~np.isfinite(limit)
-        if unknown.any():
-            limit[unknown] = _kth_smallest(rough[unknown], k)
-        # Whatever rounding could move into the first k is measured again by differences.
-        limit += 10.0**-digits + precision * (dim + 4) * (tile_norms + norms.max())
-        rows, cols = np.nonzero(rough <= limit[:, None])
-        open_end = np.isinf(rough[rows, cols])
-        rows, cols = rows[~open_end], cols[~open_end]
-        exact = np.empty(len(rows))
-        part = max(1, TILE_VALUES // dim)
-        for i in range(0, len(rows), part):
-            diff = tile[rows[i : i + part]] - points[cols[i : i + part]]
-            exact[i : i + part] = (diff * diff).sum(axis=1)
-        order = np.lexsort((cols, np.round(exact, digits), rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        first = np.searchsorted(rows, rows, side="left")
-        best = np.arange(len(rows)) - first < k
-        out.append((start + rows[best], cols[best], exact[best]))
+            limit = known[start : start + step] - tile_norms + slack
+            limit[~np.isfinite(limit)] = np.inf
+        best = np.full((len(tile), k), np.inf)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_held = 0
+        away = gaps(slice(start, start + step)) if gaps else None
+        for c in range(len(chunks)) if away is None else np.argsort(away.mean(axis=0), kind="stable"):
+            low, high = chunks[c]
+            rows = np.arange(len(tile))
+            if away is not None:
+                rows = np.flatnonzero(away[:, c] <= np.sqrt(np.maximum(limit + tile_norms, 0.0) + same))
+                if not len(rows):
+                    continue
+            shape = len(rows), high - low
+            rough = products[: shape[0] * shape[1]].reshape(shape)
+            np.matmul(left if len(rows) == len(tile) else left[rows], near[low:high].T, out=rough)
+            if jobs:
+                rough[jobs[0][start : start + step][rows][:, None] == jobs[1][None, low:high]] = np.inf
+            unknown = ~np.isfinite(limit[rows])
+            if unknown.any():
+                limit[rows[unknown]] = _first_limit(rough if unknown.all() else rough[unknown], k) + slack[rows[unknown]]
+            upto = np.nextafter(limit[rows].astype(kind), kind(np.inf))
+            at = np.flatnonzero(np.less_equal(rough, upto[:, None], out=within[: rough.size].reshape(shape)))
+            value = rough.reshape(-1)[at]
+            at, value = at[value < np.inf], value[value < np.inf]
+            if not len(at):
+                continue
+            row, col = np.divmod(at, high - low)
+            row = rows[row]
+            held.append((row, low + col, value))
+            n_held += len(at)
+            order = np.lexsort((value, row))
+            bounds = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
+            counts = np.diff(bounds)
+            slot, line = np.arange(len(row)) - np.repeat(bounds[:-1], counts), np.repeat(np.arange(len(counts)), counts)
+            hit, first = row[bounds[:-1]], slot < k
+            merged = np.concatenate([best[hit], np.full((len(hit), k), np.inf)], axis=1)
+            merged[line[first], k + slot[first]] = value[order][first]
+            merged.sort(axis=1)
+            best[hit] = merged[:, :k]
+            limit[hit] = np.fmin(limit[hit], best[hit, k - 1] + slack[hit])
+            if n_held > TILE_VALUES:
+                held = [_settled(tile, points, held, limit, k, digits, places)[:3]]
+                n_held = len(held[0][0])
+        if held:
+            row, col, _, exact = _settled(tile, points, held, limit, k, digits, places)
+            out.append((start + row, col, exact))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     rows, cols, exact = (np.concatenate(part) for part in zip(*out))
     return rows, cols, exact
 
 
+def _settled(
+    tile: np.ndarray,
+    points: np.ndarray,
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+    limit: np.ndarray,
+    k: int,
+    digits: int,
+    places: np.ndarray | None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` points per question of those held, measured by differences: question, point, rough value, distance."""
+    rows, cols, values = (np.concatenate(part) for part in zip(*held))
+    near = values <= np.nextafter(limit.astype(values.dtype), values.dtype.type(np.inf))[rows]
+    rows, cols, values = rows[near], cols[near], values[near]
+    exact = np.empty(len(rows))
+    part = max(1, TILE_VALUES // points.shape[1])
+    for i in range(0, len(rows), part):
+        diff = tile[rows[i : i + part]] - points[cols[i : i + part]]
+        exact[i : i + part] = (diff * diff).sum(axis=1)
+    order = np.lexsort((cols if places is None else places[cols], np.round(exact, digits), rows))
+    rows, cols, values, exact = rows[order], cols[order], values[order], exact[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[first], cols[first], values[first], exact[first]
+
+
 def _job_codes(queries: pa.Table, stored: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the jobs of both sides; a question without a job has one that no row has."""
     codes: dict[str | None, int] = {}

@@ -7,10 +7,13 @@ the pivots, so the triangle inequality tells how near a cell's rows can be at be
 nearest ring is searched first; of the others only those cells are compared whose rows could
 still be among the first ``k``. Results equal those of a search through all rows.
 
-Neighbouring cells of a block form groups of bounded rows. A question travels to a group
-once, however many of its cells it visits, and comes back with at most ``k`` rows. A block of
-one group, which most are, is searched at once; of a larger one first the group around the
-nearest pivot, then those groups that have a cell within the bound found so far.
+Neighbouring cells of a block form groups of bounded rows. What is asked of a block is a
+vector, and it travels to a group once, however many questions have it and however many of
+the cells it visits, and comes back with at most ``k`` rows. A block of one group, which most
+are, is searched at once; of a larger one first the group around the nearest pivot, then
+those groups that have a cell within the bound found so far. Rows of the question's own job
+are found in the block of that job, and are taken out of what its script gives in the end:
+whatever of the script's other rows is among the first ``k`` is among the first ``k`` of all its rows.
 
 The tables are partitioned by a hash of the block, so a batch of questions reads only the
 folders of its jobs and scripts. Rows added later form a generation of their own.
@@ -28,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultweave.functions.text import or_empty
 from faultweave.functions.vectors import Embedder, single_dimension
 from faultweave.operators.history import (
     CELL_BYTES,
@@ -39,13 +43,13 @@ from faultweave.operators.history import (
     _cells,
     _floating,
     _has_neither,
-    _job_codes,
     _nearest,
     _usable,
     _vectors,
     distinct_queries,
     distinct_vectors,
     nearest_by_query,
+    vector_key,
 )
 from faultweave.operators.topk import top_k
 from faultweave.schemas import STORE_ATTRIBUTES
@@ -61,13 +65,22 @@ GROUP_CELLS = 16
 GROUP_PAIRS = 1 << 34
 #: Rings per cell that a pivot's rows fill; rows crowd at some distances, and crowded rings are cut again.
 RINGS_PER_CELL = 4
-#: Rings of the nearest pivot that are searched for the first bound.
-PROBES = 3
+#: Groups that a question is sent to at first, at most: one of its job and one of its script, in each generation.
+PROBES = 2
 #: What rounding can take from a difference of distances, in parts of the distances.
 SLACK = 1e-9
 
 _GROUP = ["block", "hist_cell"]
-_FOUND = pa.schema([("query_id", pa.string()), ("ids", pa.list_(pa.string())), ("distances", pa.list_(pa.float64()))])
+_HITS = "query_id string, block string, ids array<string>, jobs array<string>, distances array<double>"
+_FOUND = pa.schema(
+    [
+        ("query_id", pa.string()),
+        ("block", pa.string()),
+        ("ids", pa.list_(pa.string())),
+        ("jobs", pa.list_(pa.string())),
+        ("distances", pa.list_(pa.float64())),
+    ]
+)
 
 
 def _bucket(block: Column, buckets: int) -> Column:
@@ -218,8 +231,8 @@ def asked_buckets(asked: DataFrame, buckets: int = BUCKETS) -> list[int]:
     return sorted(r[0] for r in blocks.select(_bucket(F.col("block"), buckets)).distinct().collect())
 
 
-def _gaps(away: np.ndarray, low: float, high: float) -> np.ndarray:
-    """How near a cell's rows can be at best, given the distances to their pivot."""
+def _gaps(away: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How near each cell's rows can be at best, given the distances to the cell's pivot."""
     with np.errstate(invalid="ignore", over="ignore"):
         gap = np.maximum(np.maximum(away - high, low - away), 0.0) - SLACK * (away + high)
     return np.where(np.isnan(gap), 0.0, np.maximum(gap, 0.0))
@@ -228,88 +241,54 @@ def _gaps(away: np.ndarray, low: float, high: float) -> np.ndarray:
 def _group_search(k: int, dim: int, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Function for one group: the nearest rows of each question, at most ``k``.
 
-    ``held`` has the group's rows and, without an id, the pivots of its block. A question
-    is compared with the nearest cells of its nearest pivot and then, cell by cell, with
-    those that its bound, which may come with it as ``limit``, does not rule out.
+    ``held`` has the group's rows and, without an id, the pivots of its block. Questions
+    around the same pivot are compared together, cell by cell with the nearest first, and
+    only with those cells that the bound, which may come with a question as ``limit``, does
+    not rule out.
     """
 
     def search(queries: pa.Table, held: pa.Table) -> pa.Table:
-        # Points follow id order, so they break ties the way ids do.
+        # Places follow id order, so they break ties the way ids do.
         stored = held.filter(held.column("id").is_valid()).sort_by("id")
         centers = held.filter(held.column("id").is_null())
         (queries, asked), (stored, points) = _usable(queries, dim), _usable(stored, dim)
         if queries.num_rows == 0 or stored.num_rows == 0:
             return _FOUND.empty_table()
-        by_script = queries.column("block")[0].as_py().startswith("script:")
-        asked_jobs, point_jobs = _job_codes(queries, stored) if by_script else (None, None)
-        bound = np.nan_to_num(queries.column("limit").to_numpy().astype(np.float64), nan=np.inf)
-        numbers = centers.column("pivot").to_numpy()
+        places = np.argsort(stored.column("cell").to_numpy(), kind="stable")
+        stored, points = stored.take(pa.array(places)), points[places]
         away = np.nan_to_num(_distances(queries.append_column("embedding", _lists(asked)), centers, dim), nan=np.inf)
-        column = {int(n): i for i, n in enumerate(numbers)}
-
-        order = np.argsort(stored.column("cell").to_numpy(), kind="stable")
-        cell_of, from_pivot = stored.column("cell").to_numpy()[order], stored.column("away").to_numpy()[order]
-        pivot_of = stored.column("pivot").to_numpy()[order]
-        bounds = np.append(np.flatnonzero(np.append(True, cell_of[1:] != cell_of[:-1])), len(order))
-        cells = [order[start:end] for start, end in zip(bounds, bounds[1:])]
-        near = [
-            (column[int(pivot_of[start])], from_pivot[start:end].min(), from_pivot[start:end].max())
-            for start, end in zip(bounds, bounds[1:])
-        ]
-
-        best = np.full((len(asked), k), np.inf)
-        places = np.full((len(asked), k), len(points))
-
-        def compare(c: int, rows: np.ndarray) -> None:
-            if not len(rows):
-                return
-            members = cells[c]
-            jobs = (asked_jobs[rows], point_jobs[members]) if by_script else None
-            at, cols, exact = _nearest(asked[rows], points[members], k, digits, jobs, bound[rows])
-            if not len(at):
-                return
-            hit, first = np.unique(at, return_index=True)
-            slot = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            line = np.repeat(np.arange(len(hit)), np.diff(np.append(first, len(at))))
-            here = rows[hit]
-            distances = np.concatenate([best[here], np.full((len(hit), k), np.inf)], axis=1)
-            numbers = np.concatenate([places[here], np.full((len(hit), k), len(points))], axis=1)
-            distances[line, k + slot], numbers[line, k + slot] = exact, members[cols]
-            chosen = np.lexsort((numbers, np.round(distances, digits)), axis=1)[:, :k]
-            best[here] = np.take_along_axis(distances, chosen, axis=1)
-            places[here] = np.take_along_axis(numbers, chosen, axis=1)
-            bound[here] = np.minimum(bound[here], best[here].max(axis=1))
-
-        def gaps(c: int, rows: np.ndarray | slice) -> np.ndarray:
-            pivot, low, high = near[c]
-            return _gaps(away[rows, pivot], low, high)
-
-        own = away.argmin(axis=1)
-        probed = np.full((len(asked), PROBES), -1)
-        for pivot in np.unique(own):
-            rows, around = np.flatnonzero(own == pivot), np.array([c for c in range(len(cells)) if near[c][0] == pivot], int)
-            if len(around):
-                by_gap = np.argsort([gaps(c, rows) for c in around], axis=0, kind="stable")[:PROBES].T
-                probed[rows, : by_gap.shape[1]] = around[by_gap]
-        for probe in range(PROBES):
-            for c in np.unique(probed[:, probe]):
-                # a bound that came with the question holds for the first cells too
-                rows = np.flatnonzero(probed[:, probe] == c)
-                if c >= 0:
-                    compare(c, rows[gaps(c, rows) <= _reach(bound[rows], digits)])
-        for c in range(len(cells)):
-            rows = np.flatnonzero(gaps(c, slice(None)) <= _reach(bound, digits))
-            compare(c, rows[(probed[rows] != c).all(axis=1)])
-
-        found = places < len(points)
-        rows = np.flatnonzero(found.any(axis=1))
-        ends = pa.array(np.append(0, found[rows].sum(axis=1).cumsum()), pa.int32())
-        ids = stored.column("id").combine_chunks().take(pa.array(places[found]))
+        around = np.argsort(away.argmin(axis=1), kind="stable")
+        queries, asked, away = queries.take(pa.array(around)), asked[around], away[around]
+
+        cell_of, from_pivot = stored.column("cell").to_numpy(), stored.column("away").to_numpy()
+        starts = np.flatnonzero(np.append(True, cell_of[1:] != cell_of[:-1]))
+        low, high = np.minimum.reduceat(from_pivot, starts), np.maximum.reduceat(from_pivot, starts)
+        column = {int(n): i for i, n in enumerate(centers.column("pivot").to_numpy())}
+        pivot = np.array([column[int(n)] for n in stored.column("pivot").to_numpy()[starts]])
+        bound = np.nan_to_num(queries.column("limit").to_numpy().astype(np.float64), nan=np.inf)
+        rows, cols, exact = _nearest(
+            asked,
+            points,
+            k,
+            digits,
+            known=bound,
+            chunks=list(zip(starts.tolist(), [*starts[1:].tolist(), len(points)])),
+            gaps=lambda tile: _gaps(away[tile][:, pivot], low, high),
+            places=places,
+        )
+        order = np.argsort(rows, kind="stable")
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        hit, first = np.unique(rows, return_index=True)
+        ends, found = pa.array(np.append(first, len(rows)), pa.int32()), pa.array(cols)
+        lists = lambda values: pa.ListArray.from_arrays(ends, values)
+        asking = queries.take(pa.array(hit))
         return pa.table(
             {
-                "query_id": queries.column("query_id").combine_chunks().take(pa.array(rows)),
-                "ids": pa.ListArray.from_arrays(ends, ids),
-                "distances": pa.ListArray.from_arrays(ends, pa.array(best[found], pa.float64())),
+                "query_id": asking.column("query_id"),
+                "block": asking.column("block"),
+                "ids": lists(stored.column("id").combine_chunks().take(found)),
+                "jobs": lists(stored.column("job_name").combine_chunks().take(found)),
+                "distances": lists(pa.array(exact, pa.float64())),
             }
         )
 
@@ -321,17 +300,20 @@ def _lists(vectors: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.reshape(-1)))
 
 
-def _reach(bound: np.ndarray, digits: int) -> np.ndarray:
-    # rows at the same rounded distance as the k-th come before it by their id
-    return np.sqrt(bound + 2 * 10.0**-digits)
-
-
 def _compare(
-    pairs: DataFrame, cells: DataFrame, rows: DataFrame, pivots: DataFrame, dim: int, k: int, digits: int, cell_rows: int
+    pairs: DataFrame,
+    vectors: DataFrame,
+    cells: DataFrame,
+    rows: DataFrame,
+    pivots: DataFrame,
+    dim: int,
+    k: int,
+    digits: int,
+    cell_rows: int,
 ) -> DataFrame:
-    """(query_id, ids, distances): the nearest rows per question and group that it visits, at most ``k``.
+    """(query_id, block, ids, jobs, distances): the nearest rows per question and group that it visits, at most ``k``.
 
-    ``pairs`` has query_id, block, hist_cell (the group), job_name, embedding and limit.
+    ``pairs`` has query_id, block, hist_cell (the group) and limit, ``vectors`` the embedding of a query_id.
     """
     spark = pairs.sparkSession
     queries_per_part = max(1, CELL_BYTES // (8 * dim))
@@ -355,7 +337,8 @@ def _compare(
     left = (
         pairs.join(dealt, _GROUP)
         .withColumn("query_cell", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
-        .select("query_id", *_GROUP, "query_cell", "job_name", "embedding", "limit", task.alias("task"))
+        .join(vectors, "query_id")
+        .select("query_id", *_GROUP, "query_cell", "embedding", "limit", task.alias("task"))
     )
     held = ["id", "job_name", "embedding", "pivot", "cell", "away"]
     grouped = rows.join(cells.select("block", "cell", "hist_cell"), ["block", "cell"]).select(*_GROUP, *held)
@@ -372,18 +355,28 @@ def _compare(
     right = right.select(*_GROUP, "query_cell", *held, task.alias("task"))
     left, right = (df.repartition(tasks, "task").groupBy("task") for df in (left, right))
     search = _per_cell(_group_search(k, dim, digits), _FOUND)
-    hits = left.cogroup(right).applyInArrow(search, "query_id string, ids array<string>, distances array<double>")
+    hits = left.cogroup(right).applyInArrow(search, _HITS)
     return materialise(hits, "index-hits")
 
 
-def _first(hits: DataFrame, k: int, digits: int) -> DataFrame:
-    """(query_id, hits): the nearest ``k`` of a question's (near, id, distance), from all its groups."""
-    pairs = F.transform(
-        F.arrays_zip("ids", "distances"),
-        lambda h: F.struct(F.round(h["distances"], digits).alias("near"), h["ids"].alias("id"), h["distances"].alias("distance")),
+def _hit_rows(digits: int) -> Column:
+    """The hits of a row of ids, jobs and distances, as (near, id, distance, job)."""
+    return F.transform(
+        F.arrays_zip("ids", "distances", "jobs"),
+        lambda h: F.struct(
+            F.round(h["distances"], digits).alias("near"), h["ids"].alias("id"), h["distances"].alias("distance"), h["jobs"].alias("job")
+        ),
     )
-    gathered = hits.groupBy("query_id").agg(F.flatten(F.collect_list(pairs)).alias("hits"))
-    return gathered.select("query_id", F.slice(F.array_sort("hits"), 1, k).alias("hits"))
+
+
+def _first(hits: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The keys and the nearest ``k`` of their ``hits``, which may come in several rows."""
+    gathered = hits.groupBy(*keys).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    return gathered.select(*keys, F.slice(F.array_sort("hits"), 1, k).alias("hits"))
+
+
+def _bare(block: Column) -> Column:
+    return F.regexp_replace(block, "#[0-9]+$", "")
 
 
 def _gap(away: Column, cell: Column) -> Column:
@@ -403,16 +396,30 @@ def _grouped_cells(spark: SparkSession, path: str, numbers: list[int], own: Data
 
 
 def plan_visits(
-    asked: DataFrame, path: str, dim: int, k: int, digits: int, buckets: int, cell_rows: int = CELL_ROWS
+    asked: DataFrame,
+    path: str,
+    dim: int,
+    k: int,
+    digits: int,
+    buckets: int,
+    cell_rows: int = CELL_ROWS,
+    vectors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The (query_id, block, hist_cell, n) compared first, those compared after them, and all hits.
 
-    ``n`` is the number of rows that are compared at most; the groups that come after the
-    first are only those with a cell in reach, and of these only such cells count.
+    What is asked of a block is a vector, so ``query_id`` is a vector's here. ``vectors`` has
+    the vectors of ``asked``, each once, if it has only their identity, ``_vector``. ``n`` is
+    the number of rows that are compared at most; the groups that come after the first are
+    only those with a cell in reach, and of these only such cells count.
     """
     spark = asked.sparkSession
     numbers = asked_buckets(asked, buckets)
-    places = _blocks(asked.where(_finite(F.col("embedding"), dim)), F.lit(False))
+    if vectors is None:
+        asked = asked.withColumn("_vector", vector_key(F.col("embedding")))
+        vectors = materialise(_distinct_vectors(asked), "question-vectors")
+    vectors = vectors.where(_finite(F.col("embedding"), dim)).withColumnRenamed("_vector", "query_id")
+    places = _blocks(asked.select("job_name", "script_name", F.col("_vector").alias("query_id")), F.lit(False))
+    places = materialise(places.select("block", "query_id").distinct(), "asked-places")
     own = places.select("block").distinct()
     rows_per_group = max(1, min(GROUP_CELLS * cell_rows, CELL_BYTES // (8 * dim)))
     cells = _grouped_cells(spark, path, numbers, own, rows_per_group)
@@ -422,20 +429,17 @@ def plan_visits(
     # a question meets the groups of each generation of its blocks
     generations = cells.groupBy("bare", F.col("block").alias("_place")).agg(F.max("hist_cell").alias("_last"))
     generations = materialise(generations, "asked-blocks")
-    placed = (
-        places.select("query_id", "job_name", "embedding", F.col("block").alias("bare"))
-        .join(generations, "bare")
-        .select("query_id", "job_name", "embedding", F.col("_place").alias("block"), "_last")
-    )
+    placed = places.withColumnRenamed("block", "bare").join(generations, "bare")
+    placed = placed.select("query_id", F.col("_place").alias("block"), "_last")
     limit = F.lit(None).cast("double")
     sizes = cells.groupBy(*_GROUP).agg(F.sum("n").alias("n"))
-    first = placed.where("_last = 0").select("query_id", "block", F.lit(0).alias("hist_cell"), "job_name", "embedding")
+    first = placed.where("_last = 0").select("query_id", "block", F.lit(0).alias("hist_cell"))
     if not generations.where("_last > 0").limit(1).count():
-        hits = _compare(first.withColumn("limit", limit), cells, rows, pivots, dim, k, digits, cell_rows)
-        probes = first.select("query_id", *_GROUP).join(sizes, _GROUP)
+        hits = _compare(first.withColumn("limit", limit), vectors, cells, rows, pivots, dim, k, digits, cell_rows)
+        probes = first.join(sizes, _GROUP)
         return probes, probes.limit(0), hits
 
-    large = placed.where("_last > 0").select("query_id", "job_name", "embedding", "block")
+    large = placed.where("_last > 0").select("query_id", "block").join(vectors, "query_id")
     names = large.columns
 
     def distances(part: pa.Table, centers: pa.Table) -> pa.Table:
@@ -443,8 +447,8 @@ def plan_visits(
         return part.select(names).append_column("away", _lists(away))
 
     element = pa.float32() if "float" in dict(large.dtypes)["embedding"] else pa.float64()
-    kinds = [("query_id", pa.string()), ("job_name", pa.string()), ("embedding", pa.list_(element))]
-    kinds += [("block", pa.string()), ("away", pa.list_(pa.float64()))]
+    kinds = [("query_id", pa.string()), ("block", pa.string()), ("embedding", pa.list_(element))]
+    kinds += [("away", pa.list_(pa.float64()))]
     schema = T.StructType([*large.schema.fields, T.StructField("away", T.ArrayType(T.DoubleType()))])
     left, right = _meet(large, pivots.join(large.select("block").distinct(), "block", "left_semi"), "query_id", cell_rows)
     away = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(_per_cell(distances, pa.schema(kinds)), schema)
@@ -454,19 +458,23 @@ def plan_visits(
         F.transform("_own", lambda c: F.struct(_gap(F.array_min("away"), c).alias("gap"), c["cell"], c["hist_cell"].alias("hist_cell")))
     )
     home = F.coalesce(nearest["hist_cell"], F.lit(0)).alias("hist_cell")
-    away = away.join(by_pivot, ["block", "pivot"], "left").select("query_id", "block", home, "job_name", "embedding", "away")
+    away = away.join(by_pivot, ["block", "pivot"], "left").select("query_id", "block", home, "away")
     away = materialise(away, "pivot-distances")
     first = first.unionByName(away.drop("away"))
-    probes = first.select("query_id", *_GROUP).join(sizes, _GROUP)
-    hits = _compare(first.withColumn("limit", limit), cells, rows, pivots, dim, k, digits, cell_rows)
-    found = _first(hits, k, digits).where(F.size("hits") == k)
-    found = found.select("query_id", F.array_max(F.col("hits.distance")).alias("limit"))
-    found = materialise(found.join(away.select("query_id"), "query_id", "left_semi"), "index-limits")
+    probes = first.join(sizes, _GROUP)
+    hits = _compare(first.withColumn("limit", limit), vectors, cells, rows, pivots, dim, k, digits, cell_rows)
+    # the bound of a block holds for the rows of all its generations
+    bare = _bare(F.col("block")).alias("bare")
+    found = hits.join(away.select("block").distinct(), "block", "left_semi").select("query_id", bare, _hit_rows(digits).alias("hits"))
+    found = _first(found, k, "query_id", "bare").where(F.size("hits") == k)
+    found = found.select("query_id", "bare", F.array_max(F.col("hits.distance")).alias("limit"))
+    found = materialise(found, "index-limits")
     by_group = cells.groupBy(*_GROUP).agg(F.collect_list(F.struct("pivot", "low", "high", "n")).alias("_cells"))
     reach = F.coalesce(F.sqrt(F.col("limit") + F.lit(2 * 10.0**-digits)), F.lit(float("inf")))
     near = F.filter("_cells", lambda c: _gap(F.get("away", c["pivot"]), c) <= F.col("_reach"))
     rest = (
-        away.join(found, "query_id", "left")
+        away.withColumn("bare", bare)
+        .join(found, ["query_id", "bare"], "left")
         .withColumnRenamed("hist_cell", "_home")
         .withColumn("_reach", reach)
         .join(by_group, "block")
@@ -474,12 +482,16 @@ def plan_visits(
         .withColumn("n", F.aggregate(near, F.lit(0).cast("long"), lambda n, c: n + c["n"]))
         .where("n > 0")
     )
-    rest = materialise(rest.select("query_id", *_GROUP, "job_name", "embedding", "limit", "n"), "index-rest")
-    more = _compare(rest, cells, rows, pivots, dim, k, digits, cell_rows)
+    rest = materialise(rest.select("query_id", *_GROUP, "limit", "n"), "index-rest")
+    more = _compare(rest.drop("n"), vectors, cells, rows, pivots, dim, k, digits, cell_rows)
     return probes, rest.select("query_id", *_GROUP, "n"), hits.unionByName(more)
 
 
-def indexed_nearest(
+def _distinct_vectors(asked: DataFrame) -> DataFrame:
+    return asked.select("_vector", "embedding").dropDuplicates(["_vector"])
+
+
+def _nearest_hits(
     inc: DataFrame,
     path: str,
     store: DataFrame | None = None,
@@ -490,28 +502,55 @@ def indexed_nearest(
     buckets: int = BUCKETS,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """As :func:`history.nearest_by_query`, from the index at ``path``: query_id, id, distance, rank.
-
-    Questions without job and script, which concern all rows, are compared with ``store``.
-    """
+    """(query_id, hits): the nearest ``k`` of each question as (near, id, distance, job), in their order."""
     spark = inc.sparkSession
-    asked = materialise(distinct_queries(inc, embed, vector), "questions")
+    if embed:
+        asked = materialise(distinct_queries(inc, embed, vector), "questions")
+        asked = asked.withColumn("_vector", vector_key(F.col("embedding")))
+        vectors = _distinct_vectors(asked)
+    else:
+        # questions have but the identity of their vector, which many of them may share
+        given = inc.withColumn("embedding", _floating(inc, vector)).withColumn("_vector", vector_key(F.col("embedding")))
+        names = [or_empty(F.col(c)).alias(c) for c in ("job_name", "script_name")]
+        asked = materialise(given.select("query_id", *names, "_vector").distinct(), "questions")
+        vectors = _distinct_vectors(given)
+    vectors = materialise(vectors, "question-vectors")
     width = spark.read.parquet(f"{path}/pivots").select(F.size("embedding")).head()
     if width is None:
-        return spark.createDataFrame([], "query_id string, id string, distance double, rank int")
-    dim = width[0]
-    *_, hits = plan_visits(asked, path, dim, k, digits, buckets, cell_rows)
-    found = _first(hits, k, digits).select("query_id", F.posexplode("hits").alias("_place", "hit"))
-    found = found.select("query_id", "hit.id", "hit.distance", (F.col("_place") + 1).cast("int").alias("rank"))
+        return spark.createDataFrame([], "query_id string, hits array<struct<near: double, id: string, distance: double, job: string>>")
+    *_, hits = plan_visits(asked, path, width[0], k, digits, buckets, cell_rows, vectors)
+    hits = hits.select(F.col("query_id").alias("_vector"), _bare(F.col("block")).alias("block"), _hit_rows(digits).alias("hits"))
+    places = _blocks(asked.select("query_id", "job_name", "script_name", "_vector"), F.lit(False))
+    # rows of the question's own job are found in the block of that job
+    other = F.filter("hits", lambda h: ~h["job"].eqNullSafe(F.col("job_name")))
+    by_script = F.col("block").startswith("script:") & (or_empty(F.col("job_name")) != "")
+    hits = places.join(hits, ["block", "_vector"]).select("query_id", F.when(by_script, other).otherwise(F.col("hits")).alias("hits"))
+    found = _first(hits, k, "query_id")
     if store is not None and asked.where(_has_neither()).limit(1).count():
-        found = found.unionByName(nearest_by_query(inc.where(_has_neither()), store, k, embed, vector, dim, digits))
+        rest = nearest_by_query(inc.where(_has_neither()), store, k, embed, vector, width[0], digits)
+        near = F.struct(F.round("distance", digits).alias("near"), "id", "distance", F.lit(None).cast("string").alias("job"))
+        found = found.unionByName(rest.groupBy("query_id").agg(F.array_sort(F.collect_list(near)).alias("hits")))
     return found
 
 
+def _ranked(hits: DataFrame, *keys: str) -> DataFrame:
+    rows = hits.select(*keys, F.posexplode("hits").alias("_place", "hit"))
+    return rows.select(*keys, "hit.id", "hit.distance", (F.col("_place") + 1).cast("int").alias("rank"))
+
+
+def indexed_nearest(inc: DataFrame, path: str, store: DataFrame | None = None, k: int = TOP_K, embed: Embedder | None = None, **options) -> DataFrame:
+    """As :func:`history.nearest_by_query`, from the index at ``path``: query_id, id, distance, rank.
+
+    Questions without job and script, which concern all rows, are compared with ``store``.
+    """
+    return _ranked(_nearest_hits(inc, path, store, k, embed, **options), "query_id")
+
+
 def indexed_search(inc: DataFrame, path: str, store: DataFrame | None = None, **options) -> DataFrame:
     """As :func:`history.history_search`, from the index at ``path``; ``inc`` has a query_id."""
-    scored = indexed_nearest(inc, path, store, **options).withColumn("similarity_score", F.lit(1.0) - F.col("distance"))
-    return inc.select("request_id", "query_id").join(scored, "query_id").drop("query_id")
+    # hits travel to the incidents as one value per question
+    hits = inc.select("request_id", "query_id").join(_nearest_hits(inc, path, store, **options), "query_id")
+    return _ranked(hits, "request_id").withColumn("similarity_score", F.lit(1.0) - F.col("distance"))
 
 
 def indexed_rows(hits: DataFrame, asked: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:

@@ -196,3 +196,26 @@ def test_a_cell_holds_its_vectors_once_in_their_own_precision(monkeypatch):
     best = np.argsort(exact, axis=1, kind="stable")[:, :3]
     assert found.column("id").to_pylist() == [f"{i:06d}" for i in best.reshape(-1)]
     assert np.allclose(found.column("distance").to_numpy(), np.take_along_axis(exact, best, 1).reshape(-1), rtol=1e-12)
+
+
+@pytest.mark.parametrize("tile", [16, 1 << 10, 4 << 20])
+def test_points_gone_through_in_chunks(monkeypatch, tile):
+    """Chunks out of reach are not multiplied, what is held is settled in time, and ties go by place."""
+    monkeypatch.setattr(history, "TILE_VALUES", tile)
+    rng, k = np.random.default_rng(6), 4
+    centers = rng.normal(size=(6, 8)) * 20
+    points = np.concatenate([c + rng.integers(0, 3, size=(50, 8)) for c in centers])
+    asked = np.concatenate([c + rng.integers(0, 3, size=(5, 8)) for c in centers])
+    places = rng.permutation(len(points))
+    exact = ((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    order = np.lexsort((np.broadcast_to(places, exact.shape), np.round(exact, 9)), axis=1)[:, :k]
+    chunks = [(i * 50, i * 50 + 50) for i in range(6)]
+    away = np.sqrt(exact).reshape(len(asked), 6, 50).min(axis=2)
+    for known in (None, np.take_along_axis(exact, order[:, -1:], 1)[:, 0]):
+        rows, cols, found = history._nearest(asked, points, k, 9, None, known, chunks, lambda tile: away[tile], places)
+        got = np.argsort(rows, kind="stable")
+        assert (cols[got].reshape(-1, k) == order).all()
+        assert np.allclose(found[got].reshape(-1, k), np.take_along_axis(exact, order, 1))
+    rows, cols, _ = history._nearest(asked, points, k, 9, places=None)
+    order = np.argsort(np.round(exact, 9), axis=1, kind="stable")[:, :k]
+    assert (cols.reshape(-1, k) == order).all()

@@ -114,3 +114,19 @@ def test_a_question_travels_to_a_group_once(spark, tmp_path):
     travels = probes.select("query_id", "block", "hist_cell").unionByName(rest.select("query_id", "block", "hist_cell"))
     assert travels.count() == travels.distinct().count()
     assert hits.count() <= travels.count() and hits.agg(F.max(F.size("ids"))).first()[0] <= 5
+
+
+def test_a_vector_travels_to_a_block_once(spark, tmp_path):
+    """However many questions ask for it, also such that differ in their job or script."""
+    rng = np.random.default_rng(12)
+    vectors = [[float(x) for x in rng.normal(size=4)] for _ in range(3)]
+    stored = [(f"id{i:03d}", ["HOT", "J1", ""][i % 3], f"s{i % 4}", [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    stored += [(f"id{200 + i}", *s[1:]) for i, s in enumerate(stored[:40])]
+    asked = [(i, ["HOT", "J1", "", "J2"][i % 4], f"s{i // 4 % 5}", vectors[i % 3]) for i in range(120)]
+    path = f"{tmp_path}/index"
+    write(spark, stored, path)
+    assert search(spark, asked, path, 5) == brute(stored, asked, 5)
+    queries = history.distinct_queries(history.with_query_id(spark.createDataFrame(asked, ASKED), "embedding"))
+    probes, rest, hits = index.plan_visits(queries, path, 4, 5, 9, SMALL["buckets"], SMALL["cell_rows"])
+    # two jobs and four scripts are stored
+    assert probes.count() == (2 + 4) * len(vectors) and rest.count() == 0 and hits.count() == probes.count()
